@@ -1,0 +1 @@
+"""Left empty on purpose: every job of this engine is a batch job over tables."""
