@@ -1,6 +1,15 @@
 """All registered queries; importing a module below registers what it holds."""
 
-from planshift.catalog import filters_scalars, joins_, scans_columns  # noqa: F401
+from planshift.catalog import (  # noqa: F401
+    cleaning_encoding,
+    filters_scalars,
+    jobs,
+    joining,
+    modelling,
+    profiles,
+    rankings,
+    scans_columns,
+)
 from planshift.catalog.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

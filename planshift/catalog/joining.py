@@ -92,7 +92,7 @@ FLAGS = ", ".join(f"w.{k}_flag" for k in S.KINDS) + ", " + ", ".join(f"m.{k}_fla
 def triple_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = S.visits(spark, sf_dir)
     keys = ["account_id", "visit_day"]
-    hot = J.hot_values(S.table(spark, sf_dir, "events"), "user_id")
+    hot = J.hot_values(S.table(spark, sf_dir, "events"), "user_id")["user_id"]
     return J.enrich(
         visits,
         (S.flags(spark, sf_dir, "web"), keys, []),
@@ -112,7 +112,7 @@ def spread_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"
     )
     # the fixtures have no hot order, so the most frequent ones are spread whatever their share
-    hot = J.hot_values(lines, "l_orderkey", share=0.0)
+    hot = J.hot_values(lines, "l_orderkey", share=0.0)["l_orderkey"]
     return J.lookup_join(lines, heads, ["l_orderkey"], "left", "l_orderkey", hot)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -76,11 +77,18 @@ def stages(
 def fit(
     df: DataFrame, features: Sequence[str], label: str, family: str, classes: int = 2, weight: str | None = None, **params
 ) -> PipelineModel:
-    """Fit one family.  Long boosting runs cut their lineage in the shared checkpoint folder."""
+    """Fit one family.
+
+    Every family passes over the rows many times, so the needed columns are kept in memory
+    and on disk meanwhile.  Long boosting runs cut their lineage in the shared folder.
+    """
     shared_folder(df.sparkSession)
-    needed = df.select(*features, label, *([weight] if weight else []))
-    rows = needed.count() if family == "logistic" else 0
-    return Pipeline(stages=stages(family, features, label, rows, classes, weight, **params)).fit(needed)
+    needed = df.select(*features, label, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = needed.count() if family == "logistic" else 0
+        return Pipeline(stages=stages(family, features, label, rows, classes, weight, **params)).fit(needed)
+    finally:
+        needed.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], classes: int = 2) -> DataFrame:

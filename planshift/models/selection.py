@@ -162,7 +162,7 @@ def select_by_genetic_search(
             foldCol="fold",
             parallelism=parallelism,
         )
-        return list(validator.fit(vectors).avgMetrics)
+        return [float(m) for m in validator.fit(vectors).avgMetrics]
 
     try:
         result = genetic_search(len(features), fitness, seed, **settings)

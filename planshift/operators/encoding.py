@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from planshift.functions.expressions import smoothed_log_ratio, tidy_text
 from planshift.operators.joins import hot_values, lookup_join
 from planshift.operators.ranking import global_rank
+from planshift.sources.tables import pinned
 
 # Lookup tables up to this many rows travel to every executor; longer ones are shuffled.
 BROADCAST_ROWS = 200_000
@@ -82,9 +83,10 @@ def attach_lookup(
 ) -> DataFrame:
     """Add ``<variable><suffix>`` from a (variable, value, result) table; no match gives NULL.
 
-    The table is counted first.  A short one is broadcast, a long one is shuffled with
-    values that fill much of a column spread over several tasks.
+    The table is computed once and counted.  A short one is broadcast, a long one is
+    shuffled with values that fill much of a column spread over several tasks.
     """
+    table = pinned(table.select("variable", "value", result))
     short = table.count() <= BROADCAST_ROWS
     text = text or (lambda column: column.cast("string"))
     for variable in variables:
@@ -95,7 +97,7 @@ def attach_lookup(
         if short:
             df = keyed.join(F.broadcast(one), "_value", "left").drop("_value")
         else:
-            hot = hot_values(keyed, "_value")
+            hot = hot_values(keyed, "_value")["_value"]
             df = lookup_join(keyed, one, ["_value"], "left", "_value", hot).drop("_value")
     return df
 

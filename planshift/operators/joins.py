@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 HOT_KEYS_TRACKED = 100
 
 
-def hot_values(df: DataFrame, column: str, share: float = 0.01) -> list:
-    """Values of ``column`` that hold at least ``share`` of the rows (at most 100 of them).
+def hot_values(df: DataFrame, *columns: str, share: float = 0.01) -> dict[str, list]:
+    """Per column, the values that hold at least ``share`` of the rows (at most 100 each).
 
-    One pass over one column with a small sketch per task and no shuffle by key.  The
-    list only steers how ``lookup_join`` spreads rows; results do not depend on it.
+    One pass over those columns with a small sketch per task and no shuffle by key.  The
+    lists only steer how ``lookup_join`` spreads rows; results do not depend on them.
     """
-    found = df.select(column).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(`{column}`, {HOT_KEYS_TRACKED}, 10000)").alias("top"),
-    ).first()
-    return [t["item"] for t in found["top"] if t["item"] is not None and t["count"] >= share * found["n"]]
+    sketches = [F.expr(f"approx_top_k(`{c}`, {HOT_KEYS_TRACKED}, 10000)").alias(c) for c in columns]
+    found = df.select(*columns).agg(F.count(F.lit(1)).alias("_n"), *sketches).first()
+
+    def heavy(items) -> list:
+        return [i["item"] for i in items or [] if i["item"] is not None and i["count"] >= share * found["_n"]]
+
+    return {c: heavy(found[c]) for c in columns}
 
 
 def lookup_join(
@@ -118,7 +120,7 @@ def enrich(base: DataFrame, *sources: tuple[DataFrame, Sequence[str], Sequence])
     """Left-join each ``(frame, key columns, hot values of the first key)`` in turn.
 
     A source may hold exact copies of a row; they are collapsed before the join, so they
-    neither multiply ``base`` nor travel twice.
+    do not multiply ``base``.  For a source grouped by its keys Spark drops that step.
     """
     for frame, keys, hot in sources:
         base = lookup_join(base, frame.distinct(), keys, "left", keys[0], hot)

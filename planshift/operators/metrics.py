@@ -32,50 +32,57 @@ def normalized_rows(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return matrix.withColumn("row_share", F.try_divide(F.col("n"), row_total))
 
 
+def _ratio(top, bottom):
+    return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+
+def _class_counts(actual: str, predicted: str, classes: Sequence[int]):
+    """One (class, hits, predicted, actual) aggregate per class."""
+    is_class = [(c, F.col(actual) == c, F.col(predicted) == c) for c in classes]
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("class"),
+                F.count_if(real & called).alias("hits"),
+                F.count_if(called).alias("called"),
+                F.count_if(real).alias("real"),
+            )
+            for c, real, called in is_class
+        ]
+    )
+
+
+def _measures(hits, called, real) -> dict:
+    return {
+        "precision": _ratio(hits, called),
+        "recall": _ratio(hits, real),
+        "f1": _ratio(2 * hits, called + real),
+    }
+
+
 def class_report(
     df: DataFrame, actual: str, predicted: str, classes: Sequence[int], by: Sequence[str] = ()
 ) -> DataFrame:
     """Precision, recall and F1 of each class; a ratio without a base is 0."""
-    entries = []
-    for value in classes:
-        is_actual, is_predicted = F.col(actual) == value, F.col(predicted) == value
-        entries.append(
-            F.struct(
-                F.lit(value).alias("class"),
-                F.count_if(is_actual & is_predicted).alias("hits"),
-                F.count_if(is_predicted).alias("predicted_n"),
-                F.count_if(is_actual).alias("actual_n"),
-            )
-        )
-    counts = df.groupBy(*by).agg(F.array(*entries).alias("_c")).select(*by, F.inline("_c"))
-
-    def ratio(top, bottom):
-        return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
-
-    hits, called, real = F.col("hits"), F.col("predicted_n"), F.col("actual_n")
-    return counts.select(
-        *by,
-        "class",
-        "actual_n",
-        ratio(hits, called).alias("precision"),
-        ratio(hits, real).alias("recall"),
-        ratio(2 * hits, called + real).alias("f1"),
+    counts = df.groupBy(*by).agg(_class_counts(actual, predicted, classes).alias("_c"))
+    measures = _measures(F.col("hits"), F.col("called"), F.col("real"))
+    return counts.select(*by, F.inline("_c")).select(
+        *by, "class", F.col("real").alias("actual_n"), *[m.alias(name) for name, m in measures.items()]
     )
 
 
 def macro_metrics(
     df: DataFrame, actual: str, predicted: str, classes: Sequence[int], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Accuracy over all rows and the plain mean of the class metrics, one row per sample."""
-    per_class = class_report(df, actual, predicted, classes, by)
-    means = per_class.groupBy(*by).agg(
-        *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")]
-    )
-    overall = df.groupBy(*by).agg(
+    """Accuracy over all rows and the plain mean of the class metrics, in one aggregation."""
+    table = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.when(F.col(actual) == F.col(predicted), 1.0).otherwise(0.0)).alias("accuracy"),
+        _class_counts(actual, predicted, classes).alias("_c"),
     )
-    if by:
-        return overall.join(means, list(by))
-    one = F.lit(1).alias("_one")
-    return overall.select("*", one).join(means.select("*", one), "_one").drop("_one")
+
+    def mean_of(name: str):
+        each = F.transform("_c", lambda c: _measures(c["hits"], c["called"], c["real"])[name])
+        return F.aggregate(each, F.lit(0.0), lambda total, x: total + x) / len(classes)
+
+    return table.select(*by, "n", "accuracy", *[mean_of(m).alias(m) for m in ("precision", "recall", "f1")])

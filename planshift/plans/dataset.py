@@ -45,14 +45,15 @@ def build_dataset(
     ``labels`` have (account_id, day, ...), ``visits`` (account_id, visit_day, ...), ``daily``
     (account_id, year, month, date, ...), the flag tables (account_id, visit_day, flags) and
     ``attributes`` (account_id, ...).  DISTINCT runs on the narrow visit rows, before the
-    wide columns come in: all later joins look up by key.
+    wide columns come in: all later joins look up by key.  With ``spread_hot_accounts`` the
+    labels are read once more for their account column; give them as a stored table.
     """
     recent = join_recent(
         labels, visits, "account_id", "day", "visit_day", spec.low, spec.high, latest_only=spec.latest_only
     ).distinct()
     features = rename_clashes(daily_rows(daily, spec).withColumnRenamed("account_id", "_key"), recent, "_daily")
     base = join_daily(recent, features.withColumnRenamed("_key", "account_id"), "account_id", "visit_day", "daily_day")
-    hot = hot_values(labels, "account_id") if spec.spread_hot_accounts else []
+    hot = hot_values(labels, "account_id")["account_id"] if spec.spread_hot_accounts else []
     keys = ["account_id", "visit_day"]
     return enrich(
         base,

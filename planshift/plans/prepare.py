@@ -67,7 +67,7 @@ def _derived(df: DataFrame, spec: PrepSpec) -> DataFrame:
             spec.mix_name: coded(F.col(spec.mix_column), spec.mix_codes, spec.mix_default),
         }
     )
-    cleaned = clean_cells(coded_frame, spec.sentinels, skip=[*spec.keys])
+    cleaned = clean_cells(coded_frame, spec.sentinels, skip=[*spec.keys, spec.label])
     if spec.cap_column not in cleaned.columns:
         return cleaned
     return cleaned.withColumn(

@@ -104,12 +104,11 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account_id")
     )
+    hot = hot_values(lines, "l_partkey", "l_orderkey")
     distinct = lines.distinct()
-    with_part = lookup_join(
-        distinct, parts, ["l_partkey"], "inner", "l_partkey", hot_values(lines, "l_partkey")
-    ).drop("l_partkey")
+    with_part = lookup_join(distinct, parts, ["l_partkey"], "inner", "l_partkey", hot["l_partkey"])
     with_head = lookup_join(
-        with_part, heads, ["l_orderkey"], "inner", "l_orderkey", hot_values(lines, "l_orderkey")
+        with_part.drop("l_partkey"), heads, ["l_orderkey"], "inner", "l_orderkey", hot["l_orderkey"]
     )
     return with_head.withColumnRenamed("l_orderkey", "account_number")
 
