@@ -49,8 +49,8 @@ def materialize(
     """Write ``df`` as parquet and hand back a scan of what was written.
 
     ``target`` is a path, or the name of a catalog table.  A table can be bucketed: tables
-    with the same buckets on the account then join without a shuffle.  Leave that to keys
-    without hot values, a bucket is read by one task.
+    with the same buckets on the same keys then join on them without a shuffle.  Take keys
+    without hot values, such as (account, day), since a bucket is read by one task.
 
     The rows are rebalanced on those columns first: adaptive execution then writes few
     files per folder or bucket and still splits one that holds most rows.
