@@ -21,7 +21,7 @@ from planshift.models.evaluation import (
     sample_report,
     score_samples,
 )
-from planshift.models.families import classifier, fit, fit_per_class, score, score_per_class
+from planshift.models.families import fit, fit_per_class, score, score_per_class, tree_ensemble
 from planshift.models.selection import backward_elimination, select_by_genetic_search
 from planshift.operators.collinearity import prune_collinear
 from planshift.operators.sampling import balanced_weight, positive_weight, train_test
@@ -121,7 +121,7 @@ def class_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J9")
 def features_by_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = samples(matrix(spark, sf_dir))["train"]
-    forest = classifier("importance_forest", "target", numTrees=20, seed=1)
+    forest = tree_ensemble("importance_forest", "target", numTrees=20, seed=1)
     found = backward_elimination(train, S.FEATURES, "target", forest, size=9)
     rows = [(name, found.importance.get(name)) for name in found.kept]
     return spark.createDataFrame(rows, "feature string, importance double")
@@ -137,7 +137,7 @@ def features_by_collinearity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J11 J12")
 def features_by_genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = samples(matrix(spark, sf_dir))["train"]
-    forest = classifier("balanced_forest", "target", numTrees=5)
+    forest = tree_ensemble("balanced_forest", "target", numTrees=5)
     names, found = select_by_genetic_search(
         train, S.FEATURES, "target", KEYS, forest, folds=2, population=4, generations=1
     )

@@ -30,18 +30,16 @@ def node_table(model: PipelineModel, spark) -> DataFrame:
     """Nodes of all trees of a fitted ensemble: split feature and threshold, or leaf value.
 
     ``value`` is what a leaf adds to the score: its weighted prediction for boosting, its
-    share of class 1 over the number of trees for a forest.
+    share of class 1 over the number of trees for a two-class forest.
     """
     ensemble = model.stages[-1]
     path = work_path(spark, "trees")
     ensemble.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    if ensemble.hasParam("stepSize"):
-        weights = F.array(*[F.lit(float(w)) for w in ensemble.treeWeights])
-        value = F.col("prediction") * F.element_at(weights, F.col("treeID") + 1)
-    else:
-        total = F.aggregate("impurityStats", F.lit(0.0), lambda acc, x: acc + x)
-        value = F.col("impurityStats")[1] / total / ensemble.getNumTrees
+    boosted = ensemble.hasParam("stepSize")
+    shares = ensemble.treeWeights if boosted else [1.0 / ensemble.getNumTrees] * ensemble.getNumTrees
+    weights = F.array(*[F.lit(float(w)) for w in shares])
+    value = F.col("prediction") * F.element_at(weights, F.col("treeID") + 1)
     is_leaf = F.col("leftChild") < 0
     return nodes.select(
         F.col("treeID").alias("tree"),

@@ -1,4 +1,10 @@
-"""The model families and how they are fitted and applied."""
+"""The model families and how they are fitted and applied.
+
+Two-class forests are regression forests on the 0/1 label.  Variance splits are the Gini
+splits, and the forest's mean leaf value is the share of class 1.  A classification forest
+would merge sibling leaves that vote alike, which flattens the shares that deciles, lift and
+importances are read off.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +20,8 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planshift.functions.fixed_values import (
@@ -29,8 +36,8 @@ from planshift.functions.fixed_values import (
 from planshift.session import shared_folder
 
 DEFAULTS = {
-    "importance_forest": (RandomForestClassifier, IMPORTANCE_FOREST),
-    "balanced_forest": (RandomForestClassifier, BALANCED_FOREST),
+    "importance_forest": (RandomForestRegressor, IMPORTANCE_FOREST),
+    "balanced_forest": (RandomForestRegressor, BALANCED_FOREST),
     "boosted_trees": (GBTClassifier, BOOSTED_TREES),
     "boosted_trees_deep": (GBTClassifier, BOOSTED_TREES_DEEP),
 }
@@ -42,9 +49,11 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
     return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(df)
 
 
-def classifier(family: str, label: str, weight: str | None = None, **params) -> Estimator:
-    """Unfitted tree classifier with the family's settings, each of which can be overridden."""
+def tree_ensemble(family: str, label: str, weight: str | None = None, classes: int = 2, **params) -> Estimator:
+    """Unfitted ensemble with the family's settings, each of which can be overridden."""
     kind, defaults = DEFAULTS[family]
+    if kind is RandomForestRegressor and classes > 2:
+        kind = RandomForestClassifier
     settings = {**defaults, **params}
     if weight:
         settings["weightCol"] = weight
@@ -56,7 +65,7 @@ def stages(
 ) -> list[Estimator]:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     if family in DEFAULTS:
-        return [assembler, classifier(family, label, weight, **params)]
+        return [assembler, tree_ensemble(family, label, weight, classes, **params)]
     if family == "logistic":
         # L2 strength of the "C" parameterisation: the penalty is shared by all rows
         c = params.pop("C", LOGISTIC_C)
@@ -91,14 +100,21 @@ def fit(
         needed.unpersist()
 
 
+def class_one_share(model: PipelineModel) -> Column:
+    """Probability of class 1 in the output of ``model``."""
+    if isinstance(model.stages[-1], RandomForestRegressionModel):
+        return F.col("prediction")
+    return vector_to_array("probability")[1]
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], classes: int = 2) -> DataFrame:
     """Kept columns with ``pred`` and the probability of class 1 (``p``), or ``p_<class>`` for more classes."""
-    probability = vector_to_array("probability")
-    if classes == 2:
-        shares = [probability[1].alias("p")]
-    else:
-        shares = [probability[i].alias(f"p_{i}") for i in range(classes)]
-    return model.transform(df).select(*keep, F.col("prediction").cast("int").alias("pred"), *shares)
+    scored = model.transform(df)
+    if classes > 2:
+        shares = [vector_to_array("probability")[i].alias(f"p_{i}") for i in range(classes)]
+        return scored.select(*keep, F.col("prediction").cast("int").alias("pred"), *shares)
+    rows = scored.select(*keep, class_one_share(model).alias("p"))
+    return rows.select(*keep, F.when(F.col("p") > 0.5, 1).otherwise(0).alias("pred"), "p")
 
 
 def fit_per_class(
@@ -117,6 +133,6 @@ def score_per_class(models: dict, df: DataFrame, keep: Sequence[str]) -> DataFra
     scored = df
     made = ("features", "scaled", "rawPrediction", "probability", "prediction")
     for value, model in models.items():
-        result = model.transform(scored).withColumn(f"score_{value}", vector_to_array("probability")[1])
+        result = model.transform(scored).withColumn(f"score_{value}", class_one_share(model))
         scored = result.drop(*made)
     return scored.select(*keep, *[f"score_{v}" for v in models])

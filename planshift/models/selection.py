@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.feature import Binarizer, VectorSlicer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 
@@ -150,12 +150,14 @@ def select_by_genetic_search(
     vectors = assemble(folded, features, "all_features").select("all_features", label, "fold")
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     slicer = VectorSlicer(inputCol="all_features", outputCol="features")
-    accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    # class of a two-class forest, and of a classifier just as well
+    chosen = Binarizer(inputCol="prediction", outputCol="chosen", threshold=0.5)
+    accuracy = MulticlassClassificationEvaluator(labelCol=label, predictionCol="chosen", metricName="accuracy")
 
     def fitness(masks: list[Mask]) -> list[float]:
         grid = [{slicer.indices: [i for i, on in enumerate(m) if on]} for m in masks]
         validator = CrossValidator(
-            estimator=Pipeline(stages=[slicer, estimator]),
+            estimator=Pipeline(stages=[slicer, estimator, chosen]),
             estimatorParamMaps=grid,
             evaluator=accuracy,
             numFolds=folds,

@@ -97,7 +97,8 @@ def prune_collinear(
     gram = gram_matrix(df, columns, centred)
     while kept:
         factors = np.nan_to_num(inflation_factors(gram), nan=0.0, posinf=np.inf)
-        worst = min(range(len(kept)), key=lambda i: (-factors[i], kept[i]))
+        # factors equal up to rounding are a tie, which goes to the first name
+        worst = min(range(len(kept)), key=lambda i: (-float(f"{factors[i]:.9e}"), kept[i]))
         if factors[worst] < limit:
             return kept, dropped, dict(zip(kept, map(float, factors)))
         dropped.append((kept.pop(worst), float(factors[worst])))

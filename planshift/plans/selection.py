@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planshift.functions.fixed_values import VIF_LIMIT
-from planshift.models.families import classifier
+from planshift.models.families import tree_ensemble
 from planshift.models.selection import backward_elimination, select_by_genetic_search
 from planshift.operators.collinearity import prune_collinear
 from planshift.operators.encoding import information_value, weight_of_evidence
@@ -28,12 +28,12 @@ def select_features(
     features = list(features)
     if method == "importance":
         size = options.pop("size", 12)
-        forest = classifier("importance_forest", label, **options)
+        forest = tree_ensemble("importance_forest", label, **options)
         return backward_elimination(df, features, label, forest, size).kept
     if method == "collinearity":
         return prune_collinear(df, features, options.pop("limit", VIF_LIMIT), **options)[0]
     if method == "genetic":
-        forest = classifier("balanced_forest", label, **options.pop("forest", {}))
+        forest = tree_ensemble("balanced_forest", label, **options.pop("forest", {}))
         return select_by_genetic_search(df, features, label, keys, forest, **options)[0]
     if method == "information":
         ranked = information_value(weight_of_evidence(df, features, label, [1]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planshift.models import explain as X
 from planshift.models.evaluation import area_under_curve, compare_families, score_samples
-from planshift.models.families import FAMILIES, classifier, fit, fit_per_class, score, score_per_class, stages
+from planshift.models.families import FAMILIES, fit, fit_per_class, score, score_per_class, stages, tree_ensemble
 from planshift.models.selection import backward_elimination, genetic_search, mask_names, select_by_genetic_search
 from planshift.plans.selection import select_features
 from planshift.plans.training import score_and_evaluate, train
@@ -77,6 +77,24 @@ def test_logistic_equals_newton(df, data):
     assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-4)
 
 
+def test_rare_positives_keep_their_ranking(spark):
+    """Leaves that all vote for the common class still tell the shares apart."""
+    rows = [(float(i % 10), int(i % 10 > 7 and i % 3 == 0), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "a double, y int, id int")
+    model = fit(df, ["a"], "y", "importance_forest", numTrees=5, seed=1)
+    shares = {r["a"]: r["p"] for r in score(model, df, ["a"]).distinct().collect()}
+    assert max(shares.values()) < 0.5
+    assert min(shares[8.0], shares[9.0]) > 0.2 and max(shares[v] for v in (0.0, 3.0, 5.0)) < 0.05
+
+
+def test_three_class_forest(df):
+    rows = df.withColumn("k", F.when(F.col("a") > 0.5, 2).when(F.col("b") > 0, 1).otherwise(0))
+    model = fit(rows, FEATURES, "k", "importance_forest", classes=3, numTrees=5, seed=1)
+    scored = score(model, rows, ["id", "k"], classes=3)
+    assert scored.columns == ["id", "k", "pred", "p_0", "p_1", "p_2"]
+    assert scored.filter("k = pred").count() > 400
+
+
 def test_saved_model_scores_alike(df, tmp_path):
     model = fit(df, FEATURES, "y", "boosted_trees", maxIter=3)
     save_model(model, str(tmp_path / "model"))
@@ -136,7 +154,7 @@ def test_genetic_search_stops_when_flat():
 
 
 def test_genetic_selection_on_spark(df):
-    forest = classifier("balanced_forest", "y", numTrees=3)
+    forest = tree_ensemble("balanced_forest", "y", numTrees=3)
     names, found = select_by_genetic_search(df, FEATURES, "y", ["id"], forest, folds=2, population=4, generations=1, max_features=2)
     assert 1 <= len(names) <= 2 and 0.4 < found.fitness <= 1
 
