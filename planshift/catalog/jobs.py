@@ -13,6 +13,7 @@ from planshift.catalog.registry import query
 from planshift.catalog.sql_parts import COUNTERS, given
 from planshift.operators.columns import model_matrix
 from planshift.plans.dataset import DatasetSpec, build_dataset
+from planshift.plans.development import develop
 from planshift.plans.explanation import explain
 from planshift.plans.labels import build_labels
 from planshift.plans.prepare import fit_prep, prepare, training_matrix
@@ -195,6 +196,16 @@ def evaluation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_and_evaluate(done.model, sides, "target", KEYS)["gains"]
 
 
+@query("N3 N6 N7 H7 J13")
+def development_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the years up to 1998, evaluate on both sides of the split and on two later samples."""
+    rows = _unprepared(spark, sf_dir)
+    year = F.col("day")
+    later = {"oot1": rows.filter((year > "1998") & (year <= "1999")), "oot2": rows.filter(year > "1999")}
+    done = develop(rows.filter(year <= "1998"), later, PREPARED_FEATURES, S.PREP, "boosted_trees", maxIter=5)
+    return done.tables["report"]
+
+
 @query("N8 K1 K2 K3 K4")
 def explanation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)

@@ -24,6 +24,7 @@ from planshift.models.evaluation import (
 from planshift.models.families import fit, fit_per_class, score, score_per_class, tree_ensemble
 from planshift.models.selection import backward_elimination, select_by_genetic_search
 from planshift.operators.collinearity import prune_collinear
+from planshift.operators.gains import class_scores, gains_table
 from planshift.operators.sampling import balanced_weight, positive_weight, train_test
 from planshift.sources import standins as S
 from planshift.sources.tables import pinned
@@ -118,6 +119,15 @@ def class_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_per_class(models, rows, ["o_orderkey", "o_orderstatus"])
 
 
+@query("J7 G6")
+def class_model_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains table of each class model on its own class."""
+    classes = ["P", "F", "O"]
+    scored = class_model_scores(spark, sf_dir)
+    long = class_scores(scored, ["o_orderkey"], "o_orderstatus", {c: f"score_{c}" for c in classes})
+    return gains_table(long, "score", "is_class", ["o_orderkey"], ["class"])
+
+
 @query("J9")
 def features_by_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = samples(matrix(spark, sf_dir))["train"]
@@ -156,6 +166,12 @@ def confusion_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_confusion(S.formula_scores(spark, sf_dir), "target")
 
 
+# rank sum with mid-ranks for equal scores
+AUC = (
+    "SELECT sample, (sum(mid) FILTER (WHERE target = 1) - sum(target) * (sum(target) + 1) / 2.0) / "
+    "(sum(target) * (count(*) - sum(target))) AS auc FROM (SELECT *, rank() OVER (PARTITION BY sample ORDER BY p) "
+    "+ (count(*) OVER (PARTITION BY sample, p) - 1) / 2.0 AS mid FROM scored) GROUP BY 1"
+)
 REPORT = {
     "k": "SELECT unnest([0, 1]) AS class",
     "hits": "SELECT sample, class, count(*) FILTER (WHERE target = class AND pred = class) AS tp, "
@@ -170,22 +186,24 @@ REPORT = {
     "counted": counted("sample"),
     "gains": gains("sample"),
     "ks": "SELECT sample, max(100 * abs(target_running - non_target_running)) AS ks FROM gains GROUP BY 1",
+    "auc": AUC,
 }
 REPORT_SQL = given("scored", more=REPORT) + (
     f"SELECT o.sample, n, {r6('accuracy')} AS accuracy, {r6('precision')} AS precision, {r6('recall')} AS recall, "
-    f"{r6('f1')} AS f1, {r6('ks')} AS ks FROM overall o JOIN macro m ON o.sample = m.sample JOIN ks ON o.sample = ks.sample"
+    f"{r6('f1')} AS f1, {r6('ks')} AS ks, {r6('auc')} AS auc FROM overall o JOIN macro m ON o.sample = m.sample "
+    "JOIN ks ON o.sample = ks.sample JOIN auc ON o.sample = auc.sample"
 )
 
 
 @query("J13 F13 G5", REPORT_SQL)
 def formula_report_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = sample_report(S.formula_scores(spark, sf_dir), "target", KEYS)
-    return rounded(table, "accuracy", "precision", "recall", "f1", "ks")
+    return rounded(table, "accuracy", "precision", "recall", "f1", "ks", "auc")
 
 
 @query("J13")
 def model_report_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_report(_scores(matrix(spark, sf_dir), "logistic"), "target", KEYS)
+    return sample_report(pinned(_scores(matrix(spark, sf_dir), "logistic")), "target", KEYS)
 
 
 @query("J14")

@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planshift.models.families import score
-from planshift.operators.gains import gains_table, ks_distance
+from planshift.operators.gains import area_under_curve, gains_table, ks_distance
 from planshift.operators.metrics import confusion_matrix, macro_metrics
+from planshift.sources.tables import pinned
 
 
 def stack_samples(samples: Mapping[str, DataFrame]) -> DataFrame:
@@ -39,26 +39,23 @@ def sample_gains(scored: DataFrame, actual: str, keys: Sequence[str]) -> DataFra
 
 
 def sample_report(scored: DataFrame, actual: str, keys: Sequence[str]) -> DataFrame:
-    """Accuracy, macro metrics and KS per sample."""
+    """Accuracy, macro metrics, KS and area under the curve per sample; one row per sample joins."""
     distances = ks_distance(sample_gains(scored, actual, keys), ["sample"])
-    return sample_metrics(scored, actual).join(distances, "sample")
-
-
-def area_under_curve(scored: DataFrame, actual: str) -> float:
-    """True area under the ROC curve, next to the accuracy that is often printed in its place."""
-    doubles = scored.select(F.col(actual).cast("double").alias("label"), F.col("p").alias("score"))
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score").evaluate(doubles)
+    areas = area_under_curve(scored, "p", actual, ["sample"])
+    return sample_metrics(scored, actual).join(distances, "sample").join(areas, "sample")
 
 
 def compare_families(
     models: Mapping[str, PipelineModel], samples: Mapping[str, DataFrame], actual: str, keys: Sequence[str]
 ) -> DataFrame:
-    """One tidy row per family and sample."""
+    """One tidy row per family and sample; every model scores every row once."""
     scored = [
         score_samples(model, samples, [*keys, actual]).withColumn("family", F.lit(name))
         for name, model in models.items()
     ]
-    every = reduce(DataFrame.unionByName, scored)
+    every = pinned(reduce(DataFrame.unionByName, scored))
     metrics = macro_metrics(every, actual, "pred", (0, 1), ["family", "sample"])
     gains = gains_table(every, "p", actual, keys, ["family", "sample"])
-    return metrics.join(ks_distance(gains, ["family", "sample"]), ["family", "sample"])
+    areas = area_under_curve(every, "p", actual, ["family", "sample"])
+    keys_of = ["family", "sample"]
+    return metrics.join(ks_distance(gains, keys_of), keys_of).join(areas, keys_of)

@@ -12,7 +12,7 @@ from planshift.operators.joins import hot_values, lookup_join
 from planshift.operators.ranking import global_rank
 from planshift.sources.tables import pinned
 
-# Lookup tables up to this many rows travel to every executor; longer ones are shuffled.
+# Up to this many values of a variable travel to every executor; more are shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -83,22 +83,24 @@ def attach_lookup(
 ) -> DataFrame:
     """Add ``<variable><suffix>`` from a (variable, value, result) table; no match gives NULL.
 
-    The table is computed once and counted.  A short one is broadcast, a long one is
-    shuffled with values that fill much of a column spread over several tasks.
+    The table is computed once and its rows are counted per variable.  Few values are
+    broadcast; many values are shuffled, and those that fill much of a column are spread
+    over several tasks.
     """
     table = pinned(table.select("variable", "value", result))
-    short = table.count() <= BROADCAST_ROWS
+    sizes = table.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per variable
+    long = [s["variable"] for s in sizes if s["n"] > BROADCAST_ROWS and s["variable"] in variables]
     text = text or (lambda column: column.cast("string"))
+    hot = hot_values(df.select(*[text(F.col(v)).alias(v) for v in long]), *long) if long else {}
     for variable in variables:
         one = table.filter(F.col("variable") == variable).select(
             F.col("value").alias("_value"), F.col(result).alias(variable + suffix)
         )
         keyed = df.withColumn("_value", text(F.col(variable)))
-        if short:
-            df = keyed.join(F.broadcast(one), "_value", "left").drop("_value")
+        if variable in long:
+            df = lookup_join(keyed, one, ["_value"], "left", "_value", hot[variable]).drop("_value")
         else:
-            hot = hot_values(keyed, "_value")["_value"]
-            df = lookup_join(keyed, one, ["_value"], "left", "_value", hot).drop("_value")
+            df = keyed.join(F.broadcast(one), "_value", "left").drop("_value")
     return df
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planshift.operators.ranking import assign_deciles
+from planshift.operators.ranking import assign_deciles, running_totals
 
 
 def decile_counts(
@@ -73,6 +73,21 @@ def ks_distance(gains: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     return gains.groupBy(*group_by).agg(F.max("ks_at").alias("ks"))
 
 
+def area_under_curve(scored: DataFrame, score: str, target: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve (``auc``) per group; equal scores count half.
+
+    Rows of one score are counted together first, so a score shared by a third of the rows
+    is a single row of the ordered part.
+    """
+    counted = scored.groupBy(*group_by, score).agg(
+        F.count_if(F.col(target) == 1).alias("_hits"), F.count_if(F.col(target) == 0).alias("_others")
+    )
+    ordered = running_totals(counted, [F.col(score)], "_others", group_by)
+    beaten = F.col("_hits") * (F.col("before") + F.col("_others") / 2)
+    pairs = F.sum("_hits") * F.max("whole")
+    return ordered.groupBy(*group_by).agg(F.try_divide(F.sum(beaten), pairs).alias("auc"))
+
+
 def class_scores(
     scored: DataFrame, keys: Sequence[str], actual: str, score_columns: dict, carry: Sequence[str] = ()
 ) -> DataFrame:

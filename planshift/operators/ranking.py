@@ -95,6 +95,23 @@ def assign_deciles(
     return ranked.withColumn("decile", decile_of(F.col("_rank"), F.col("_total"), bins)).drop("_rank", "_total")
 
 
+def running_totals(
+    df: DataFrame, order_by: Sequence[Column], weight: str, group_by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``before`` and ``upto`` (sum of ``weight`` ahead of and including the row) and ``whole``.
+
+    Sums run inside the pieces and continue over the totals of earlier pieces, within each group.
+    """
+    rows = _sorted_pieces(df, group_by, order_by, None)
+    offsets = _before(rows, group_by, F.col(weight), "whole")
+    inside = Window.partitionBy("_piece", *group_by).orderBy(*order_by)
+    so_far = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    # one small row per (piece, group), as in global_rank
+    joined = rows.join(F.broadcast(offsets), [*group_by, "_piece"])
+    summed = joined.withColumn("upto", F.col("_earlier") + so_far)
+    return summed.select(*df.columns, (F.col("upto") - F.col(weight)).alias("before"), "upto", "whole")
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles of many columns: one row (feature, q1, q2, ...) each.
 
@@ -110,23 +127,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    rows = _sorted_pieces(counted, ["feature"], [F.col("value")], None)
-    offsets = _before(rows, ["feature"], F.col("_n"), "_total")
-    inside = Window.partitionBy("_piece", "feature").orderBy("value")
-    last = F.col("_earlier") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    spans = (
-        rows.join(F.broadcast(offsets), ["feature", "_piece"])  # one row per piece and column
-        .withColumn("_last", last)
-        .withColumn("_start", F.col("_last") - F.col("_n"))
-    )
+    spans = running_totals(counted, [F.col("value")], "_n", ["feature"])
 
     def at(position: Column) -> Column:
-        hit = (F.col("_start") <= position) & (position < F.col("_last"))
+        hit = (F.col("before") <= position) & (position < F.col("upto"))
         return F.max(F.when(hit, F.col("value")))
 
     picks = []
     for name, p in zip(names, probabilities):
-        where = F.lit(p) * (F.col("_total") - 1)
+        where = F.lit(p) * (F.col("whole") - 1)
         picks += [
             at(F.floor(where)).alias(f"{name}_low"),
             at(F.ceil(where)).alias(f"{name}_high"),

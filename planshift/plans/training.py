@@ -17,6 +17,7 @@ from planshift.models.evaluation import (
 )
 from planshift.models.families import fit
 from planshift.operators.sampling import balanced_weight, positive_weight, train_test
+from planshift.sources.tables import pinned
 
 # families that weigh the classes, and how
 WEIGHTED = {"boosted_trees": "positive", "balanced_forest": "balanced"}
@@ -58,8 +59,11 @@ def train(
 def score_and_evaluate(
     model: PipelineModel, samples: Mapping[str, DataFrame], label: str, keys: Sequence[str]
 ) -> dict[str, DataFrame]:
-    """Scores of all samples in one pass, with report, confusion matrix and gains per sample."""
-    scored = score_samples(model, samples, [*keys, label])
+    """Scores of all samples in one pass, with report, confusion matrix and gains per sample.
+
+    The scores are stored once, the tables read them from there instead of scoring again.
+    """
+    scored = pinned(score_samples(model, samples, [*keys, label]))
     return {
         "scores": scored,
         "report": sample_report(scored, label, keys),

@@ -243,6 +243,17 @@ def test_gains_invariants(spark):
     assert abs(ks - flipped) < 100 * 10 / 200
 
 
+def test_area_under_curve_counts_pairs(spark):
+    rng = random.Random(8)
+    rows = [("g" if i % 4 else "h", rng.randint(0, 6) / 6, int(rng.random() < 0.4)) for i in range(300)]
+    found = {r["g"]: r["auc"] for r in G.area_under_curve(spark.createDataFrame(rows, "g string, p double, y int"), "p", "y", ["g"]).collect()}
+    for group in ("g", "h"):
+        hits = [p for g, p, y in rows if g == group and y]
+        others = [p for g, p, y in rows if g == group and not y]
+        won = sum((a > b) + 0.5 * (a == b) for a in hits for b in others)
+        assert found[group] == pytest.approx(won / len(hits) / len(others))
+
+
 def test_gains_without_targets(spark):
     df = spark.range(30).select("id", (F.col("id") / 30).alias("p"), F.lit(0).alias("y"))
     table = G.gains_table(df, "p", "y", ["id"]).collect()

@@ -53,8 +53,9 @@ def test_entry_has_rows(spark):
 def test_every_query_without_sql_depends_on_a_fit_or_matrix_algebra():
     assert set(QUERIES) - set(SQL) == {
         "inflation_of_all", "forest_importance", "balanced_forest_scores", "boosted_tree_scores",
-        "deep_boosted_tree_scores", "logistic_scores", "neural_scores", "class_model_scores",
+        "deep_boosted_tree_scores", "logistic_scores", "neural_scores", "class_model_scores", "class_model_gains",
         "features_by_elimination", "features_by_collinearity", "features_by_genetic_search",
         "model_report_by_sample", "families_compared", "gain_importance", "split_count_importance",
         "tree_contributions", "selection_job", "training_job", "evaluation_job", "explanation_job",
+        "development_job",
     }
