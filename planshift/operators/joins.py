@@ -121,7 +121,9 @@ def enrich(base: DataFrame, *sources: tuple[DataFrame, Sequence[str], Sequence])
 
     A source may hold exact copies of a row; they are collapsed before the join, so they
     do not multiply ``base``.  For a source grouped by its keys Spark drops that step.
+    Where both have a column, the source's values are kept.
     """
     for frame, keys, hot in sources:
-        base = lookup_join(base, frame.distinct(), keys, "left", keys[0], hot)
+        replaced = [c for c in frame.columns if c in base.columns and c not in keys]
+        base = lookup_join(base.drop(*replaced), frame.distinct(), keys, "left", keys[0], hot)
     return base

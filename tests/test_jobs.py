@@ -96,7 +96,7 @@ def dataset(spark, snaps, sold):
         [(1, day(20), "Y"), (1, day(20), "Y"), (6, day(24), "N")], "account_id int, visit_day date, page_flag string"
     )
     attributes = spark.createDataFrame([(1, 90.0, "VIDEO ONLY"), (6, 3.0, None)], "account_id int, tenure_by_account double, product_mix string")
-    return build_dataset(labels.drop("product_mix"), visits, daily, flags, flags, attributes, DatasetSpec(2019, 8))
+    return build_dataset(labels, visits, daily, flags, flags, attributes, DatasetSpec(2019, 8))
 
 
 def test_dataset(dataset):
@@ -109,6 +109,8 @@ def test_dataset(dataset):
         (1, day(20), 3, 7, 5, "Y", "Y", 90.0),
         (6, day(24), 2, 1, 8, "N", "N", 3.0),
     ]
+    mixes = {r["account_id"]: r["product_mix"] for r in dataset.collect()}
+    assert mixes == {1: "VIDEO ONLY", 6: None}  # the attribute, not the mix of the sale
 
 
 def test_preparation(dataset):

@@ -199,6 +199,14 @@ def test_inflation_against_regressions(spark):
     assert np.allclose([table[n] for n in names], expected)
 
 
+def test_missing_values_add_nothing(spark):
+    data = pd.DataFrame({f"x{i}": [1.0, 2.0, None if i % 2 else 3.0] for i in range(8)})
+    df = spark.createDataFrame(data)
+    names = list(data.columns)
+    narrow = gram_matrix(df, names[:4])
+    assert np.allclose(gram_matrix(df, names)[:4, :4], narrow) and narrow[1, 1] == 5.0
+
+
 def test_wide_gram_matrix_equals_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 30))
