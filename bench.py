@@ -18,7 +18,7 @@ from planshift.session import build_session
 
 HEADLINE = [
     # joins and labels
-    "label_job", "dataset_job", "recent_visits_exploded", "recent_visits_direct", "daily_row_join",
+    "label_job", "dataset_job", "recent_visits_exploded", "recent_visits_bucketed", "daily_row_join",
     "triple_enrichment", "spread_hot_keys", "period_self_join",
     # features, cleaning and profiles
     "trailing_activity", "all_columns_but", "prepare_job", "training_matrix_job", "cast_numeric_columns",

@@ -54,8 +54,13 @@ def recent_visits_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("E3", RECENT)
-def recent_visits_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recent(spark, sf_dir, form="direct")
+def recent_visits_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recent(spark, sf_dir, form="bucketed")
+
+
+@query("E3", RECENT.replace("BETWEEN 0 AND 2", "BETWEEN 1 AND 14"))
+def fortnight_visits_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recent(spark, sf_dir, low=1, high=14, form="bucketed")
 
 
 @query(

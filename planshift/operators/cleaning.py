@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from planshift.functions.expressions import coded, number_of
 from planshift.functions.fixed_values import CELL_SENTINELS, MISSING_NUMERIC, MISSING_TEXT
-from planshift.operators.columns import split_by_type
+from planshift.operators.columns import cells, split_by_type
 
 
 def clean_cells(
@@ -61,9 +61,9 @@ def numeric_text_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     strings = [c for c in split_by_type(df)[1] if c not in skip]
     if not strings:
         return []
-    bad = [F.count_if(F.col(c).isNotNull() & number_of(F.col(c)).isNull()).alias(c) for c in strings]
-    counts = df.agg(*bad).first()
-    return [c for c in strings if counts[c] == 0]
+    other = {c: F.col(c).isNotNull() & number_of(F.col(c)).isNull() for c in strings}
+    found = cells(df, other).filter("value").select("feature").distinct().collect()  # a row per column at most
+    return [c for c in strings if c not in {row["feature"] for row in found}]
 
 
 def cast_numeric(df: DataFrame, text_columns: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planshift.functions.expressions import tidy_text
-from planshift.functions.fixed_values import FEATURE_SETS
+from planshift.functions.fixed_values import EXCLUDED_COLUMNS, FEATURE_SETS
 
 
 def project(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -40,7 +40,7 @@ def split_by_type(df: DataFrame) -> tuple[list[str], list[str]]:
     return numeric, text
 
 
-def drop_features(df: DataFrame, names: Iterable[str], keep: Sequence[str] = ()) -> DataFrame:
+def drop_features(df: DataFrame, names: Iterable[str] = EXCLUDED_COLUMNS, keep: Sequence[str] = ()) -> DataFrame:
     """Drop the listed columns, never those in ``keep`` (label, keys, weights)."""
     return df.drop(*[n for n in names if n not in keep])
 
@@ -53,6 +53,22 @@ def model_matrix(df: DataFrame, features: Sequence[str], label: str, keys: Seque
     return df.select(*keys, *features, label)
 
 
+def cells(df: DataFrame, values: Mapping[str, Column], carry: Sequence[str] = ()) -> DataFrame:
+    """One row (``feature``, ``value``) per row and named expression, beside the carried columns.
+
+    Grouped by ``feature`` it profiles any number of columns with one small aggregation: the
+    plan does not grow with the table's width, and the map tasks send a row per feature.
+    """
+    names = F.array(*[F.lit(n) for n in values])
+    long = df.select(*carry, F.posexplode(F.array(*values.values())).alias("_place", "value"))
+    return long.select(*carry, F.element_at(names, F.col("_place") + 1).alias("feature"), "value")
+
+
+def known_doubles(columns: Sequence[str]) -> dict[str, Column]:
+    """Columns as doubles, NaN taken as missing."""
+    return {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+
+
 def column_listing(df: DataFrame) -> DataFrame:
     """Position, name and type of each column, with the row count of the frame."""
     entries = F.array(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planshift.functions.expressions import smoothed_log_ratio, tidy_text
+from planshift.operators.columns import cells
 from planshift.operators.joins import hot_values, lookup_join
 from planshift.operators.ranking import global_rank
 from planshift.sources.tables import pinned
@@ -27,8 +28,8 @@ def category_counts(df: DataFrame, variables: Sequence[str], label: str, classes
 
     Unknown values (NULL) are left out, as grouping on them does in data frames.
     """
-    texts = df.select(*[F.col(v).cast("string").alias(v) for v in variables], label)
-    long = texts.unpivot([label], list(variables), "variable", "value").filter(F.col("value").isNotNull())
+    texts = {v: F.col(v).cast("string") for v in variables}
+    long = cells(df, texts, [label]).withColumnRenamed("feature", "variable").filter(F.col("value").isNotNull())
     per_class = [F.count_if(F.col(label) == c).alias(f"n_{i}") for i, c in enumerate(classes)]
     return long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"), *per_class)
 
@@ -114,8 +115,8 @@ def label_codes(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     Distinct values only are ranked, by range partitions, so no list of values is ever
     held in one place.
     """
-    texts = df.select(*[tidy_text(F.col(v)).alias(v) for v in variables])
-    distinct = texts.unpivot([], list(variables), "variable", "value").distinct()
+    texts = {v: tidy_text(F.col(v)) for v in variables}
+    distinct = cells(df, texts).withColumnRenamed("feature", "variable").distinct()
     ranked = global_rank(distinct, [F.col("value")], ["variable"])
     return ranked.select("variable", "value", (F.col("rank") - 1).alias("code"))
 

@@ -85,19 +85,27 @@ def join_recent(
     """Visits made ``low`` to ``high`` days before each sale of the same account.
 
     ``exploded`` turns the interval into ``high - low + 1`` exact days and joins on
-    (account, day), so one busy account is spread over its days.  ``direct`` joins on the
-    account and filters the interval.  Both give the same rows.
+    (account, day), so one busy account is spread over its days.  ``bucketed`` is for wide
+    intervals: time is cut into stretches as long as the interval, a sale looks into the two
+    it can reach and filters the days there.  Both give the same rows.
     ``latest_only`` keeps the last visit of each sale instead of all of them.
     """
+    first, last_day = F.date_sub(sale_day, high), F.date_sub(sale_day, low)
     if form == "exploded":
-        wanted = sales.withColumn(
-            visit_day,
-            F.explode(F.sequence(F.date_sub(sale_day, high), F.date_sub(sale_day, low))),
-        )
+        wanted = sales.withColumn(visit_day, F.explode(F.sequence(first, last_day)))
         joined = wanted.join(visits, [key, visit_day])
-    elif form == "direct":
-        joined = sales.join(visits, key).filter(
-            within_days(F.col(sale_day), F.col(visit_day), low, high)
+    elif form == "bucketed":
+        width = high - low + 1
+
+        def stretch(day: Column) -> Column:
+            return F.floor(F.unix_date(day) / width)
+
+        reach = F.array_distinct(F.array(stretch(first), stretch(last_day)))
+        placed = visits.withColumn("_stretch", stretch(F.col(visit_day)))
+        joined = (
+            sales.withColumn("_stretch", F.explode(reach))
+            .join(placed, [key, "_stretch"])
+            .filter(within_days(F.col(sale_day), F.col(visit_day), low, high))
         )
     else:
         raise ValueError(f"unknown form {form!r}")

@@ -1,4 +1,4 @@
-"""Data profiles.  Each profile is one aggregation over all asked columns."""
+"""Data profiles.  Each is one aggregation over all asked columns, in long form."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planshift.functions.expressions import percent
-from planshift.operators.columns import split_by_type
+from planshift.operators.columns import cells, known_doubles, split_by_type
 from planshift.operators.ranking import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -29,22 +29,13 @@ def class_share(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("share_pct", percent(F.col("n"), total))
 
 
-def _missing(name: str):
-    return F.count_if(F.col(name).isNull())
-
-
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature, nulls, missing_pct) for each column."""
-    columns = list(columns or df.columns)
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            _missing(c).alias("nulls"),
-            percent(_missing(c), F.count(F.lit(1))).alias("missing_pct"),
-        )
-        for c in columns
-    ]
-    return df.agg(F.array(*entries).alias("_rows")).select(F.inline("_rows"))
+    known = {c: F.col(c).isNull() for c in (columns or df.columns)}
+    nulls = F.count_if(F.col("value"))
+    return cells(df, known).groupBy("feature").agg(
+        nulls.alias("nulls"), percent(nulls, F.count(F.lit(1))).alias("missing_pct")
+    )
 
 
 def columns_with_nulls(df: DataFrame) -> DataFrame:
@@ -64,24 +55,19 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: str = "exa
     1/10000 of the rank), which saves the range-partitioned counting pass.
     """
     columns = list(columns)
-    doubles = df.select([F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    sketch = quantiles == "approx"
-    entries = []
-    for c in columns:
-        fields = [
-            F.lit(c).alias("feature"),
-            F.count(c).alias("n"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).alias("min"),
-            F.max(c).alias("max"),
-            (F.max(c) - F.min(c)).alias("max_min"),
-            percent(_missing(c), F.count(F.lit(1))).alias("missing_pct"),
-        ]
-        if sketch:
-            fields += [F.percentile_approx(c, p).alias(f"q{round(p * 100):02d}") for p in QUARTILES]
-        entries.append(F.struct(*fields))
-    table = doubles.agg(F.array(*entries).alias("_rows")).select(F.inline("_rows"))
+    value, sketch = F.col("value"), quantiles == "approx"
+    measures = [
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        (F.max(value) - F.min(value)).alias("max_min"),
+        percent(F.count_if(value.isNull()), F.count(F.lit(1))).alias("missing_pct"),
+    ]
+    if sketch:
+        measures += [F.percentile_approx(value, p).alias(f"q{round(p * 100):02d}") for p in QUARTILES]
+    table = cells(df, known_doubles(columns)).groupBy("feature").agg(*measures)
     if not sketch:
         # both sides hold one row per column
         table = table.join(exact_quantiles(df, columns, QUARTILES), "feature", "left")
@@ -99,10 +85,12 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     value = F.col(column).cast("double")
     edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     low, high = edges.select("lo").scalar(), edges.select("hi").scalar()
-    with_range = df.select(value.alias("v"), low.alias("lo"), high.alias("hi"))
+    spread = F.when(low == high, 0.5).otherwise(0.0)  # one value only: a range of 1 around it
+    with_range = df.select(value.alias("v"), (low - spread).alias("lo"), (high + spread).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    place = F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(bins - 1)) + 1
-    placed = with_range.select("lo", width.alias("w"), F.coalesce(place, F.when(F.col("v").isNotNull(), 1)).alias("bin"))
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)) + 1
+    # "least" passes over NULL, so a missing value has to be kept out of the bins
+    placed = with_range.select("lo", width.alias("w"), F.when(F.col("v").isNotNull(), place).alias("bin"))
     entries = [
         F.struct(
             F.lit(b).alias("bin"),
@@ -116,12 +104,9 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str, floor: float | None = None) -> DataFrame:
     """Pearson correlation of each column with the target, optionally only those above ``floor``."""
-    goal = F.col(target).cast("double")
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.corr(F.col(c).cast("double"), goal).alias("correlation"))
-        for c in columns
-    ]
-    table = df.agg(F.array(*entries).alias("_rows")).select(F.inline("_rows"))
+    doubles = {c: F.col(c).cast("double") for c in columns}
+    long = cells(df.withColumn("_goal", F.col(target).cast("double")), doubles, ["_goal"])
+    table = long.groupBy("feature").agg(F.corr("value", "_goal").alias("correlation"))
     return table if floor is None else table.filter(F.col("correlation") > floor)
 
 

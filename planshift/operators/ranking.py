@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planshift.operators.columns import cells, known_doubles
 from planshift.sources.tables import pinned
 
 # monotonically_increasing_id holds the partition above 33 bits of row number.
@@ -120,9 +121,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     statistics around each wanted position.  NULL and NaN do not take part.
     """
     names = [f"q{round(p * 100):02d}" for p in probabilities]
-    doubles = df.select([F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
     counted = (
-        doubles.unpivot([], list(columns), "feature", "value")
+        cells(df, known_doubles(columns))
         .filter(F.col("value").isNotNull())
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from planshift.functions import expressions as X
-from planshift.functions.fixed_values import PRIOR_TIER_CODES, PRODUCT_MIX_CODES, TIER_RANKS
+from planshift.functions.fixed_values import EXCLUDED_COLUMNS, PRIOR_TIER_CODES, PRODUCT_MIX_CODES, TIER_RANKS
 from planshift.operators import cleaning as K
 from planshift.operators import filters as R
 from planshift.operators.columns import drop_features, feature_set, rename_clashes, split_numeric_text
@@ -102,6 +102,8 @@ def test_columns(spark):
     assert numbers.columns == ["k", "n", "target"] and numbers.first()["n"] == 0.0
     assert texts.first()["t"] == "A"
     assert drop_features(df, ["t", "k"], keep=["k"]).columns == ["k", "n", "u"]
+    assert drop_features(df.withColumnRenamed("t", "geo_city")).columns == ["k", "n", "u"]
+    assert len(EXCLUDED_COLUMNS) == 156
     assert rename_clashes(df, df.select("k"), "_r").columns == ["k_r", "t", "n", "u"]
     assert [len(feature_set(n)) for n in ("reduced_12", "broad_24", "genetic_36", "genetic_42")] == [12, 24, 36, 42]
 

@@ -86,6 +86,8 @@ def test_histogram_closes_last_bin(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 5, 9.99, 10, 10]], "v double")
     counts = [r["n"] for r in P.histogram(df, "v").orderBy("bin").collect()]
     assert counts == np.histogram([0, 1, 5, 9.99, 10, 10], bins=10)[0].tolist()
+    flat = P.histogram(spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double"), "v").orderBy("bin")
+    assert [r["n"] for r in flat.collect()] == np.histogram([3.0, 3.0], bins=10)[0].tolist()
 
 
 def day(n):
@@ -98,11 +100,19 @@ def test_interval_join_edges_and_forms(spark):
         [(1, day(10), 0), (1, day(8), 2), (1, day(7), 3), (1, day(11), -1), (2, day(9), 1), (3, day(10), 0)],
         "a int, seen date, gap int",
     )
-    for form in ("exploded", "direct"):
+    for form in ("exploded", "bucketed"):
         found = J.join_recent(sales, visits, "a", "sale", "seen", form=form)
         assert sorted((r["a"], r["gap"]) for r in found.collect()) == [(1, 0), (1, 2), (2, 1)]
     last = J.join_recent(sales, visits, "a", "sale", "seen", latest_only=True)
     assert sorted((r["a"], r["gap"]) for r in last.collect()) == [(1, 0), (2, 1)]
+    rng = random.Random(4)
+    many_sales = spark.createDataFrame([(rng.randint(1, 3), day(rng.randint(0, 60))) for _ in range(80)], "a int, sale date").distinct()
+    many_visits = spark.createDataFrame([(rng.randint(1, 3), day(rng.randint(0, 60))) for _ in range(120)], "a int, seen date").distinct()
+    for low, high in ((0, 0), (0, 9), (3, 30)):
+        pairs = [J.join_recent(many_sales, many_visits, "a", "sale", "seen", low, high, form) for form in ("exploded", "bucketed")]
+        assert pairs[0].exceptAll(pairs[1]).count() == pairs[1].exceptAll(pairs[0]).count() == 0
+        crossed = [(s, v) for s in many_sales.collect() for v in many_visits.collect() if s["a"] == v["a"]]
+        assert pairs[0].count() == sum(low <= (s["sale"] - v["seen"]).days <= high for s, v in crossed)
     strict = J.join_recent(sales, visits, "a", "sale", "seen", low=1)
     assert sorted((r["a"], r["gap"]) for r in strict.collect()) == [(1, 2), (2, 1)]
 
