@@ -66,8 +66,10 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: str = "exa
         percent(F.count_if(value.isNull()), F.count(F.lit(1))).alias("missing_pct"),
     ]
     if sketch:
-        measures += [F.percentile_approx(value, p).alias(f"q{round(p * 100):02d}") for p in QUARTILES]
+        measures.append(F.percentile_approx(value, list(QUARTILES)).alias("_q"))
     table = cells(df, known_doubles(columns)).groupBy("feature").agg(*measures)
+    if sketch:
+        table = table.withColumns({f"q{round(p * 100):02d}": F.col("_q")[i] for i, p in enumerate(QUARTILES)})
     if not sketch:
         # both sides hold one row per column
         table = table.join(exact_quantiles(df, columns, QUARTILES), "feature", "left")
