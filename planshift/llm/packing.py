@@ -42,7 +42,7 @@ def encoded(docs: DataFrame, vocabulary_file: str, key: str, text: str, source:
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in two bytes")
         for batch in batches:
-            for rows in row_slices(batch, "__text", 4 << 20):
+            for rows in row_slices(batch, "__text", 2 << 20):
                 ids, bounds = encoder.encode(rows.column(2))
                 ids = np.insert(ids.astype("<u2"), bounds[1:], end_id)
                 lengths = np.diff(bounds) + 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -96,6 +97,15 @@ def running_total(
     )
 
 
+def tidy() -> None:
+    """Hands freed memory of a worker back, so that the workers of one executor do not all hold their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def row_slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that no slice holds much more than ``most_bytes`` of text; a single longer text stays whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -105,6 +115,7 @@ def row_slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> I
         stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    tidy()
 
 
 def listed(strings: pa.Array, apart: str) -> list[str]:

@@ -97,7 +97,7 @@ def write_token_files(
         sink = sequences = index = index_sink = None
         n_docs = n_tokens = 0
         for batch in batches:
-            for rows in row_slices(batch, "text", 4 << 20):
+            for rows in row_slices(batch, "text", 2 << 20):
                 if sink is None:
                     sink, index_sink = system.open_output_stream(own), system.open_output_stream(f"{own}.docs")
                     sequences = SequenceWriter(sink, sequence_length, dtype)

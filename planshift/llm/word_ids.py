@@ -20,7 +20,7 @@ from tokenizers.models import BPE
 from planshift.llm.shared import listed
 
 # Pieces kept per worker, about 200 bytes each; beyond it the store starts anew.
-MOST_PIECES = 600_000
+MOST_PIECES = 400_000
 WIDE_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CONTROL = r"\x00-\x09\x0b-\x1f"
 # A space or line feed must stand alone between words; one empty line is simple too.
