@@ -15,6 +15,8 @@ NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 def coded(value: Column, codes: Mapping, default=None) -> Column:
     """Look ``value`` up in a small constant mapping; anything else, NULL included, gets ``default``."""
+    if not codes:
+        return F.lit(default)
     expr = F
     for key, code in codes.items():
         expr = expr.when(value == key, F.lit(code))

@@ -33,6 +33,8 @@ def node_table(model: PipelineModel, spark) -> DataFrame:
     share of class 1 over the number of trees for a two-class forest.
     """
     ensemble = model.stages[-1]
+    if getattr(ensemble, "numClasses", 2) > 2:
+        raise ValueError("forests of more than two classes have no single score; explain one class against the rest")
     path = work_path(spark, "trees")
     ensemble.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
@@ -130,6 +132,8 @@ def tree_contributions(
     def contributions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
+            if np.isnan(x).any():
+                raise ValueError("a feature is missing; rows with missing features can be neither scored nor explained")
             phi = np.zeros_like(x)
             for (value, used, low, high, share), table in zip(paths, tables):
                 if not len(used):

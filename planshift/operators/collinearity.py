@@ -22,6 +22,9 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], centred: bool = False) ->
     work = columns + ["_one"]
     known = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]
     doubles = df.select(*known, F.lit(1.0).alias("_one"))
+    if centred:  # around the means from a pass before: differences of large sums would lose all digits
+        means = doubles.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        doubles = doubles.select(*[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns], "_one")
     pairs = [(i, j) for i in range(len(work)) for j in range(i, len(work))]
     full = np.zeros((len(work), len(work)))
     if len(columns) <= BUILT_IN_WIDTH:
@@ -34,8 +37,7 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], centred: bool = False) ->
         cells = (((r["i"], r["j"]), r["g"]) for r in found)
     for (i, j), value in cells:
         full[i, j] = full[j, i] = value or 0.0
-    gram, means, n = full[:-1, :-1], full[-1, :-1], full[-1, -1]
-    return gram - np.outer(means, means) / n if centred and n else gram
+    return full[:-1, :-1]
 
 
 def _partial_products(columns: Sequence[str]):

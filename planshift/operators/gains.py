@@ -84,7 +84,8 @@ def area_under_curve(scored: DataFrame, score: str, target: str, group_by: Seque
     )
     ordered = running_totals(counted, [F.col(score)], "_others", group_by)
     beaten = F.col("_hits") * (F.col("before") + F.col("_others") / 2)
-    pairs = F.sum("_hits") * F.max("whole")
+    # as doubles: the product of two large counts goes beyond 64 bits
+    pairs = F.sum("_hits").cast("double") * F.max("whole").cast("double")
     return ordered.groupBy(*group_by).agg(F.try_divide(F.sum(beaten), pairs).alias("auc"))
 
 

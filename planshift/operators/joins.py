@@ -88,8 +88,11 @@ def join_recent(
     (account, day), so one busy account is spread over its days.  ``bucketed`` is for wide
     intervals: time is cut into stretches as long as the interval, a sale looks into the two
     it can reach and filters the days there.  Both give the same rows.
-    ``latest_only`` keeps the last visit of each sale instead of all of them.
+    ``latest_only`` keeps the last visit of each sale instead of all of them; equal sales stay apart.
     """
+    names = sales.columns
+    if latest_only:
+        sales = sales.withColumn("_sale", F.monotonically_increasing_id())
     first, last_day = F.date_sub(sale_day, high), F.date_sub(sale_day, low)
     if form == "exploded":
         wanted = sales.withColumn(visit_day, F.explode(F.sequence(first, last_day)))
@@ -114,7 +117,7 @@ def join_recent(
     if not latest_only:
         return joined
     last = joined.groupBy(*sales.columns).agg(F.max(F.struct(visit_day, *extra)).alias("_last"))
-    return last.select(*sales.columns, "_last.*")
+    return last.select(*names, "_last.*")
 
 
 def join_daily(base: DataFrame, daily: DataFrame, key: str, day: str, daily_day: str) -> DataFrame:

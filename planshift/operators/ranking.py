@@ -50,6 +50,15 @@ def _before(rows: DataFrame, group_by: Sequence[str], weight: Column, total: str
     )
 
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, group_by: Sequence[str]) -> DataFrame:
+    """Joins one small row per (piece, group) on; a NULL group is a group like any other."""
+    renamed = offsets.withColumnsRenamed({"_piece": "_its_piece"} | {g: f"_its_{g}" for g in group_by})
+    matched = rows["_piece"] == renamed["_its_piece"]
+    for g in group_by:
+        matched = matched & rows[g].eqNullSafe(renamed[f"_its_{g}"])
+    return rows.join(F.broadcast(renamed), matched)
+
+
 def global_rank(
     df: DataFrame,
     order_by: Sequence[Column],
@@ -66,7 +75,7 @@ def global_rank(
     rows = _sorted_pieces(df, group_by, order_by, pieces)
     offsets = _before(rows, group_by, F.lit(1), total_name)
     # one small row per (piece, group): bounded by the partition count plus the group count
-    ranked = rows.join(F.broadcast(offsets), [*group_by, "_piece"])
+    ranked = _with_offsets(rows, offsets, group_by)
     position = F.col("_place") - F.col("_first") + F.col("_earlier") + 1
     return ranked.select(*df.columns, position.alias(rank_name), total_name)
 
@@ -108,7 +117,7 @@ def running_totals(
     inside = Window.partitionBy("_piece", *group_by).orderBy(*order_by)
     so_far = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     # one small row per (piece, group), as in global_rank
-    joined = rows.join(F.broadcast(offsets), [*group_by, "_piece"])
+    joined = _with_offsets(rows, offsets, group_by)
     summed = joined.withColumn("upto", F.col("_earlier") + so_far)
     return summed.select(*df.columns, (F.col("upto") - F.col(weight)).alias("before"), "upto", "whole")
 

@@ -51,7 +51,8 @@ def build_dataset(
     recent = join_recent(
         labels, visits, "account_id", "day", "visit_day", spec.low, spec.high, latest_only=spec.latest_only
     ).distinct()
-    features = rename_clashes(daily_rows(daily, spec).withColumnRenamed("account_id", "_key"), recent, "_daily")
+    # exact copies of a daily row would multiply the sales of their day
+    features = rename_clashes(daily_rows(daily, spec).distinct().withColumnRenamed("account_id", "_key"), recent, "_daily")
     base = join_daily(recent, features.withColumnRenamed("_key", "account_id"), "account_id", "visit_day", "daily_day")
     hot = hot_values(labels, "account_id")["account_id"] if spec.spread_hot_accounts else []
     keys = ["account_id", "visit_day"]
