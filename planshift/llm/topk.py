@@ -9,7 +9,7 @@ with a part of the candidates only, and no task holds more than one block of eac
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -51,12 +51,11 @@ def accumulated(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         if not len(rows) or not len(posted):
             continue
         weights = candidates[posted, term]
-        full = len(posted) == len(candidates)
-        for q in rows.tolist():
-            if full:
-                scores[q] += queries[q, term] * weights
-            else:
-                scores[q, posted] += queries[q, term] * weights
+        added = np.multiply.outer(queries[rows, term], weights)
+        if added.shape == scores.shape:  # every query and candidate has the term
+            scores += added
+        else:
+            scores[np.ix_(rows, posted)] += added
     if exact is object:
         scores = np.clip(scores, LONG.min, LONG.max)
     return scores.astype(np.int64)
@@ -69,12 +68,13 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
         values = scores[allowed]
         least = np.partition(values, len(values) - k)[len(values) - k]
         allowed = allowed[values >= least]
-    return allowed[np.lexsort((ids[allowed], -scores[allowed].astype(object) if scores.size and scores.min() == LONG.min else -scores[allowed]))][:k]
+    # the bitwise complement turns the order round without leaving 64 bits
+    return allowed[np.lexsort((ids[allowed], ~scores[allowed]))][:k]
 
 
 def block_search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out: Iterator = []
+        names, parts = ["row", "query_id", "vec_id", "score"], []
         if len(queries) and len(candidates):
             width = max(queries["v"].map(len).max(), candidates["v"].map(len).max())
             ids, of, row = candidates["id"].to_numpy(), queries["id"].to_numpy(), queries["row"].to_numpy()
@@ -84,9 +84,9 @@ def block_search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
                 scores = accumulated(wanted[at:at + 256], places)
                 for i, line in enumerate(scores, start=at):
                     top = best(line, ids, of[i], k)
-                    out.append(pd.DataFrame({"row": row[i], "query_id": of[i], "vec_id": ids[top], "score": line[top]}))
-        columns = ["row", "query_id", "vec_id", "score"]
-        return pd.concat(out)[columns] if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
+                    parts.append((np.full(len(top), row[i]), np.full(len(top), of[i]), ids[top], line[top]))
+        columns = zip(*parts, strict=True) if parts else ([np.zeros(0, np.int64)] for _ in names)
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, columns, strict=True)})
 
     return search
 
