@@ -9,6 +9,7 @@ from planshift.catalog import (  # noqa: F401
     profiles,
     rankings,
     scans_columns,
+    single_split_jobs,
     single_splits,
 )
 from planshift.catalog.registry import ENTRIES

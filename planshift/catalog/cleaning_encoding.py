@@ -133,7 +133,7 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "I3 J11",
+    "I3",
     given("matrix") + f"SELECT account_id, day, CAST(floor({HASH.format(seed=5)} * 3) AS INTEGER) AS fold FROM matrix",
 )
 def hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,8 +68,8 @@ UNPREPARED = {
         SELECT t.account_id, t.ym AS day, tier_to, tier_from, product_count,
                CASE status WHEN 'P' THEN 'Y' WHEN 'F' THEN 'N' ELSE ' ' END AS open_flag,
                CASE WHEN product_count > 1 THEN CAST(product_count AS VARCHAR) ELSE 'None' END AS orders_text,
-               tenure, mix
-        FROM tiers t LEFT JOIN attrs a ON t.account_id = a.account_id AND a.mix <> 'MACHINERY'""",
+               CASE WHEN mix <> 'MACHINERY' THEN tenure END AS tenure, nullif(mix, 'MACHINERY') AS mix
+        FROM tiers t LEFT JOIN attrs a ON t.account_id = a.account_id""",
     "prepared": """
         SELECT account_id, day,
                CASE WHEN tier_to = '1-URGENT' THEN 1 ELSE 0 END AS target,
@@ -91,9 +91,8 @@ def _unprepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row per account and year, so a window never exceeds the years on record
     before = F.lag("tier").over(Window.partitionBy("account_id").orderBy("ym"))
     years = S.snapshots(spark, sf_dir).withColumn("tier_from", before)
-    known = S.attributes(spark, sf_dir).filter(F.col("mix") != "MACHINERY")
     count = F.col("product_count")
-    return years.join(known, "account_id", "left").select(
+    return years.join(S.attributes(spark, sf_dir), "account_id", "left").select(
         "account_id",
         F.col("ym").alias("day"),
         F.col("tier").alias("tier_to"),
@@ -101,8 +100,8 @@ def _unprepared(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product_count",
         F.when(F.col("status") == "P", "Y").when(F.col("status") == "F", "N").otherwise(" ").alias("open_flag"),
         F.when(count > 1, count.cast("string")).otherwise("None").alias("orders_text"),
-        "tenure",
-        "mix",
+        F.when(F.col("mix") != "MACHINERY", F.col("tenure")).alias("tenure"),  # unknown for some accounts
+        F.nullif("mix", F.lit("MACHINERY")).alias("mix"),
     )
 
 
@@ -158,21 +157,21 @@ def _numeric_sql() -> str:
     )
 
 
-@query("N4 F3 F4 F5 F7 F14", given("matrix") + _numeric_sql())
+@query("N4 F7", given("matrix") + _numeric_sql())
 def profile_report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.activity_matrix(spark, sf_dir)
-    table = profile_report(rows, "target", [1], KEYS)["numeric"]
+    table = profile_report(rows, "target", [1], KEYS, quantiles="exact")["numeric"]
     return rounded(table, "mean", "q50", "max_min").select("feature", "n", "mean", "q50", "max_min")
 
 
-@query("N5 J9 J10 J11 F11")
+@query("N5 J9 J10 F11")
 def selection_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
     train_side = samples(rows)["train"]
     chosen = {
-        "importance": select_features(train_side, S.FEATURES, "target", "importance", size=9, numTrees=20, seed=1),
+        "importance": select_features(train_side, S.FEATURES, "target", "importance", size=9, seed=1),
         "collinearity": select_features(train_side, S.FEATURES, "target", "collinearity", limit=5.0),
-        "information": select_features(train_side, ["mix_code", "tenure", "web_view"], "target", "information", top=2),
+        "information": select_features(train_side, S.FEATURES, "target", "information", top=12),
     }
     rows_out = [(method, name) for method, names in chosen.items() for name in names]
     return spark.createDataFrame(rows_out, "method string, feature string")
@@ -181,7 +180,7 @@ def selection_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("N6 I3 I4 I5")
 def training_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     dev = matrix(spark, sf_dir).filter(F.col("sample") == "dev").drop("sample")
-    done = train(dev, S.FEATURES, "target", KEYS, "balanced_forest", numTrees=20)
+    done = train(dev, S.FEATURES, "target", KEYS, "balanced_forest")
     sides = {"train": done.train, "test": done.test}
     return score_and_evaluate(done.model, sides, "target", KEYS)["scores"]
 

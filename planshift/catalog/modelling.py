@@ -65,7 +65,7 @@ def balanced_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J3 I5 J8")
 def boosted_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(matrix(spark, sf_dir), "boosted_trees", lambda df: positive_weight(df, "target"), maxIter=10)
+    return _scores(matrix(spark, sf_dir), "boosted_trees", lambda df: positive_weight(df, "target"))
 
 
 @query("J4 J8")
@@ -115,7 +115,7 @@ def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J7")
 def class_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pinned(_order_rows(spark, sf_dir))
-    models = fit_per_class(rows, ORDER_FEATURES, "o_orderstatus", ["P", "F", "O"], "logistic", maxIter=20)
+    models = fit_per_class(rows, ORDER_FEATURES, "o_orderstatus", ["P", "F", "O"], "logistic")
     return score_per_class(models, rows, ["o_orderkey", "o_orderstatus"])
 
 
@@ -131,7 +131,7 @@ def class_model_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J9")
 def features_by_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = samples(matrix(spark, sf_dir))["train"]
-    forest = tree_ensemble("importance_forest", "target", numTrees=20, seed=1)
+    forest = tree_ensemble("importance_forest", "target", seed=1)
     found = backward_elimination(train, S.FEATURES, "target", forest, size=9)
     rows = [(name, found.importance.get(name)) for name in found.kept]
     return spark.createDataFrame(rows, "feature string, importance double")
@@ -146,10 +146,10 @@ def features_by_collinearity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J11 J12")
 def features_by_genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = samples(matrix(spark, sf_dir))["train"]
-    forest = tree_ensemble("balanced_forest", "target", numTrees=5)
+    train = balanced_weight(samples(matrix(spark, sf_dir))["train"], "target", (0, 1))
+    forest = tree_ensemble("balanced_forest", "target", "weight", numTrees=5)
     names, found = select_by_genetic_search(
-        train, S.FEATURES, "target", KEYS, forest, folds=2, population=4, generations=1
+        train, S.FEATURES, "target", KEYS, forest, folds=2, weight="weight", population=4, generations=1
     )
     return spark.createDataFrame([(n, found.fitness) for n in names], "feature string, accuracy double")
 
@@ -212,7 +212,7 @@ def families_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = parts["train"]
     models = {
         "logistic": fit(train, S.FEATURES, "target", "logistic"),
-        "forest": fit(train, S.FEATURES, "target", "importance_forest", numTrees=20, seed=1),
+        "forest": fit(train, S.FEATURES, "target", "importance_forest", seed=1),
         "boosted": fit(train, S.FEATURES, "target", "boosted_trees", maxIter=5),
     }
     return compare_families(models, parts, "target", KEYS)

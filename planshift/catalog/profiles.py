@@ -101,12 +101,12 @@ PROFILE_ROUNDED = ("mean", "std", "q25", "q50", "q75", "max_min", "missing_pct")
 
 @query("F7", given("snap") + _profile_sql(PROFILED, "snap"))
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.numeric_profile(S.snapshots(spark, sf_dir), PROFILED), *PROFILE_ROUNDED)
+    return rounded(P.numeric_profile(S.snapshots(spark, sf_dir), PROFILED, "exact"), *PROFILE_ROUNDED)
 
 
 @query("F7", _profile_sql(LINE_COLUMNS, "lineitem"))
 def numeric_profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.numeric_profile(S.table(spark, sf_dir, "lineitem"), LINE_COLUMNS), *PROFILE_ROUNDED)
+    return rounded(P.numeric_profile(S.table(spark, sf_dir, "lineitem"), LINE_COLUMNS, "exact"), *PROFILE_ROUNDED)
 
 
 @query(

@@ -137,7 +137,7 @@ def _class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "G6 I2 J7",
+    "G6 I2",
     given(more=CLASS_ROWS)
     + f"SELECT class, decile, n, targets, non_targets, {r6('score_sum')} AS score_sum, {SHARES_SQL}, {LIFT_SQL} FROM gains",
 )

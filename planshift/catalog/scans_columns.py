@@ -47,7 +47,7 @@ def materialize_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A5", given("daily") + "SELECT account_id, day, TRUE AS reload_equal FROM daily")
 def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = S.activity_matrix(spark, sf_dir)
-    model = fit(matrix, S.FEATURES, "target", "logistic", maxIter=10)
+    model = fit(matrix, S.FEATURES, "target", "logistic")
     path = work_path(spark, "model")
     save_model(model, path)
     keys = ["account_id", "day"]
@@ -146,15 +146,16 @@ def frame_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "B10 H2 H4 D11",
     given("labels_", "attrs")
-    + "SELECT l.account_id, account_number, coalesce(tenure, 0) AS tenure, "
+    + "SELECT l.account_id, account_number, coalesce(CASE WHEN mix <> 'MACHINERY' THEN tenure END, 0) AS tenure, "
     "upper(tier_from) AS tier_from, upper(product_mix) AS product_mix, "
-    "upper(coalesce(CASE WHEN mix = ' ' THEN 'NA' ELSE mix END, 'NA')) AS mix, tier_to "
-    "FROM labels_ l LEFT JOIN attrs a ON l.account_id = a.account_id AND a.mix <> 'MACHINERY'",
+    "upper(coalesce(nullif(nullif(mix, ' '), 'MACHINERY'), 'NA')) AS mix, tier_to "
+    "FROM labels_ l LEFT JOIN attrs a ON l.account_id = a.account_id",
 )
 def numeric_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = build_labels(S.sales(spark, sf_dir), S.snapshots(spark, sf_dir), S.LABELS)
-    known = S.attributes(spark, sf_dir).filter(F.col("mix") != "MACHINERY")
-    frame = labels.join(known, "account_id", "left").drop("day", "year_month")
+    met = labels.join(S.attributes(spark, sf_dir), "account_id", "left").drop("day", "year_month")
+    known = F.col("mix") != "MACHINERY"  # unknown for some accounts
+    frame = met.withColumns({"tenure": F.when(known, F.col("tenure")), "mix": F.when(known, F.col("mix"))})
     # the number part and the text part come from one frame, so they meet again on its keys
     keys = ["account_id", "account_number", "tier_from", "product_mix"]
     raw = frame.select("*", *[F.col(k).alias(f"_{k}") for k in keys])

@@ -28,42 +28,63 @@ SPLIT_FEATURES = [
 ONE_SPLIT = {"numTrees": 1, "maxDepth": 1, "featureSubsetStrategy": "all", "bootstrap": False, "seed": 1}
 
 
-def _split_parts(positive: float) -> dict[str, str]:
-    """Best split with rows of class 1 weighing ``positive``; impurity p(1-p) up to a factor."""
+def split_parts(
+    weight: str, source: str = "matrix", features=SPLIT_FEATURES, target: str = "target", tag: str = "", least: int = 1
+) -> dict[str, str]:
+    """Best split of weighted rows; impurity p(1-p) up to a factor.  ``tag`` ends the names of the parts."""
 
     def spread(n: str, y: str) -> str:
         return f"{n} * ({y} / {n}) * (1 - {y} / {n})"
 
-    weight = f"CASE WHEN target = 1 THEN {positive}::DOUBLE ELSE 1.0::DOUBLE END"
-    return {
-        "long": " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, target FROM matrix" for f in SPLIT_FEATURES),
+    parts = {
+        "long": " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, {target} AS target FROM {source}" for f in features),
         "per_value": f"SELECT feature, x, count(*) AS k, sum({weight}) AS n, sum({weight} * target) AS y "
-                     "FROM long GROUP BY 1, 2",
+                     f"FROM long{tag} GROUP BY 1, 2",
         "sides": "SELECT feature, x, (x + lead(x) OVER f) / 2.0 AS cut, sum(k) OVER f AS left_k, sum(n) OVER f AS left_n, "
                  "sum(y) OVER f AS left_y, sum(n) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature) AS k, "
-                 "sum(y) OVER (PARTITION BY feature) AS y FROM per_value WINDOW f AS (PARTITION BY feature ORDER BY x)",
-        "best": "SELECT *, left_k / k AS left_share FROM sides WHERE cut IS NOT NULL ORDER BY "
+                 "sum(y) OVER (PARTITION BY feature) AS y FROM "
+                 f"per_value{tag} WINDOW f AS (PARTITION BY feature ORDER BY x)",
+        "best": f"SELECT *, left_k / k AS left_share FROM sides{tag} WHERE cut IS NOT NULL AND left_k >= {least} "
+                f"AND k - left_k >= {least} ORDER BY "
                 f"{spread('left_n', 'left_y')} + {spread('(n - left_n)', '(y - left_y)')}, feature, cut LIMIT 1",
-        "leaves": "SELECT feature, cut, left_share, left_y / left_n AS left_p, (y - left_y) / (n - left_n) AS right_p FROM best",
+        "leaves": "SELECT feature, cut, left_share, left_y / left_n AS left_p, (y - left_y) / (n - left_n) AS right_p "
+                  f"FROM best{tag}",
     }
+    return {name + tag: sql for name, sql in parts.items()}
 
 
-FOREST = given("matrix", more=_split_parts(1.0))
-BOOSTED = given("matrix", more=_split_parts(0.647322))
-SIDE = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f} <= cut" for f in SPLIT_FEATURES) + " END"
+def positive_class(weight: float) -> str:
+    return f"CASE WHEN target = 1 THEN {weight}::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+def balanced(source: str) -> str:
+    """Weight n / (2 * rows of the class)."""
+    return (
+        f"(SELECT count(*) / (2.0::DOUBLE * count(*) FILTER (WHERE target = 1)) FROM {source}) * target + "
+        f"(SELECT count(*) / (2.0::DOUBLE * count(*) FILTER (WHERE target = 0)) FROM {source}) * (1 - target)"
+    )
+
+
+def side_of(features) -> str:
+    return "CASE feature " + " ".join(f"WHEN '{f}' THEN {f} <= cut" for f in features) + " END"
+
+
+FOREST = given("matrix", more=split_parts("1.0::DOUBLE"))
+BOOSTED = given("matrix", more=split_parts(positive_class(0.647322)))
+SIDE = side_of(SPLIT_FEATURES)
 
 
 def _forest(rows: DataFrame):
     return fit(rows, SPLIT_FEATURES, "target", "importance_forest", **ONE_SPLIT)
 
 
-def _boosted(rows: DataFrame):
+def one_round_boosted(rows: DataFrame):
     weighed = positive_weight(rows, "target")
     return fit(weighed, SPLIT_FEATURES, "target", "boosted_trees", weight="weight", maxIter=1, maxDepth=1)
 
 
 @query(
-    "J1 J2 J8",
+    "J1 J8",
     FOREST + f"SELECT account_id, day, target, {r6(f'CASE WHEN {SIDE} THEN left_p ELSE right_p END')} AS p, "
     f"CASE WHEN CASE WHEN {SIDE} THEN left_p ELSE right_p END > 0.5 THEN 1 ELSE 0 END AS pred FROM matrix CROSS JOIN leaves",
 )
@@ -76,13 +97,13 @@ MARGIN = f"(2 * CASE WHEN {SIDE} THEN left_p ELSE right_p END - 1)"
 
 
 @query(
-    "J3 J4 J8 I5",
+    "J3 J8 I5",
     BOOSTED + f"SELECT account_id, day, target, {r6(f'1 / (1 + exp(-2 * {MARGIN}))')} AS p, "
     f"CASE WHEN {MARGIN} > 0 THEN 1 ELSE 0 END AS pred FROM matrix CROSS JOIN leaves",
 )
 def one_round_boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
-    return rounded(score(_boosted(rows), rows, [*KEYS, "target"]), "p")
+    return rounded(score(one_round_boosted(rows), rows, [*KEYS, "target"]), "p")
 
 
 LISTED = " UNION ALL ".join(
@@ -97,7 +118,7 @@ def one_split_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K2 J3", BOOSTED + f"SELECT feature, CAST(used AS BIGINT) AS splits FROM ({LISTED})")
 def one_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.split_counts(X.node_table(_boosted(matrix(spark, sf_dir)), spark), SPLIT_FEATURES)
+    return X.split_counts(X.node_table(one_round_boosted(matrix(spark, sf_dir)), spark), SPLIT_FEATURES)
 
 
 @query(
@@ -106,7 +127,7 @@ def one_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{r6('2 * right_p - 1')} AS right_value, {r6('left_share')} AS left_share FROM leaves",
 )
 def boosted_root_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = X.node_table(_boosted(matrix(spark, sf_dir)), spark)
+    nodes = X.node_table(one_round_boosted(matrix(spark, sf_dir)), spark)
     names = F.array(*[F.lit(f) for f in SPLIT_FEATURES])
     # three nodes: the root is 0, its children follow
     at = {n: nodes.filter(F.col("node") == n) for n in (0, 1, 2)}
@@ -122,7 +143,7 @@ def boosted_root_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARTS = {
-    **_split_parts(0.647322),
+    **split_parts(positive_class(0.647322)),
     "parts": f"SELECT account_id, day, feature, {MARGIN} AS margin, "
              "left_share * (2 * left_p - 1) + (1 - left_share) * (2 * right_p - 1) AS base_value FROM matrix CROSS JOIN leaves",
 }
@@ -137,7 +158,7 @@ PARTS = {
 )
 def one_split_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
-    parts = X.tree_contributions(rows, X.node_table(_boosted(rows), spark), SPLIT_FEATURES, KEYS)
+    parts = X.tree_contributions(rows, X.node_table(one_round_boosted(rows), spark), SPLIT_FEATURES, KEYS)
     return rounded(parts, *[f"c_{f}" for f in SPLIT_FEATURES], "base_value", "margin")
 
 
@@ -148,11 +169,11 @@ def one_split_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def one_split_mean_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
-    parts = X.tree_contributions(rows, X.node_table(_boosted(rows), spark), SPLIT_FEATURES, KEYS)
+    parts = X.tree_contributions(rows, X.node_table(one_round_boosted(rows), spark), SPLIT_FEATURES, KEYS)
     return rounded(X.mean_absolute(parts, SPLIT_FEATURES), "mean_abs")
 
 
-@query("J9 N5", FOREST + "SELECT feature, 1.0::DOUBLE AS importance FROM leaves")
+@query("J9", FOREST + "SELECT feature, 1.0::DOUBLE AS importance FROM leaves")
 def elimination_to_one_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features without a split tie at importance 0 and leave in the first round."""
     forest = tree_ensemble("importance_forest", "target", **ONE_SPLIT)
@@ -186,7 +207,7 @@ HASH = "('0x' || substr(md5(account_id || '|' || strftime(day, '%Y-%m-%d') || '|
 
 
 @query(
-    "N6 I3 I4 J8",
+    "I3 I4 J8",
     given("matrix")
     + f"SELECT account_id, day, CASE WHEN {HASH} < 0.2 THEN 'test' ELSE 'train' END AS sample, target, "
     "TRUE AS share_in_range FROM matrix WHERE sample = 'dev'",

@@ -38,9 +38,14 @@ def sample_gains(scored: DataFrame, actual: str, keys: Sequence[str]) -> DataFra
     return gains_table(scored, "p", actual, keys, ["sample"])
 
 
-def sample_report(scored: DataFrame, actual: str, keys: Sequence[str]) -> DataFrame:
-    """Accuracy, macro metrics, KS and area under the curve per sample; one row per sample joins."""
-    distances = ks_distance(sample_gains(scored, actual, keys), ["sample"])
+def sample_report(
+    scored: DataFrame, actual: str, keys: Sequence[str], gains: DataFrame | None = None
+) -> DataFrame:
+    """Accuracy, macro metrics, KS and area under the curve per sample; one row per sample joins.
+
+    Give the gains table if it is there already: the scores are then not ranked again.
+    """
+    distances = ks_distance(sample_gains(scored, actual, keys) if gains is None else gains, ["sample"])
     areas = area_under_curve(scored, "p", actual, ["sample"])
     return sample_metrics(scored, actual).join(distances, "sample").join(areas, "sample")
 

@@ -138,16 +138,17 @@ def select_by_genetic_search(
     folds: int = GENETIC["folds"],
     parallelism: int = 4,
     seed: int = 0,
+    weight: str | None = None,
     **settings,
 ) -> tuple[list[str], Search]:
     """Genetic search whose fitness is the mean k-fold accuracy of ``estimator`` on the masked features.
 
     All new masks of a generation go into one cross-validation over one cached frame; folds
-    follow the hash of the row keys.
+    follow the hash of the row keys.  ``weight`` is the column that ``estimator`` weighs rows by.
     """
     shared_folder(df.sparkSession)
     folded = mark_folds(df, keys, folds, seed)
-    vectors = assemble(folded, features, "all_features").select("all_features", label, "fold")
+    vectors = assemble(folded, features, "all_features").select("all_features", label, "fold", *([weight] if weight else []))
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     slicer = VectorSlicer(inputCol="all_features", outputCol="features")
     # class of a two-class forest, and of a classifier just as well

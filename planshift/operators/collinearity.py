@@ -2,56 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planshift.functions.fixed_values import VIF_LIMIT
 
-# Up to this width the product sums stay built-in aggregates.  Wider ones go through one
-# small matrix product per Arrow batch: with 13 columns that takes half the time.
-BUILT_IN_WIDTH = 6
-
 
 def gram_matrix(df: DataFrame, columns: Sequence[str], centred: bool = False) -> np.ndarray:
-    """X'X of the columns (p x p), optionally around the column means."""
+    """X'X of the columns (p x p), optionally around the column means.
+
+    Every task adds its rows' products to one p x p matrix; only those matrices are merged.
+    A missing or non-finite value adds nothing.
+    """
     columns = list(columns)
-    work = columns + ["_one"]
-    known = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]
-    doubles = df.select(*known, F.lit(1.0).alias("_one"))
+    finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns}
+    known = df.select(*[x.alias(c) for c, x in finite.items()])
     if centred:  # around the means from a pass before: differences of large sums would lose all digits
-        means = doubles.agg(*[F.avg(c).alias(c) for c in columns]).first()
-        doubles = doubles.select(*[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns], "_one")
-    pairs = [(i, j) for i in range(len(work)) for j in range(i, len(work))]
-    full = np.zeros((len(work), len(work)))
-    if len(columns) <= BUILT_IN_WIDTH:
-        sums = [F.sum(F.col(work[i]) * F.col(work[j])) for i, j in pairs]
-        row = doubles.agg(F.array(*sums).alias("g")).first()["g"]
-        cells = zip(pairs, row)
-    else:
-        parts = doubles.mapInPandas(_partial_products(work), "i int, j int, g double")
-        found = parts.groupBy("i", "j").agg(F.sum("g").alias("g")).collect()  # p * (p + 1) / 2 rows
-        cells = (((r["i"], r["j"]), r["g"]) for r in found)
-    for (i, j), value in cells:
-        full[i, j] = full[j, i] = value or 0.0
-    return full[:-1, :-1]
-
-
-def _partial_products(columns: Sequence[str]):
-    p = len(columns)
-    upper = np.triu_indices(p)
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((p, p))
-        for batch in batches:
-            x = np.nan_to_num(batch.to_numpy(dtype=float))  # a missing value adds nothing
-            total += x.T @ x
-        yield pd.DataFrame({"i": upper[0], "j": upper[1], "g": total[upper]})
-
-    return products
+        means = known.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        known = known.select(*[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns])
+    filled = known.fillna(0.0)
+    vectors = VectorAssembler(inputCols=columns, outputCol="_row").transform(filled).select("_row")
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "_row"), numCols=len(columns))
+    return rows.computeGramianMatrix().toArray()
 
 
 def inflation_factors(gram: np.ndarray) -> np.ndarray:

@@ -13,8 +13,8 @@ from planshift.operators.joins import hot_values, lookup_join
 from planshift.operators.ranking import global_rank
 from planshift.sources.tables import pinned
 
-# Up to this many values of a variable travel to every executor; more are shuffled.
-BROADCAST_ROWS = 200_000
+# All lookups that travel to every executor in one call stay below this size together; the others are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def one_vs_rest(df: DataFrame, label: str, classes: Sequence) -> DataFrame:
@@ -84,13 +84,19 @@ def attach_lookup(
 ) -> DataFrame:
     """Add ``<variable><suffix>`` from a (variable, value, result) table; no match gives NULL.
 
-    The table is computed once and its rows are counted per variable.  Few values are
-    broadcast; many values are shuffled, and those that fill much of a column are spread
-    over several tasks.
+    The table is computed once and its bytes are measured per variable.  The smallest lookups
+    are broadcast as long as all of them stay below ``BROADCAST_BYTES``; the others are
+    shuffled, and values that fill much of a column are spread over several tasks.
     """
     table = pinned(table.select("variable", "value", result))
-    sizes = table.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per variable
-    long = [s["variable"] for s in sizes if s["n"] > BROADCAST_ROWS and s["variable"] in variables]
+    # text, result and the overhead of a hashed row
+    held = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + 64).alias("held")
+    sizes = table.filter(F.col("variable").isin(list(variables))).groupBy("variable").agg(held).collect()  # a row per variable
+    long, total = [], 0
+    for size in sorted(sizes, key=lambda s: (s["held"], s["variable"])):
+        total += size["held"]
+        if total > BROADCAST_BYTES:
+            long.append(size["variable"])
     text = text or (lambda column: column.cast("string"))
     hot = hot_values(df.select(*[text(F.col(v)).alias(v) for v in long]), *long) if long else {}
     for variable in variables:

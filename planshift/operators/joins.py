@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 HOT_KEYS_TRACKED = 100
 
 
-def hot_values(df: DataFrame, *columns: str, share: float = 0.01) -> dict[str, list]:
-    """Per column, the values that hold at least ``share`` of the rows (at most 100 each).
+def hot_values(df: DataFrame, *columns: str, share: float = 0.01) -> dict[str, dict]:
+    """Per column, the values that hold at least ``share`` of the rows (at most 100 each) with their shares.
 
     One pass over those columns with a small sketch per task and no shuffle by key.  The
     lists only steer how ``lookup_join`` spreads rows; results do not depend on them.
@@ -20,8 +21,9 @@ def hot_values(df: DataFrame, *columns: str, share: float = 0.01) -> dict[str, l
     sketches = [F.expr(f"approx_top_k(`{c}`, {HOT_KEYS_TRACKED}, 10000)").alias(c) for c in columns]
     found = df.select(*columns).agg(F.count(F.lit(1)).alias("_n"), *sketches).first()
 
-    def heavy(items) -> list:
-        return [i["item"] for i in items or [] if i["item"] is not None and i["count"] >= share * found["_n"]]
+    def heavy(items) -> dict:
+        known = [i for i in items or [] if i["item"] is not None and i["count"] >= share * found["_n"]]
+        return {i["item"]: i["count"] / found["_n"] for i in known}
 
     return {c: heavy(found[c]) for c in columns}
 
@@ -32,26 +34,29 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     hot_column: str | None = None,
-    hot: Sequence = (),
-    salts: int = 32,
+    hot: Mapping | None = None,
 ) -> DataFrame:
-    """Inner or left join where hot keys of ``many`` are spread over ``salts`` tasks.
-
-    Rows of ``many`` on a hot key get a salt out of their own content and the few rows of
-    ``one`` with that key are repeated once per salt, so every pair still meets exactly
-    once.  Rows without a key cannot match and are spread as well.  All other keys join
-    as usual, and Spark still broadcasts ``one`` by itself when its size allows.
+    """Inner or left join where the keys of ``hot`` (key: its share of ``many``) are spread over several tasks.
+
+    A hot key gets twice as many salts as shuffle partitions that its rows would fill, so the
+    rows per task stay the same at any size.  Rows take their salt from their content and
+    their input partition: copies of one row are spread too, and a task that runs again gives
+    the same salts.  The few rows of ``one`` with that key are repeated once per salt, so
+    every pair still meets exactly once.  Rows without a key cannot match and are spread as
+    well.  All other keys join as usual.
     """
     on = list(on)
     if not hot:
         return many.join(one, on, how)
-    is_hot = F.col(hot_column).isin(list(hot))
-    content = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
-    salted = many.withColumn(
-        "_salt", F.when(is_hot | F.col(hot_column).isNull(), content).otherwise(F.lit(0))
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = one.withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
+    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(hot_column)
+    salts = F
+    for value, share in hot.items():
+        salts = salts.when(key == value, math.ceil(2 * share * partitions) + 1)
+    of_row = F.when(key.isNull(), partitions).otherwise(salts.otherwise(1))
+    content = F.pmod(F.xxhash64(*many.columns, F.spark_partition_id()), of_row).cast("int")
+    salted = many.withColumn("_salt", content)
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts.otherwise(1) - 1)))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -127,7 +132,7 @@ def join_daily(base: DataFrame, daily: DataFrame, key: str, day: str, daily_day:
     return base.join(right, matched).drop("_daily_key")
 
 
-def enrich(base: DataFrame, *sources: tuple[DataFrame, Sequence[str], Sequence]) -> DataFrame:
+def enrich(base: DataFrame, *sources: tuple[DataFrame, Sequence[str], Mapping]) -> DataFrame:
     """Left-join each ``(frame, key columns, hot values of the first key)`` in turn.
 
     A source may hold exact copies of a row; they are collapsed before the join, so they

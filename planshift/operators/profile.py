@@ -48,11 +48,11 @@ def missing_text(df: DataFrame, above: float | None = None) -> DataFrame:
     return table if above is None else table.filter(F.col("missing_pct") > above)
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: str = "exact") -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: str = "approx") -> DataFrame:
     """Count, mean, std, min, quartiles, max, range and missing percent per column.
 
-    ``quantiles="approx"`` swaps the exact quartiles for one-pass sketches (accuracy
-    1/10000 of the rank), which saves the range-partitioned counting pass.
+    Quartiles come from one-pass sketches (accuracy 1/10000 of the rank); ``quantiles="exact"``
+    interpolates between order statistics, at the price of a counting pass over all values.
     """
     columns = list(columns)
     value, sketch = F.col("value"), quantiles == "approx"

@@ -21,7 +21,7 @@ class DatasetSpec:
     low: int = 0
     high: int = 2
     latest_only: bool = False
-    spread_hot_accounts: bool = True
+    spread_hot_accounts: bool = False
 
 
 def daily_rows(daily: DataFrame, spec: DatasetSpec, day: str = "daily_day") -> DataFrame:
@@ -45,8 +45,9 @@ def build_dataset(
     ``labels`` have (account_id, day, ...), ``visits`` (account_id, visit_day, ...), ``daily``
     (account_id, year, month, date, ...), the flag tables (account_id, visit_day, flags) and
     ``attributes`` (account_id, ...).  DISTINCT runs on the narrow visit rows, before the
-    wide columns come in: all later joins look up by key.  With ``spread_hot_accounts`` the
-    labels are read once more for their account column; give them as a stored table.
+    wide columns come in: all later joins look up by key.  Busy accounts are left to adaptive
+    skew handling; with ``spread_hot_accounts`` they are found by one more pass over the narrow
+    visit rows and spread by hand.
     """
     recent = join_recent(
         labels, visits, "account_id", "day", "visit_day", spec.low, spec.high, latest_only=spec.latest_only
@@ -54,11 +55,11 @@ def build_dataset(
     # exact copies of a daily row would multiply the sales of their day
     features = rename_clashes(daily_rows(daily, spec).distinct().withColumnRenamed("account_id", "_key"), recent, "_daily")
     base = join_daily(recent, features.withColumnRenamed("_key", "account_id"), "account_id", "visit_day", "daily_day")
-    hot = hot_values(labels, "account_id")["account_id"] if spec.spread_hot_accounts else []
+    hot = hot_values(recent, "account_id")["account_id"] if spec.spread_hot_accounts else {}
     keys = ["account_id", "visit_day"]
     return enrich(
         base,
-        (flags_desktop, keys, []),  # (account, day): a busy account is spread over its days
-        (suffix_columns(flags_mobile, "_m", keep=keys), keys, []),
+        (flags_desktop, keys, {}),  # (account, day): a busy account is spread over its days
+        (suffix_columns(flags_mobile, "_m", keep=keys), keys, {}),
         (attributes, ["account_id"], hot),
     )

@@ -24,7 +24,7 @@ def profile_report(
     classes: Sequence,
     keys: Sequence[str] = (),
     numeric: Sequence[str] | None = None,
-    quantiles: str = "exact",
+    quantiles: str = "approx",
 ) -> dict[str, DataFrame]:
     """Tables by name.  Give the development columns as ``numeric`` to profile a later month alike."""
     numbers, texts = split_by_type(df)

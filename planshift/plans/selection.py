@@ -12,6 +12,7 @@ from planshift.models.families import tree_ensemble
 from planshift.models.selection import backward_elimination, select_by_genetic_search
 from planshift.operators.collinearity import prune_collinear
 from planshift.operators.encoding import information_value, weight_of_evidence
+from planshift.operators.sampling import balanced_weight
 
 METHODS = ("importance", "collinearity", "genetic", "information")
 
@@ -33,8 +34,9 @@ def select_features(
     if method == "collinearity":
         return prune_collinear(df, features, options.pop("limit", VIF_LIMIT), **options)[0]
     if method == "genetic":
-        forest = tree_ensemble("balanced_forest", label, **options.pop("forest", {}))
-        return select_by_genetic_search(df, features, label, keys, forest, **options)[0]
+        forest = tree_ensemble("balanced_forest", label, "weight", **options.pop("forest", {}))
+        weighed = balanced_weight(df, label, (0, 1))
+        return select_by_genetic_search(weighed, features, label, keys, forest, weight="weight", **options)[0]
     if method == "information":
         ranked = information_value(weight_of_evidence(df, features, label, [1]))
         best = ranked.orderBy(F.col("iv").desc(), "variable").limit(min(options.pop("top", 12), len(features)))

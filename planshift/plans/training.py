@@ -64,9 +64,10 @@ def score_and_evaluate(
     The scores are stored once, the tables read them from there instead of scoring again.
     """
     scored = pinned(score_samples(model, samples, [*keys, label]))
+    gains = sample_gains(scored, label, keys)
     return {
         "scores": scored,
-        "report": sample_report(scored, label, keys),
+        "report": sample_report(scored, label, keys, gains),
         "confusion": sample_confusion(scored, label),
-        "gains": sample_gains(scored, label, keys),
+        "gains": gains,
     }

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from planshift.functions.expressions import coded
 from planshift.operators.activity import daily_counters, days_since_last, page_flags, trailing_totals
-from planshift.operators.joins import hot_values, lookup_join
 from planshift.plans.labels import LabelSpec
 from planshift.plans.prepare import PrepSpec
 from planshift.sources.tables import read_table
@@ -104,12 +103,8 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account_id")
     )
-    hot = hot_values(lines, "l_partkey", "l_orderkey")
-    distinct = lines.distinct()
-    with_part = lookup_join(distinct, parts, ["l_partkey"], "inner", "l_partkey", hot["l_partkey"])
-    with_head = lookup_join(
-        with_part.drop("l_partkey"), heads, ["l_orderkey"], "inner", "l_orderkey", hot["l_orderkey"]
-    )
+    with_part = lines.distinct().join(parts, "l_partkey").drop("l_partkey")
+    with_head = with_part.join(heads, "l_orderkey")
     return with_head.withColumnRenamed("l_orderkey", "account_number")
 
 

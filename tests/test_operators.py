@@ -70,7 +70,7 @@ def test_exact_quantiles(spark, n):
 def test_profile_matches_describe(spark):
     data = pd.DataFrame({"a": [1.0, 2.0, None, 8.0, 3.5], "b": [None] * 5, "c": [1.0, 1.0, 1.0, 1.0, 1.0]})
     df = spark.createDataFrame(data, "a double, b double, c double")
-    found = P.numeric_profile(df, ["a", "b", "c"]).toPandas().set_index("feature")
+    found = P.numeric_profile(df, ["a", "b", "c"], "exact").toPandas().set_index("feature")
     described = data.astype(float).describe()
     names = {"n": "count", "mean": "mean", "std": "std", "min": "min", "q25": "25%", "q50": "50%", "q75": "75%", "max": "max"}
     for c in "abc":
@@ -126,7 +126,7 @@ def test_spread_join_is_exact(spark, how):
     hot = J.hot_values(many, "k", share=0.05)["k"]
     assert 7 in hot and None not in hot
     plain = many.join(one, "k", how)
-    spread = J.lookup_join(many, one, ["k"], how, "k", hot, salts=5)
+    spread = J.lookup_join(many, one, ["k"], how, "k", hot)
     assert plain.exceptAll(spread.select(plain.columns)).count() == 0
     assert spread.select(plain.columns).exceptAll(plain).count() == 0
 
@@ -178,7 +178,7 @@ def test_lookup_broadcast_and_shuffled_agree(spark, monkeypatch):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"v{i % 40}", None if i % 7 else "z") for i in range(500)], "id int, v string, w string")
     codes = N.label_codes(df, ["v", "w"])
     short = N.apply_label_codes(df, codes, ["v", "w"]).collect()
-    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(N, "BROADCAST_BYTES", 0)
     long = N.apply_label_codes(df, codes, ["v", "w"]).collect()
     assert sorted(map(tuple, short)) == sorted(map(tuple, long))
     tidy = sorted({(v or "NA").upper() for v in df.toPandas()["v"]})
