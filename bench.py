@@ -3,6 +3,7 @@
 BENCH_SF_DIR   folder of the parquet tables  (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores                   (default 8)
 BENCH_QUERIES  comma-separated names         (default: the list below)
+BENCH_RUNS     runs of a query, the median counts; one that takes over 5 seconds runs once (default 3)
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -36,6 +38,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "planshift-bench",
         master=f"local[{cpus}]",
@@ -47,16 +50,20 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # first use of the session, the readers and the code generator is not part of any query
-    ENTRIES["frame_shape"].build(spark, folder).collect()
+    # first use of the session, readers, code generator, trainers and Python workers is not part of any query
+    for name in ("frame_shape", "score_deciles", "one_split_mean_absolute"):
+        ENTRIES[name].build(spark, folder).collect()
 
     seconds = {}
     for name in names:
-        start = time.perf_counter()
-        result = ENTRIES[name].build(spark, folder)
-        # the whole result is computed: no column is pruned away
-        result.write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        taken = []
+        while len(taken) < runs and (not taken or taken[0] < 5):
+            start = time.perf_counter()
+            result = ENTRIES[name].build(spark, folder)
+            # the whole result is computed: no column is pruned away
+            result.write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - start)
+        seconds[name] = round(statistics.median(taken), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(

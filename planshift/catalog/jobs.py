@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from planshift.operators.columns import model_matrix
 from planshift.plans.dataset import DatasetSpec, build_dataset
 from planshift.plans.development import develop
 from planshift.plans.explanation import explain
-from planshift.plans.labels import build_labels
+from planshift.plans.labels import Period, build_labels, build_labels_over
 from planshift.plans.prepare import fit_prep, prepare, training_matrix
 from planshift.plans.report import profile_report
 from planshift.plans.selection import select_features
@@ -28,6 +29,34 @@ def label_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_labels(S.sales(spark, sf_dir), S.snapshots(spark, sf_dir), S.LABELS)
 
 
+PERIODS = [Period(str(y), str(y - 1), dt.date(y, 1, 1), dt.date(y + 1, 4, 1)) for y in (1996, 1997, 1998)]
+ANY_STATUS = replace(S.LABELS, statuses=("O", "P", "F"))
+OVER_PERIODS = {
+    "periods": " UNION ALL ".join(
+        f"SELECT '{p.current}' AS period, '{p.previous}' AS before, DATE '{p.day_from}' AS day_from, DATE '{p.day_to}' AS day_to"
+        for p in PERIODS
+    ),
+    "paired": """
+        SELECT period, day_from, day_to, m0.account_id, m0.tier AS tier_to, m1.tier AS tier_from
+        FROM periods JOIN snap m0 ON m0.ym = period JOIN snap m1 ON m1.ym = before AND m1.account_id = m0.account_id
+        WHERE m0.status IN ('O', 'P', 'F') AND m1.status IN ('O', 'P', 'F') AND m0.video_units = 1 AND m1.video_units = 1
+          AND m0.product_count > 0 AND m1.product_count > 0 AND m0.residential = 1 AND m0.disconnected = 0
+          AND m0.courtesy <> 1 AND m0.tier_rank > m1.tier_rank""",
+}
+
+
+@query(
+    "N1 E1 E2 C2",
+    given("snap", "sold", more=OVER_PERIODS)
+    + "SELECT DISTINCT period, s.account_id, account_number, day, strftime(day, '%Y%m') AS year_month, tier_to, tier_from, "
+    "product_mix FROM sold s JOIN paired b ON s.account_id = b.account_id AND day >= day_from AND day < day_to "
+    "WHERE channel LIKE 'Brand#1%' AND task LIKE '%o%' AND sub_task = 'R'",
+)
+def label_job_over_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three periods whose sale windows overlap; any status, so that all three have upgrades."""
+    return build_labels_over(S.sales(spark, sf_dir), S.snapshots(spark, sf_dir), ANY_STATUS, PERIODS)
+
+
 FLAGS = ", ".join(f"w.{k}_flag" for k in S.KINDS) + ", " + ", ".join(f"m.{k}_flag AS {k}_flag_m" for k in S.KINDS)
 
 

@@ -1,6 +1,7 @@
 """Rows and digits that used to get lost: NULL groups, copies, large counts, large means, empty mappings."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from planshift.functions.expressions import coded
 from planshift.operators.collinearity import gram_matrix, inflation_factors
 from planshift.operators.gains import area_under_curve, gains_table
-from planshift.operators.joins import join_recent
+from planshift.operators.joins import hot_values, join_recent, lookup_join
 from planshift.operators.ranking import global_rank, running_totals
 
 
@@ -51,3 +52,22 @@ def test_equal_sales_stay_apart_with_latest_only(spark):
     visits = spark.createDataFrame([(1, dt.date(2020, 1, 2)), (1, day)], "k int, visit_day date")
     got = join_recent(sales, visits, "k", "day", "visit_day", latest_only=True).collect()
     assert [r["visit_day"] for r in got] == [day, day]
+
+
+def test_copies_of_one_row_are_spread_and_matched_once(spark):
+    many = spark.range(4000, numPartitions=8).select(F.lit(1).alias("k"), F.lit("same").alias("x"))
+    one = spark.createDataFrame([(1, "v")], "k int, v string")
+    hot = hot_values(many, "k")["k"]
+    assert hot == {1: 1.0}
+    assert lookup_join(many, one, ["k"], "inner", "k", hot).count() == 4000
+    salted = many.select(F.pmod(F.xxhash64("k", "x", F.spark_partition_id()), F.lit(17)).alias("s"))
+    assert salted.distinct().count() > 1
+
+
+def test_salts_grow_with_the_share(spark):
+    many = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
+    one = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    for share in (0.05, 0.5):
+        plan = lookup_join(many, one, ["k"], "left", "k", {0: share})._jdf.queryExecution().toString()
+        assert f"THEN {math.ceil(2 * share * 8) + 1}" in plan
+    assert lookup_join(many, one, ["k"], "left", "k", {0: 0.5}).count() == 100
