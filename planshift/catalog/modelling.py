@@ -1,8 +1,8 @@
 """Fits, scores, selection and explanation.
 
 Fits are checked by rows here and by properties in the tests; whatever does not hang on a
-fit (fixed formulas, invariants of scores and contributions) is checked by SQL.  Round
-counts are kept small, they are parameters.
+fit (fixed formulas, invariants of scores and contributions) is checked by SQL.  Some
+round counts are kept small, as the README lists; they are parameters.
 """
 
 from __future__ import annotations
