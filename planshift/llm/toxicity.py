@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -58,17 +59,30 @@ def features_of(word: str) -> list[str]:
     return out
 
 
-def sentence_swaps(text: str, most: int = 50) -> list[tuple[list[str], list[str]]]:
-    """Feature sets of the sentences of a text that name a group, beside those with the term swapped."""
-    found = []
-    for sentence in re.split(r"[.!?\n]+", text):
-        words = [w for run in sentence.split() for w in LETTERS.findall(run.lower())]
-        for at, word in enumerate(words):
-            for other in SWAPS.get(word, ()):
-                sides = [{f for w in side for f in features_of(w)} for side in (words, [*words[:at], other, *words[at + 1:]])]
-                found.append((sorted(sides[0] - sides[1]), sorted(sides[1] - sides[0])))
-                if len(found) == most:
-                    return found
+Change = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def sentence_swaps(text: str) -> Counter[Change]:
+    """How often which features go and which come when a group term of a sentence is swapped for another of its group.
+
+    Every sentence of the whole text counts; features that other words of the sentence hold do not change.
+    """
+    found: Counter[Change] = Counter()
+    for sentence in re.split(r"[.!?\n]+", unicodedata.normalize("NFC", text)):
+        words = Counter(LETTERS.findall(sentence.lower()))
+        terms = [w for w in words if w in SWAPS]
+        if not terms:
+            continue
+        holders: Counter[str] = Counter()
+        for word, times in words.items():
+            holders.update(dict.fromkeys(features_of(word), times))
+        for word in terms:
+            own = features_of(word)
+            for other in SWAPS[word]:
+                new = features_of(other)
+                gone = sorted(f for f in own if f not in new and holders[f] == 1)
+                come = sorted(f for f in new if not holders[f])
+                found[tuple(gone), tuple(come)] += words[word]
     return found
 
 
@@ -113,34 +127,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
 
 def sample_features(sample: DataFrame) -> DataFrame:
-    """``label``, distinct features (``held``) and swapped sentences (``swaps``) of each sampled text, stored."""
+    """``label``, distinct features (``held``) and counted swaps (``swaps``) of each sampled text, stored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in row_slices(batch, "__text"):
                 texts = [t or "" for t in rows.column(0).to_pylist()]
                 found = [sorted({f for w in set(t.split()) for f in features_of(w)}) for t in texts]
-                swaps = ["\n".join(" ".join(a) + "\t" + " ".join(b) for a, b in sentence_swaps(t)) for t in texts]
-                yield pa.record_batch([rows.column(1), pa.array(found, pa.list_(pa.string())), pa.array(swaps)],
-                                      names=["label", "held", "swaps"])
+                swaps = [
+                    [{"gone": list(gone), "come": list(come), "n": n} for (gone, come), n in sentence_swaps(t).items()]
+                    for t in texts
+                ]
+                yield pa.record_batch(
+                    [rows.column(1), pa.array(found, held), pa.array(swaps, swapped)], names=["label", "held", "swaps"]
+                )
 
-    return stored(sample.mapInArrow(work, "label int, held array<string>, swaps string"), "toxic-sample")
+    held = pa.list_(pa.string())
+    swapped = pa.list_(pa.struct([("gone", held), ("come", held), ("n", pa.int64())]))
+    schema = "label int, held array<string>, swaps array<struct<gone: array<string>, come: array<string>, n: bigint>>"
+    return stored(sample.mapInArrow(work, schema), "toxic-sample")
 
 
-def known_features(rows: DataFrame, index: Mapping[str, int]) -> list[tuple[int, list[int], list[tuple[list[int], list[int]]]]]:
-    """Label, places of the known features, and swapped pairs of each sampled text; as many as the sample bound allows."""
+def known_features(rows: DataFrame, index: Mapping[str, int]) -> list[tuple[int, list[int]]]:
+    """Label and places of the known features of each sampled text; as many as the sample bound allows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [[index[f] for f in fs if f in index] for fs in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(held, pa.list_(pa.int32())), batch.column(2)], names=["label", "held", "swaps"])
+            yield pa.record_batch([batch.column(0), pa.array(held, pa.list_(pa.int32()))], names=["label", "held"])
 
-    places = lambda side: [index[f] for f in side.split(" ") if f in index]
-    found = rows.mapInArrow(work, "label int, held array<int>, swaps string").collect()
-    return sorted(
-        (r["label"], sorted(r["held"]), [tuple(places(s) for s in line.split("\t")) for line in r["swaps"].split("\n") if line])
-        for r in found
-    )
+    found = rows.select("label", "held").mapInArrow(work, "label int, held array<int>").collect()
+    return sorted((r["label"], sorted(r["held"])) for r in found)
+
+
+def counted_swaps(rows: DataFrame, index: Mapping[str, int]) -> list[tuple[list[int], list[int], int]]:
+    """Places that go and come, and how often over the whole sample; there are few distinct swaps of few terms."""
+    swaps = rows.select(F.explode("swaps").alias("s")).groupBy("s.gone", "s.come").agg(F.sum("s.n").alias("n"))
+    places = lambda features: [index[f] for f in features if f in index]
+    return sorted((places(r["gone"]), places(r["come"]), r["n"]) for r in swaps.collect())
 
 
 def chosen_features(counts: DataFrame, n: int, positive: int, least: int = 3, least_chi: float = 10.83) -> dict[str, int]:
@@ -159,15 +183,19 @@ def chosen_features(counts: DataFrame, n: int, positive: int, least: int = 3, le
 
 
 def fitted(
-    labels: np.ndarray, rows: Sequence[np.ndarray], deltas: Sequence[tuple[np.ndarray, np.ndarray]], size: int,
+    labels: np.ndarray, rows: Sequence[np.ndarray], swaps: Sequence[tuple[list[int], list[int], int]], size: int,
     ridge: float = 1e-4, fairness: float = 1.0, rounds: int = 400, rate: float = 0.2,
 ) -> tuple[float, np.ndarray]:
-    """Bias and weights by Adam on balanced logistic loss + ridge |w|^2 + fairness * mean squared swap difference."""
+    """Bias and weights by Adam on balanced logistic loss + ridge |w|^2 + fairness * mean squared swap difference.
+
+    The mean is over all swaps of all sentences; equal ones come once, with their count.
+    """
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     held = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    d_of = np.concatenate([np.full(len(a) + len(b), i) for i, (a, b) in enumerate(deltas)] or [np.zeros(0)]).astype(np.int64)
-    d_held = np.concatenate([x for pair in deltas for x in pair] or [np.zeros(0)]).astype(np.int64)
-    d_sign = np.concatenate([np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in deltas] or [np.zeros(0)])
+    d_of = np.repeat(np.arange(len(swaps)), np.asarray([len(a) + len(b) for a, b, _ in swaps], dtype=np.int64))
+    d_held = np.asarray([f for a, b, _ in swaps for f in (*a, *b)], dtype=np.int64)
+    d_sign = np.asarray([sign for a, b, _ in swaps for sign in (*[1.0] * len(a), *[-1.0] * len(b))])
+    times = np.asarray([n for *_, n in swaps], dtype=float)
     share = labels.mean()
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / len(labels)
     w = np.zeros(size + 1)
@@ -176,9 +204,9 @@ def fitted(
         margin = np.bincount(of, weights=w[held], minlength=len(rows)) + w[size]
         error = balance * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels)
         slope = np.append(np.bincount(held, weights=error[of], minlength=size)[:size] + ridge * w[:size], error.sum())
-        if len(deltas):
-            gap = np.bincount(d_of, weights=d_sign * w[d_held], minlength=len(deltas))
-            slope[:size] += 2 * fairness / len(deltas) * np.bincount(d_held, weights=d_sign * gap[d_of], minlength=size)[:size]
+        if len(swaps):
+            gap = times * np.bincount(d_of, weights=d_sign * w[d_held], minlength=len(swaps))
+            slope[:size] += 2 * fairness / times.sum() * np.bincount(d_held, weights=d_sign * gap[d_of], minlength=size)[:size]
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
@@ -206,10 +234,10 @@ def fit_toxicity(
     wanted = sorted(set(index) | terms)
     index = {f: i for i, f in enumerate(wanted)}
     sample = known_features(rows, index)
-    array = lambda places: np.asarray(places, dtype=np.int64)
-    deltas = [(array(a), array(b)) for _, _, swaps in sample for a, b in swaps if a or b]
+    swaps = [swap for swap in counted_swaps(rows, index) if swap[0] or swap[1]]
     bias, weights = fitted(
-        np.asarray([float(c) for c, _, _ in sample]), [array(h) for _, h, _ in sample], deltas, len(index), fairness=fairness
+        np.asarray([float(c) for c, _ in sample]), [np.asarray(h, dtype=np.int64) for _, h in sample], swaps, len(index),
+        fairness=fairness,
     )
     return ToxicModel(bias, {f: float(w) for f, w in zip(wanted, weights, strict=True) if abs(w) > 1e-6})
 
