@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from planshift.llm.shared import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for all nodes of ``edges(u, v)``: the label is the smallest node of the component.
 
     Each round takes the smallest label of a node and its neighbours and then the label of that label, so paths halve;
-    labels are stored each round, and the rounds end when no label changes.
+    labels are stored each round, and the rounds end when no label changes, however many that takes.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = stored(both, "links")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = (
             both.join(labels, both.v == labels.node)
             .groupBy("u")
@@ -31,5 +31,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         changed = moved.filter(F.col("label") != F.col("next")).limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
-            break
-    return labels
+            return labels
