@@ -32,6 +32,8 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BAND_ROWS = 4
 STEP = 16
+# Shingle bytes that a block is meant to hold where texts are verified.
+BLOCK_BYTES = 8 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -145,13 +147,14 @@ def spanning(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.nda
     return root
 
 
-def blocks(rows: DataFrame, count: str, node: str, spread: int) -> DataFrame:
+def blocks(rows: DataFrame, count: str, node: str, spread: int, size: str = "0") -> DataFrame:
     """Adds ``__b`` (own block) and ``__x``, ``__y`` (pair of blocks): one row for every pair that holds the own block.
 
-    Groups of up to 64 are whole; larger ones have up to ``spread`` blocks, and more only where a block would go
-    beyond 1,024 rows.
+    Groups of up to 64 are whole; larger ones have up to ``spread`` blocks. There are more only where a block would go
+    beyond 1,024 rows or, with the bytes of the group in ``size``, beyond ``BLOCK_BYTES``.
     """
-    n = F.expr(f"cast(greatest(1, ceil({count} / 1024D), least({spread}, ceil({count} / 64D))) as int)")
+    by_bytes = f"least({count}, ceil({size} / {BLOCK_BYTES}D))"
+    n = F.expr(f"cast(greatest(1, ceil({count} / 1024D), {by_bytes}, least({spread}, ceil({count} / 64D))) as int)")
     own = rows.withColumn("__nb", n).withColumn("__b", F.pmod(F.xxhash64(node, F.lit(3)), F.col("__nb")).cast("int"))
     other = own.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
     return other.withColumns(
@@ -355,10 +358,12 @@ def jaccard_classes(
     meeting = bands.join(sizes, ["__band", "__value"]).join(nodes.select("__row", "__marks"), "__row")
     edges = stored(_bucket_edges(blocks(meeting, "__size", "__row", 4), steps), "candidate-links")
     loose = components(edges)
-    loose_sizes = loose.groupBy("label").agg(F.count(F.lit(1)).alias("__size"))
-    members = stored(
-        loose.join(loose_sizes, "label").select(F.col("node").alias("__row"), F.col("label").alias("__label"), "__size"), "groups"
+    loose = stored(
+        loose.select(F.col("node").alias("__row"), F.col("label").alias("__label")).join(nodes.select("__row", "__n"), "__row"),
+        "loose-groups",
     )
+    loose_sizes = loose.groupBy("__label").agg(F.count(F.lit(1)).alias("__size"), F.sum(8 * F.col("__n")).alias("__bytes"))
+    members = stored(loose.drop("__n").join(loose_sizes, "__label"), "groups")
     # the texts of the members alone, found by their digests
     wanted = stored(members.join(same, "__row").select("__row", "__same", "__first_key"), "member-texts")
     texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
@@ -366,7 +371,7 @@ def jaccard_classes(
     inside = (
         members.join(nodes.select("__row", "__copies", "__marks"), "__row").join(sets, "__row")
     )
-    checked = stored(_verified(blocks(inside, "__size", "__row", 16), threshold, steps), "links")
+    checked = stored(_verified(blocks(inside, "__size", "__row", 16, "__bytes"), threshold, steps), "links")
     links = checked.groupBy("__row").agg(F.sum("__docs").alias("__docs"))
     tight = components(checked.filter("__root <> __row").select(F.col("__root").alias("u"), F.col("__row").alias("v")))
     named = (
