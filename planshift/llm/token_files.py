@@ -84,7 +84,7 @@ def write_token_files(
     """Writes ``docs`` under ``folder``; returns one row per file: ``part``, ``path``, ``n_docs``, ``n_tokens``.
 
     Files follow each other in the order of ``part``, documents in ascending ``key`` (null first; rows that repeat a key
-    by their text). Each document is its ids and ``end_id``; null and empty texts have the end id alone. ``dtype`` must
+    by a hash of their text, so that copies of any number are spread over files). Each document is its ids and ``end_id``; null and empty texts have the end id alone. ``dtype`` must
     hold every id of the vocabulary. An empty table writes no file. Other columns are not read. ``folder`` is a URI that
     Python on the executors can reach.
     """
@@ -124,8 +124,10 @@ def write_token_files(
 
     ordered = (
         docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-        .repartitionByRange("key")
-        .sortWithinPartitions("key", "text")
+        .withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange("key", "hash", "row")
+        .sortWithinPartitions("key", "hash", "row")
+        .select("key", "text")
     )
     return stored(ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-files")
 
