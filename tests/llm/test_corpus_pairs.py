@@ -1,7 +1,9 @@
 """Jaccard join, top-k, extraction, toxicity, pipeline."""
 
 import random
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +15,9 @@ from planshift.llm.components import components  # noqa: E402
 from planshift.llm.extraction import extracted, main_text, minimum_cut  # noqa: E402
 from planshift.llm.jaccard import jaccard_classes, least_matches, without_near_copies  # noqa: E402
 from planshift.llm.topk import accumulated, top_k  # noqa: E402
-from planshift.llm.toxicity import fit_toxicity, held_out, scored, without_toxic  # noqa: E402
+from planshift.llm.toxicity import (  # noqa: E402
+    LETTERS, SWAPS, features_of, fit_toxicity, held_out, scored, sentence_swaps, without_toxic,
+)
 
 
 def brute_links(data):
@@ -49,6 +53,14 @@ def test_jaccard_equals_brute_force(spark):
     assert kept == {c for _, c, _ in got}
 
 
+def test_groups_are_cut_by_bytes_too(spark, monkeypatch):
+    base = corpus.prose(78, 200).split(" ")
+    data = [(i, " ".join([*base[:i * 7], f"own{i}", *base[i * 7 + 1:]]), None, None, 0, *["x"] * 6) for i in range(20)]
+    monkeypatch.setattr("planshift.llm.jaccard.BLOCK_BYTES", 2_000)  # about one text a block
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_classes(corpus.frame(spark, data)).collect())
+    assert got == brute_links(data)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     for n, m in least_matches(0.8, 1e-9):
         assert 0 <= m < 0.8 * n
@@ -149,6 +161,19 @@ def test_toxicity_held_out_and_neutral_mentions(spark):
     assert rest.columns == docs.columns and {r["doc_id"] for r in rest.collect()} == {i for i in got if not got[i]["predicted"]}
 
 
+def test_swaps_cover_every_sentence():
+    text = "Women and men met. The woman, a Muslim, met Muslims and muslim men\nno group here! " * 40 + "gay gay straight"
+    want = Counter()
+    for sentence in re.split(r"[.!?\n]+", text):
+        words = LETTERS.findall(sentence.lower())
+        for at, word in enumerate(words):
+            for other in SWAPS.get(word, ()):
+                a, b = ({f for w in side for f in features_of(w)} for side in (words, [*words[:at], other, *words[at + 1:]]))
+                want[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+    assert sentence_swaps(text) == want and sum(want.values()) > 200
+    assert not sentence_swaps("")
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     assert all(r["predicted"] == 0 for r in scored(docs, fit_toxicity(docs, labels.limit(0))).collect())

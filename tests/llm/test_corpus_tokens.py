@@ -58,6 +58,18 @@ def test_token_files_round_trip(spark):
     assert write_token_files(corpus.empty(spark), work_path(spark, "token-test"), BYTE).count() == 0
 
 
+def test_token_files_spread_copies_of_one_key(spark):
+    data = [(7, f"text {i % 3} of one key", None, None, 0, *["x"] * 6) for i in range(300)]
+    files = write_token_files(corpus.frame(spark, data), work_path(spark, "token-test"), BYTE, sequence_length=16)
+    got = read_documents(files).collect()
+    assert Counter((r["n_tokens"], r["ids_crc32"]) for r in got) == Counter(
+        (len(x), zlib.crc32(x.tobytes())) for x in whole(BYTE, [d[1] for d in data], [0]))
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_packing_covers_every_id_once_and_holds_the_mixture(spark):
     data = corpus.rows()
     got = packed(corpus.frame(spark), WORD, window=64, quantum=4).collect()
