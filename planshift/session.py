@@ -15,6 +15,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # files of a checkpoint go once no frame refers to it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
