@@ -186,7 +186,8 @@ def fixed_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _fingerprints(docs: DataFrame, key: str, text: str, row: str | None) -> DataFrame:
+    """Stored, with ``__row``: the numbers in ``row``, which must be distinct and fixed, or fresh ones."""
     import xxhash
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +206,15 @@ def _fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)])))
                 yield pa.record_batch(
-                    [rows.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), lists],
-                    names=["__key", "__same", "__n", "__marks", "__bands"],
+                    [rows.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), lists, rows.column(2)],
+                    names=["__key", "__same", "__n", "__marks", "__bands", "__row"],
                 )
 
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), number.alias("__row"))
     kind = rows.schema["__key"].dataType.simpleString()
-    made = rows.mapInArrow(work, f"__key {kind}, __same binary, __n long, __marks binary, __bands array<long>")
-    return stored(made.withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
+    made = rows.mapInArrow(work, f"__key {kind}, __same binary, __n long, __marks binary, __bands array<long>, __row long")
+    return stored(made, "fingerprints")
 
 
 def _bucket_edges(rows: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
@@ -345,8 +347,20 @@ def jaccard_classes(
     Rows that repeat a key are documents of their own; a null key is the smallest. An empty table gives no rows. Other
     columns are not read.
     """
+    rows = _row_classes(docs, key, text, None, threshold, tolerance)
+    return rows.select(F.col("__key").alias(key), F.col("__class_key").alias("class_id"), F.col("__links").alias("n_links"))
+
+
+def _row_classes(
+    docs: DataFrame, key: str, text: str, row: str | None, threshold: float = 0.8, tolerance: float = 1e-9
+) -> DataFrame:
+    """``__key``, ``__row``, ``__class_key``, ``__class_row`` and ``__links`` of every document.
+
+    The class is named by its row of the smallest key; of several rows with that key by the smallest digest of the text,
+    then by the smallest row number.
+    """
     steps = least_matches(threshold, tolerance)
-    prints = _fingerprints(docs, key, text)
+    prints = _fingerprints(docs, key, text, row)
     full = prints.filter(F.col("__n") > 0)
     # equal texts: one node, named by the row of the smallest key
     same = full.groupBy("__same").agg(F.min(F.struct("__key", "__row")).alias("__first"), F.count(F.lit(1)).alias("__copies"))
@@ -379,22 +393,27 @@ def jaccard_classes(
         .join(links, "__row", "left")
         .withColumn("__class", F.coalesce("label", "__row"))
     )
-    firsts = named.groupBy("__class").agg(F.min("__first_key").alias("__class_key"), F.max(F.col("__first_key").isNull()).alias("__null"))
-    firsts = firsts.select("__class", F.when(~F.col("__null"), F.col("__class_key")).alias("__class_key"))
+    firsts = named.groupBy("__class").agg(F.min(F.struct("__first_key", "__same", "__row")).alias("__least"))
+    firsts = firsts.select("__class", F.col("__least.__first_key").alias("__class_key"), F.col("__least.__row").alias("__class_row"))
     named = named.join(firsts, "__class").select(
-        "__same", "__class_key", (F.col("__copies") - 1 + F.coalesce("__docs", F.lit(0))).alias("__links")
+        "__same", "__class_key", "__class_row", (F.col("__copies") - 1 + F.coalesce("__docs", F.lit(0))).alias("__links")
     )
     named = stored(named, "text-classes")
-    found = prints.filter(F.col("__n") > 0).join(named, "__same").select("__key", "__class_key", "__links")
-    alone = prints.filter(F.col("__n") == 0).select("__key", F.col("__key").alias("__class_key"), F.lit(0).cast("long").alias("__links"))
-    return found.union(alone).select(
-        F.col("__key").alias(key), F.col("__class_key").alias("class_id"), F.col("__links").cast("long").alias("n_links")
+    columns = ["__key", "__row", "__class_key", "__class_row", F.col("__links").cast("long").alias("__links")]
+    found = prints.filter(F.col("__n") > 0).join(named, "__same").select(columns)
+    alone = prints.filter(F.col("__n") == 0).withColumns(
+        {"__class_key": F.col("__key"), "__class_row": F.col("__row"), "__links": F.lit(0)}
     )
+    return found.union(alone.select(columns))
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document per class: the one of the smallest key. ``key`` is unique in ``docs``."""
-    classes = jaccard_classes(docs, key, text, **settings)
-    dropped = stored(classes.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__gone")), "near-copies")
-    gone = small_side(dropped, dropped.count(), 64)
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    """``docs`` with one row per class: the one of the smallest key, a null key being the smallest.
+
+    Rows that repeat a key are documents of their own: of copies one stays, and a different text under the same key is
+    judged by itself. Rows without words stay. ``docs`` is stored once, with row numbers.
+    """
+    rows = stored(docs.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    classes = _row_classes(rows, key, text, "__at", **settings)
+    dropped = stored(classes.filter("__row <> __class_row").select(F.col("__row").alias("__at")), "near-copies")
+    return rows.join(small_side(dropped, dropped.count(), 64), "__at", "left_anti").select(docs.columns)

@@ -53,6 +53,26 @@ def test_jaccard_equals_brute_force(spark):
     assert kept == {c for _, c, _ in got}
 
 
+def test_near_copies_go_by_row_not_by_key(spark):
+    texts = [corpus.prose(k, 60) for k in range(6)]
+    near = [f"{t} tail" for t in texts]
+    data = [
+        (1, texts[0]), (1, texts[0]), (1, texts[0]),  # repeats of one row: one stays
+        (2, texts[1]), (3, near[1]), (3, texts[2]),  # one of two texts of an id is a near copy: the other one stays
+        (None, texts[3]), (None, near[3]), (9, texts[3]),  # near copies without id: one stays
+        (None, texts[4]), (None, texts[5]),  # no copies
+        (5, None), (5, None), (6, " "), (None, ""),  # no words: all stay
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in without_near_copies(df.repartition(4)).collect())
+    assert sum(kept[None, t] for t in (texts[3], near[3])) == 1
+    kept -= Counter([(None, texts[3]), (None, near[3])])
+    assert kept == Counter([
+        (1, texts[0]), (2, texts[1]), (3, texts[2]), (None, texts[4]), (None, texts[5]), (5, None), (5, None), (6, " "), (None, ""),
+    ])
+    assert without_near_copies(df.limit(0)).count() == 0
+
+
 def test_groups_are_cut_by_bytes_too(spark, monkeypatch):
     base = corpus.prose(78, 200).split(" ")
     data = [(i, " ".join([*base[:i * 7], f"own{i}", *base[i * 7 + 1:]]), None, None, 0, *["x"] * 6) for i in range(20)]
