@@ -33,11 +33,17 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var del label".split()
+    "strong sub sup time tt u var del label tspan textpath "
+    # formulas
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
+    "msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics".split()
 )
-# Elements without readable text: what stands in them is skipped.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head".split())
+# Elements without readable text: what stands in them is skipped. A head needs no entry: what may stand in it is void,
+# raw or a template, and anything else belongs to the body, as if the head had ended before it.
+SILENT = frozenset("script style noscript template iframe desc metadata".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
+# A formula once more in another language, which is not shown.
+UNSHOWN = frozenset(("annotation", "annotation-xml"))
 CLOSES_P = frozenset("p div ul ol dl li table section article nav aside header footer form h1 h2 h3 h4 h5 h6 blockquote pre main figure hr address fieldset".split())
 
 # Log-odds of content by element above a block; the strongest sign of either kind counts once.
@@ -103,6 +109,10 @@ class Tree:
         return steps
 
 
+def end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.IGNORECASE)
+
+
 def read_blocks(page: str) -> tuple[list[Block], Tree]:
     """Text blocks in page order; character references are decoded, white space is one space."""
     tree, at, blocks = Tree(), 0, []
@@ -131,6 +141,10 @@ def read_blocks(page: str) -> tuple[list[Block], Tree]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag in UNSHOWN:
+            end = None if m[1] or m[3].endswith("/") else end_tag(tag).search(page, pos)
+            pos = end.end() if end else pos
+            continue
         if tag in INLINE:
             if tag == "a":
                 anchor = 0 if m[1] else 1
@@ -153,15 +167,24 @@ def read_blocks(page: str) -> tuple[list[Block], Tree]:
             continue
         if tag in CLOSES_P and tree.tag[at] == "p" or tag == tree.tag[at] and tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
             at = tree.parent[at]
-        if tag == "body" and silent and tree.tag[silent] == "head":
-            at, silent = tree.parent[silent], 0
+        if tag == "body":
+            node = at
+            while node and tree.tag[node] != "head":
+                node = tree.parent[node]
+            if node:
+                at, silent = tree.parent[node], 0
         if m[3].endswith("/") and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
+            end = end_tag(tag).search(page, pos)
+            if tag == "xmp":  # shown letter by letter
+                at = tree.add(tag, m[3], at)
+                say(html.escape(page[pos:end.start() if end else len(page)]))
+                flush()
+                at = tree.parent[at]
             pos = end.end() if end else len(page)
             continue
-        at = tree.add(tag, m[3], at)
+        at = tree.add(tag, "" if tag == "head" else m[3], at)
         anchor = 0
         if tag in SILENT and not silent:
             silent = at

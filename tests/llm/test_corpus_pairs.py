@@ -149,6 +149,27 @@ def test_extraction_keeps_the_article_alone(spark):
     assert extracted(df.limit(0)).count() == 0
 
 
+def test_extraction_keeps_a_page_whose_head_is_not_closed():
+    body = "<h1>The head of it</h1><article><p>Real text of the page goes on.</p></article>"
+    want = "The head of it\nReal text of the page goes on."
+    for head in ("<head><title>T</title><meta name=a>", "<head><title>T</title><template><p>not this</p></template>", "<title>T</title>", "<head><style>p{}</style></head>", "<head><title>T</title></head><body>", "<head><title>T</title><body>"):
+        assert main_text(f"<!DOCTYPE html><html>{head}{body}") == want
+    assert main_text("<head><title>T</title><article><b>Bold</b> text that starts the page.") == "Bold text that starts the page."
+    assert main_text("<head><title>T</title>Text that starts the page, which has no other tags than those of its head.") == "Text that starts the page, which has no other tags than those of its head."
+
+
+def test_extraction_keeps_formulas_drawn_and_fallback_text():
+    page = "<body><article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold.</p>{}<p>After it.</p></article>"
+    for given, want in (
+        ("", []),
+        ("<svg><title>t</title><desc>d</desc><path d='M0'></path><text>Axis <tspan>label</tspan></text></svg>", ["Axis label"]),
+        *((f"<{t}>Fallback text.</{t}>", ["Fallback text."]) for t in ("object", "canvas", "audio", "video")),
+        ("<xmp>if a < b: <b>&lt;</b></xmp>", ["if a < b: <b>&lt;</b>"]),
+        *((f"<{t}>not this</{t}>", []) for t in ("script", "style", "template", "noscript", "iframe", "textarea")),
+    ):
+        assert main_text(page.format(given)).split("\n") == ["Let x=2 hold.", *want, "After it."]
+
+
 def labelled(spark, n=400):
     draw = random.Random(8)
     docs, labels = [], []
