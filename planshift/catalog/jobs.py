@@ -230,7 +230,7 @@ def development_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _unprepared(spark, sf_dir)
     year = F.col("day")
     later = {"oot1": rows.filter((year > "1998") & (year <= "1999")), "oot2": rows.filter(year > "1999")}
-    done = develop(rows.filter(year <= "1998"), later, PREPARED_FEATURES, S.PREP, "boosted_trees", maxIter=5)
+    done = develop(rows.filter(year <= "1998"), later, PREPARED_FEATURES, S.PREP, "boosted_trees")
     return done.tables["report"]
 
 
@@ -238,6 +238,6 @@ def development_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explanation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
     dev = model_matrix(rows.filter(F.col("sample") == "dev"), S.FEATURES, "target", KEYS)
-    done = train(dev, S.FEATURES, "target", KEYS, "boosted_trees", maxIter=5)
+    done = train(dev, S.FEATURES, "target", KEYS, "boosted_trees")
     tables = explain(done.model, rows, S.FEATURES, KEYS)
     return tables["importance"].join(tables["split_counts"], "feature").join(tables["mean_absolute"], "feature")

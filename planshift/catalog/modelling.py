@@ -213,27 +213,27 @@ def families_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = {
         "logistic": fit(train, S.FEATURES, "target", "logistic"),
         "forest": fit(train, S.FEATURES, "target", "importance_forest", seed=1),
-        "boosted": fit(train, S.FEATURES, "target", "boosted_trees", maxIter=5),
+        "boosted": fit(train, S.FEATURES, "target", "boosted_trees"),
     }
     return compare_families(models, parts, "target", KEYS)
 
 
 @query("K1")
 def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit(samples(matrix(spark, sf_dir))["train"], S.FEATURES, "target", "boosted_trees", maxIter=5)
+    model = fit(samples(matrix(spark, sf_dir))["train"], S.FEATURES, "target", "boosted_trees")
     return X.importance_table(model, S.FEATURES, spark)
 
 
 @query("K2")
 def split_count_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit(samples(matrix(spark, sf_dir))["train"], S.FEATURES, "target", "boosted_trees", maxIter=5)
+    model = fit(samples(matrix(spark, sf_dir))["train"], S.FEATURES, "target", "boosted_trees")
     return X.split_counts(X.node_table(model, spark), S.FEATURES)
 
 
 @query("K3")
 def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrix(spark, sf_dir)
-    model = fit(samples(rows)["train"], S.FEATURES, "target", "boosted_trees", maxIter=5)
+    model = fit(samples(rows)["train"], S.FEATURES, "target", "boosted_trees")
     return X.tree_contributions(rows, X.node_table(model, spark), S.FEATURES, KEYS)
 
 
@@ -241,7 +241,7 @@ def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_contributions_add_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base value and contributions of each row add up to the margin the model itself gives."""
     rows = matrix(spark, sf_dir)
-    model = fit(rows, S.FEATURES, "target", "boosted_trees", maxIter=5)
+    model = fit(rows, S.FEATURES, "target", "boosted_trees")
     scored = score(model, rows, [*KEYS, *S.FEATURES])
     parts = X.tree_contributions(scored, X.node_table(model, spark), S.FEATURES, KEYS)
     both = parts.join(scored.select(*KEYS, "p"), KEYS)

@@ -10,7 +10,9 @@ import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from planshift.catalog import ENTRIES
 from planshift.models import explain as X
+from planshift.models import families
 from planshift.models.evaluation import compare_families, score_samples
 from planshift.models.families import FAMILIES, fit, fit_per_class, score, score_per_class, stages, tree_ensemble
 from planshift.models.selection import backward_elimination, genetic_search, mask_names, select_by_genetic_search
@@ -246,3 +248,26 @@ def test_evaluation_tables(df):
     assert gains["lift"] > 1.5
     both = compare_families({"x": done.model, "z": done.model}, sides, "y", ["id"]).collect()
     assert len(both) == 4 and len({r["ks"] for r in both if r["sample"] == "test"}) == 1
+
+
+@pytest.mark.parametrize("name", [
+    "families_compared", "gain_importance", "split_count_importance", "tree_contributions", "tree_contributions_add_up",
+    "development_job", "explanation_job",
+])
+def test_boosted_queries_run_all_rounds(spark, small, monkeypatch, name):
+    """The settings that reach the fit; the fit itself is left out."""
+
+    class Reached(Exception):
+        pass
+
+    made = families.tree_ensemble
+
+    def noted(family, *args, **params):
+        if family == "boosted_trees":
+            raise Reached(made(family, *args, **params).getMaxIter())
+        return made(family, *args, **{**params, "numTrees": 1})
+
+    monkeypatch.setattr(families, "tree_ensemble", noted)
+    with pytest.raises(Reached) as reached:
+        ENTRIES[name].build(spark, small)
+    assert reached.value.args == (400,)
