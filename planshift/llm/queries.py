@@ -10,9 +10,12 @@ from planshift.llm.jaccard import jaccard_classes
 from planshift.llm.lines import drop_boilerplate
 from planshift.llm.mixing import mixed
 from planshift.llm.packing import packed
+from planshift.llm.prefix_trie import ends_sha256, prefix_trie
 from planshift.llm.quality import RULES, judged
+from planshift.llm.resampling import resampled
 from planshift.llm.shared import table
 from planshift.llm.sharding import interleaved_shards
+from planshift.llm.subwords import fit_quality, quality_scored
 from planshift.llm.token_files import read_documents, write_token_files
 from planshift.llm.topk import top_k
 from planshift.llm.toxicity import fit_toxicity, scored
@@ -88,14 +91,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return quality_scored(docs, fit_quality(docs, labels, held_out), held_out)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie(table(spark, sf_dir, "conversations"))
+    none = F.sha2(F.lit(""), 256)
+    return trie.nodes.join(ends_sha256(trie.ends), ["conv_id", "depth"], "left").withColumn(
+        "ends_sha256", F.coalesce("ends_sha256", none)
+    )
+
+
 # CRC-32 byte by byte over the 256 remainders of the reversed polynomial.
-_CRC32 = """
+_REMAINDERS = """
 WITH RECURSIVE remainder(i, step, c) AS (
   SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
   UNION ALL
   SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM remainder WHERE step < 8
 ),
-byte_table AS (SELECT list(c ORDER BY i) AS t FROM remainder WHERE step = 8),
+byte_table AS (SELECT list(c ORDER BY i) AS t FROM remainder WHERE step = 8)"""
+_CRC32 = f"""{_REMAINDERS},
 sized AS (
   SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
 ),
@@ -214,11 +236,92 @@ SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN array_to_string(rest, chr
 FROM kept
 """
 
+OP11_SQL = f"""{_REMAINDERS},
+texts AS (
+  SELECT row_number() OVER () AS k, doc_id, text, TRUE AS raw FROM documents
+  UNION ALL SELECT -item_id - 1, NULL, text, FALSE FROM benchmark
+),
+split AS (
+  SELECT k, doc_id, raw, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+),
+placed AS (SELECT k, raw, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+runs AS (
+  SELECT k, raw, w[i] AS v FROM placed
+  UNION ALL SELECT k, raw, w[i] || ' ' || w[i + 1] FROM placed WHERE i + 1 <= len(w)
+  UNION ALL SELECT k, raw, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM placed WHERE i + 2 <= len(w)
+),
+counted AS (SELECT k, raw, v, count(*) AS n FROM runs GROUP BY ALL),
+state AS (
+  SELECT v, hex(encode(v)) AS h, 0 AS done, 4294967295::BIGINT AS c FROM (SELECT DISTINCT v FROM counted)
+  UNION ALL
+  SELECT v, h, done + 2, xor(c >> 8, t[(xor(c, ('0x' || substr(h, done + 1, 2))::BIGINT) & 255) + 1]) FROM state, byte_table WHERE done < length(h)
+),
+bucket AS (SELECT v, xor(c, 4294967295) % 10000 AS b FROM state WHERE done = length(h)),
+held AS (SELECT k, raw, b, sum(n)::BIGINT AS n FROM counted JOIN bucket USING (v) GROUP BY ALL),
+totals AS (SELECT b, coalesce(sum(n) FILTER (raw), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT raw), 0)::BIGINT AS t FROM held GROUP BY b),
+whole AS (SELECT coalesce(sum(s), 0)::BIGINT AS s, coalesce(sum(t), 0)::BIGINT AS t FROM totals),
+gain AS (
+  SELECT b, floor(1000 * ln(((a.t + 1)::DOUBLE * (w.s + 10000)::DOUBLE) / ((a.s + 1)::DOUBLE * (w.t + 10000)::DOUBLE)))::BIGINT AS g
+  FROM totals a, whole w
+),
+weights AS (SELECT k, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM held JOIN gain USING (b) WHERE raw GROUP BY k),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) AS words,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (k) WHERE raw
+),
+ranked AS (
+  SELECT doc_id, n_features, score, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place,
+    count(*) OVER () AS eligible, weight FROM scored WHERE words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * eligible // 100 THEN place END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE words < 20
+"""
+
+OP13_SQL = f"""{_REMAINDERS},
+own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+shared AS (
+  SELECT c, w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1),
+      lambda i: ascii(substr(c::VARCHAR, i::INTEGER, 1))::BIGINT)),
+      lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM own, byte_table
+),
+rebuilt AS (
+  SELECT s.c, list_concat(CASE WHEN b.c IS NULL THEN [] ELSE b.w[1:s.h] END, s.w[s.h + 1:]) AS seq
+  FROM shared s LEFT JOIN own b ON b.c = s.c - s.c % 100
+),
+member AS (SELECT c, d, seq[1:d] AS p, len(seq) = d AS here FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (here), '') AS ends
+  FROM member GROUP BY d, p
+),
+child AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+facts AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN child USING (d, p)),
+above AS (SELECT a AS d, p[1:a] AS p, d AS below_d, p AS below, n, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM facts)),
+subtree AS (
+  SELECT d, p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+    sum(CASE WHEN below_d = 0 THEN 0 ELSE (n - 1) * length(below[below_d].t) END)::BIGINT AS saved_tokens
+  FROM above GROUP BY d, p
+)
+SELECT f.conv_id, f.d::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved_tokens,
+  sha256(f.ends) AS ends_sha256
+FROM facts f JOIN subtree s ON f.d = s.d AND f.p = s.p LEFT JOIN node q ON f.d > 0 AND q.d = f.d - 1 AND q.p = f.p[1:f.d - 1]
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_html_extraction, op3_quality_rules, op4_ngram_jaccard_join, op5_toxicity, op6_exact_topk,
-        op7_mixing, op8_token_output, op9_packing, op10_line_dedup,
+        op7_mixing, op8_token_output, op9_packing, op10_line_dedup, op11_importance_resampling, op12_quality_classifier, op13_prefix_trie,
     )
 }
-SQL = {"op1_sharding": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_exact_topk": OP6_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {
+    "op1_sharding": OP1_SQL, "op3_quality_rules": OP3_SQL, "op6_exact_topk": OP6_SQL, "op10_line_dedup": OP10_SQL,
+    "op11_importance_resampling": OP11_SQL, "op13_prefix_trie": OP13_SQL,
+}
