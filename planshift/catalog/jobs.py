@@ -21,7 +21,9 @@ from planshift.plans.prepare import fit_prep, prepare, training_matrix
 from planshift.plans.report import profile_report
 from planshift.plans.selection import select_features
 from planshift.plans.training import score_and_evaluate, train
+from planshift.session import work_path
 from planshift.sources import standins as S
+from planshift.sources.tables import materialize
 
 
 @query("N1 A2 C1 C2 C3 C4 D1 D2 D3 E1 E2 F1", given("labels_") + "SELECT * FROM labels_")
@@ -60,11 +62,11 @@ def label_job_over_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGS = ", ".join(f"w.{k}_flag" for k in S.KINDS) + ", " + ", ".join(f"m.{k}_flag AS {k}_flag_m" for k in S.KINDS)
 
 
-def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dataset(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     return build_dataset(
         S.purchase_days(spark, sf_dir),
         S.visits(spark, sf_dir),
-        S.with_date_parts(S.daily(spark, sf_dir)),
+        S.with_date_parts(S.daily(spark, sf_dir)) if daily is None else daily,
         S.flags(spark, sf_dir, "web"),
         S.flags(spark, sf_dir, "mobile"),
         S.attributes(spark, sf_dir),
@@ -72,8 +74,7 @@ def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "N2 A3 B3 B4 B5 D4 D5 E3 E4 E5 F1",
+DATASET_SQL = (
     given("buys", "visits", "daily", "flags_web", "flags_mobile", "attrs")
     + "SELECT b.account_id, b.day, v.visit_day, visits, pages, d.day AS daily_day, "
     + ", ".join(COUNTERS)
@@ -83,12 +84,22 @@ def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     "LEFT JOIN flags_web w ON v.account_id = w.account_id AND v.visit_day = w.visit_day "
     "LEFT JOIN flags_mobile m ON v.account_id = m.account_id AND v.visit_day = m.visit_day "
     "LEFT JOIN attrs a ON v.account_id = a.account_id "
-    "WHERE year(d.day) = 2024 AND month(d.day) >= 1 AND day(d.day) > 3",
+    "WHERE year(d.day) = 2024 AND month(d.day) >= 1 AND day(d.day) > 3"
 )
+
+
+@query("N2 A3 B3 B4 B5 D4 D5 E3 E4 E5 F1", DATASET_SQL)
 def dataset_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dataset(spark, sf_dir)
 
 
+@query("N2 A3 A4 E4", DATASET_SQL)
+def dataset_job_on_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table lies in folders by year, month and date; only those of the wanted days are read."""
+    daily = materialize(S.with_date_parts(S.daily(spark, sf_dir)), work_path(spark, "daily"), ("year", "month", "date"))
+    return _dataset(spark, sf_dir, daily)
+
+
 # The rows to prepare: every account-year with the tier before, raw attributes and sentinels.
 UNPREPARED = {
     "tiers": "SELECT account_id, ym, tier AS tier_to, lag(tier) OVER (PARTITION BY account_id ORDER BY ym) AS tier_from, "

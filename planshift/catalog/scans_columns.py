@@ -13,7 +13,7 @@ from planshift.operators.joins import join_daily
 from planshift.plans.labels import build_labels
 from planshift.session import work_path
 from planshift.sources import standins as S
-from planshift.sources.tables import dated_partitions, load_model, materialize, save_model, snapshot
+from planshift.sources.tables import dated_partitions, load_model, materialize, replace_partitions, save_model, snapshot
 
 DATE_PARTS = "year(day)::INTEGER AS year, month(day)::INTEGER AS month, day(day)::INTEGER AS date"
 
@@ -44,6 +44,16 @@ def materialize_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(daily, work_path(spark, "daily"), ("year", "month"))
 
 
+@query("A4 A2", given("snap") + "SELECT * EXCLUDE (tier_rank) FROM snap")
+def period_written_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by period with wrong counts in 1997, of which that period alone is then written again."""
+    right = S.snapshots(spark, sf_dir)
+    wrong = right.withColumn("product_count", F.when(F.col("ym") == "1997", -1).otherwise(F.col("product_count")))
+    path = work_path(spark, "periods")
+    materialize(wrong.withColumn("product_count", F.col("product_count").cast("bigint")), path, ("ym",))
+    return replace_partitions(snapshot(right, "1997"), path, ("ym",))
+
+
 @query("A5", given("daily") + "SELECT account_id, day, TRUE AS reload_equal FROM daily")
 def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = S.activity_matrix(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key list never grows with the data: at most 100 values are tracked.
@@ -60,6 +60,21 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def drop_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct rows, found among the rows of the same keys.
+
+    ``distinct`` would shuffle by all columns.  Here rows are clustered and sorted by the keys
+    (and then by the rest) alone, which costs no exchange where they already are, and which
+    later joins on these keys use as it is.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    row = F.struct(*rest)
+    before = F.lag(row).over(Window.partitionBy(*keys).orderBy(*rest))
+    return df.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(row)).drop("_before")
+
+
 def period_pair(
     snapshots: DataFrame, current: str, previous: str, key: str = "account_id", column: str = "ym"
 ) -> DataFrame:
@@ -136,10 +151,10 @@ def enrich(base: DataFrame, *sources: tuple[DataFrame, Sequence[str], Mapping])
     """Left-join each ``(frame, key columns, hot values of the first key)`` in turn.
 
     A source may hold exact copies of a row; they are collapsed before the join, so they
-    do not multiply ``base``.  For a source grouped by its keys Spark drops that step.
+    do not multiply ``base``, on the partitioning by key that the join needs anyway.
     Where both have a column, the source's values are kept.
     """
     for frame, keys, hot in sources:
         replaced = [c for c in frame.columns if c in base.columns and c not in keys]
-        base = lookup_join(base.drop(*replaced), frame.distinct(), keys, "left", keys[0], hot)
+        base = lookup_join(base.drop(*replaced), drop_copies(frame, keys), keys, "left", keys[0], hot)
     return base

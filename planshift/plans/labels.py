@@ -52,6 +52,25 @@ def _changes(pairs: DataFrame, spec: LabelSpec, *carry: str) -> DataFrame:
     )
 
 
+def distinct_pairs(snapshots: DataFrame, spec: LabelSpec) -> DataFrame:
+    """The distinct pairs of ``period_pair``, from one pass over the snapshots and one exchange by account.
+
+    The rows of both periods of an account meet as sets, which are combined in the map tasks; an account that is
+    listed twice in a period gives a pair for each of its different rows, as the join would.
+    """
+    held = [c for c in snapshots.columns if c not in ("account_id", "ym")]
+    ym = F.col("ym")
+
+    def rows_of(period: str) -> Column:
+        return F.collect_set(F.when(ym == period, F.struct(*held)))
+
+    both = snapshots.filter(ym.isin(spec.current, spec.previous) & F.col("account_id").isNotNull())
+    sides = both.groupBy("account_id").agg(rows_of(spec.current).alias("_now"), rows_of(spec.previous).alias("_then"))
+    pairs = sides.select("account_id", F.explode("_now").alias("_now"), "_then").select("account_id", "_now", F.explode("_then").alias("_then"))
+    named = {"_now": "_m0", "_then": "_m1"}
+    return pairs.select("account_id", *[F.col(f"{side}.{c}").alias(c + suffix) for side, suffix in named.items() for c in held])
+
+
 def _wanted(spec: LabelSpec) -> Column:
     return (
         text_matches("channel", spec.channel_contains, spec.channel_prefix)
@@ -79,11 +98,12 @@ def upgrade_sales(sales: DataFrame, changes: DataFrame) -> DataFrame:
 def build_labels(sales: DataFrame, snapshots: DataFrame, spec: LabelSpec) -> DataFrame:
     """One row per distinct upgrade sale with the tiers before and after.
 
-    Sales arrive distinct and accounts are unique per period, so the join cannot make
-    copies and no second DISTINCT is needed; ``distinct`` here only guards snapshots that
-    list an account twice and reuses the join's partitioning when they do not.
+    Snapshots are read once for both periods.  Sales arrive distinct and accounts are as a rule
+    unique per period; ``distinct`` only guards snapshots that list an account with different
+    rows, and works on the join's partitioning by account.
     """
-    labelled = upgrade_sales(matching_sales(sales, spec), tier_changes(snapshots, spec))
+    changes = _changes(distinct_pairs(snapshots, spec), spec)
+    labelled = upgrade_sales(matching_sales(sales, spec), changes)
     return labelled.select(
         "account_id",
         "account_number",

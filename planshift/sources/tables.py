@@ -70,6 +70,34 @@ def materialize(
     return spark.table(target).select(df.columns)
 
 
+def replace_partitions(df: DataFrame, target: str, partition_by: Sequence[str]) -> DataFrame:
+    """Write the partitions that ``df`` has rows of, and leave all others of the table as they are.
+
+    This is how a job is run again for one month: its old rows go, whole, and no other month is
+    read or written.  A partition without rows in ``df`` stays.  ``target`` is a path or the name of
+    a catalog table; where it does not exist yet it is made.  Returns a scan of the whole table.
+    """
+    spark, names = df.sparkSession, [*[c for c in df.columns if c not in partition_by], *partition_by]
+    if "/" in target:
+        rows = df.hint("rebalance", *partition_by)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
+        return spark.read.schema(df.schema).parquet(target).select(df.columns)
+    if not spark.catalog.tableExists(target):
+        return materialize(df, target, partition_by)
+    # a catalog table takes columns by place, its partition columns last
+    kept = spark.table(target).columns
+    if sorted(kept) != sorted(names):
+        raise ValueError(f"{target} has the columns {kept}")
+    conf = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "dynamic")
+    try:
+        df.select(kept).hint("rebalance", *partition_by).write.insertInto(target, overwrite=True)
+    finally:
+        spark.conf.set(conf, before)
+    return spark.table(target).select(df.columns)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

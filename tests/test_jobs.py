@@ -1,21 +1,30 @@
 """Jobs on hand-made tables with the default codes, and the shape of physical plans."""
 
 import datetime as dt
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from plans import count_nodes, plan_text
-from planshift.operators.joins import join_recent
+from planshift.operators.joins import drop_copies, join_recent, period_pair
 from planshift.operators.ranking import global_rank
 from planshift.plans.dataset import DatasetSpec, build_dataset
-from planshift.plans.labels import LabelSpec, build_labels, tier_changes
+from planshift.plans.labels import LabelSpec, build_labels, distinct_pairs, tier_changes
 from planshift.plans.prepare import PrepSpec, fit_prep, prepare, training_matrix
 from planshift.plans.report import profile_report
 from planshift.session import shared_folder, work_path
 from planshift.sources import standins as S
-from planshift.sources.tables import dated_partitions, lower_names, materialize, previous_month, read_table, snapshot
+from planshift.sources.tables import (
+    dated_partitions,
+    lower_names,
+    materialize,
+    previous_month,
+    read_table,
+    replace_partitions,
+    snapshot,
+)
 
 STARTER, PREFERRED, ECONOMY, BASIC = (
     "DIGITAL STARTER VIDEO", "DIGITAL PREFERRED VIDEO", "DIGITAL ECONOMY VIDEO", "BASIC VIDEO",
@@ -113,6 +122,72 @@ def test_dataset(dataset):
     assert mixes == {1: "VIDEO ONLY", 6: None}  # the attribute, not the mix of the sale
 
 
+def leaves(df):
+    """The scans of the plan that ran, without adaptive execution."""
+    found = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_dataset_reads_the_label_days_alone(spark, tmp_path):
+    parts = [(a, 2024, m, d, a + d) for a in range(4) for m in (1, 2, 3) for d in range(1, 29)]
+    daily = spark.createDataFrame(parts, "account_id int, year int, month int, date int, pages int")
+    daily = materialize(daily.union(daily), str(tmp_path / "daily"), ("year", "month", "date"))
+    labels = spark.createDataFrame([(1, dt.date(2024, 2, 3)), (2, dt.date(2024, 3, 1))], "account_id int, day date")
+    visits = spark.createDataFrame([(a, dt.date(2024, 2, d), 1) for a in (1, 2) for d in (1, 2, 3, 28)], "account_id int, visit_day date, visits int")
+    flags = spark.createDataFrame([(1, dt.date(2024, 2, 2), "Y")] * 2, "account_id int, visit_day date, page_flag string")
+    attributes = spark.createDataFrame([(1, 5), (1, 5)], "account_id int, tenure int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = build_dataset(labels, visits, daily, flags, flags, attributes, DatasetSpec(2024, 1))
+        rows = sorted((r["account_id"], r["visit_day"].day, r["pages"], r["page_flag"], r["tenure"]) for r in made.collect())
+        assert rows == [(1, 1, 2, None, 5), (1, 2, 3, "Y", 5), (1, 3, 4, None, 5), (2, 28, 30, None, None)]
+        assert "dynamicpruning" in plan_text(made)
+        # three days before the first sale, and the 28th for the second: 29 February and 1 March hold nothing or no visit
+        read = [n.metrics().apply("numPartitions").value() for n in leaves(made) if n.metrics().contains("numPartitions")]
+        assert read == [5]
+        tree = plan_text(made, "simple")
+        shuffles = re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\)", tree)
+        keys = sorted(re.sub(r"#\d+L?", "", k) for k in shuffles)
+        # labels and visits, daily rows, two flag tables by (account, day); labels and attributes by account; the wanted days
+        assert keys == sorted(["account_id"] * 2 + ["account_id, visit_day"] * 4 + ["_daily_key, daily_day", "_day", "day"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_are_dropped_by_key(spark):
+    rows = [(1, 1.0, "a"), (1, 1.0, "a"), (1, None, "a"), (1, None, "a"), (None, None, None), (None, None, None), (2, float("nan"), ""), (2, float("nan"), "")]
+    df = spark.createDataFrame(rows, "k int, x double, t string").repartition(3)
+    assert sorted(map(str, drop_copies(df, ["k"]).collect())) == sorted(map(str, df.distinct().collect()))
+    assert drop_copies(df.select("k"), ["k"]).count() == 3
+
+
+def test_labels_read_the_snapshots_once(spark, snaps, sold):
+    def pairs(df):
+        return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+    twice = snaps.unionByName(snaps).unionByName(snaps.withColumn("tier", F.lit("other")))
+    assert pairs(distinct_pairs(twice, SPEC)) == pairs(period_pair(twice, SPEC.current, SPEC.previous).distinct())
+    labels = build_labels(sold, snaps, SPEC)
+    assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", plan_text(labels, "simple"))) == 1
+
+
+@pytest.mark.parametrize("kind", ["path", "table"])
+def test_a_month_written_twice(spark, tmp_path, kind):
+    target = str(tmp_path / "months") if kind == "path" else "months_written"
+    rows = spark.createDataFrame([(m, i, f"{m}{i}") for m in ("201908", "201909", "201910") for i in range(3)], "ym string, id int, t string")
+    spark.sql("DROP TABLE IF EXISTS months_written")
+    for month in ("201908", "201909", "201910", "201909"):
+        whole = replace_partitions(rows.filter(F.col("ym") == month), target, ("ym",))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows.collect()))
+    fewer = replace_partitions(rows.filter("ym = '201909' AND id = 1").withColumn("t", F.lit("new")), target, ("ym",))
+    assert sorted(map(tuple, fewer.collect())) == sorted(
+        [tuple(r) for r in rows.filter("ym <> '201909'").collect()] + [("201909", 1, "new")]
+    )
+    spark.sql("DROP TABLE IF EXISTS months_written")
+
+
 def test_preparation(dataset):
     spec = PrepSpec(keys=("account_id", "visit_day"))
     done = prepare(dataset, spec).orderBy("visit_day").collect()
