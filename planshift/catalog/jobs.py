@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planshift.catalog.modelling import KEYS, matrix, samples
-from planshift.catalog.profiles import EVIDENCE, r6, rounded
+from planshift.catalog.profiles import EVIDENCE, PROFILE_ROUNDED, profile_sql, r6, rounded
 from planshift.catalog.registry import query
 from planshift.catalog.sql_parts import COUNTERS, given
 from planshift.operators.columns import model_matrix
@@ -189,19 +189,59 @@ def profile_report_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report["information_value"], "iv")
 
 
-def _numeric_sql() -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count({c}) AS n, {r6(f'avg({c})')} AS mean, {r6(f'quantile_cont({c}, 0.5)')} AS q50, "
-        f"{r6(f'CAST(max({c}) - min({c}) AS DOUBLE)')} AS max_min FROM matrix"
-        for c in S.FEATURES
-    )
-
-
-@query("N4 F7", given("matrix") + _numeric_sql())
+@query("N4 F7", given("matrix") + profile_sql(S.FEATURES, "matrix"))
 def profile_report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.activity_matrix(spark, sf_dir)
     table = profile_report(rows, "target", [1], KEYS, quantiles="exact")["numeric"]
-    return rounded(table, "mean", "q50", "max_min").select("feature", "n", "mean", "q50", "max_min")
+    return rounded(table, *PROFILE_ROUNDED)
+
+
+ORDER_REPORT = {
+    "taken": "SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority, "
+    "o_totalprice, o_custkey FROM orders",
+    "shares": "SELECT o_orderstatus AS item, count(*) AS n FROM taken WHERE o_orderstatus IS NOT NULL GROUP BY 1",
+}
+REPORT_COLUMNS = ("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")
+
+
+@query(
+    "N4 F4 F5 F6 F14",
+    given(more=ORDER_REPORT)
+    + f"SELECT 'class_share' AS part, item, n, {r6('100.0 * n / (SELECT sum(n) FROM shares)')} AS value FROM shares"
+    + "".join(
+        f" UNION ALL SELECT 'nulls', '{c}', count_if({c} IS NULL), {r6(f'100.0 * count_if({c} IS NULL) / count(*)')} FROM taken"
+        for c in REPORT_COLUMNS
+    )
+    + f" UNION ALL SELECT 'missing_text', 'o_orderpriority', NULL, {r6('100.0 * count_if(o_orderpriority IS NULL) / count(*)')} FROM taken",
+)
+def profile_report_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class shares, NULL counts and missing texts of one report."""
+    orders = S.table(spark, sf_dir, "orders").select(*REPORT_COLUMNS).replace("4-NOT SPECIFIED", None, "o_orderpriority")
+    report = profile_report(orders, "o_orderstatus", ["P", "F", "O"], ["o_orderkey"])
+    parts = {
+        "class_share": ("o_orderstatus", "n", "share_pct"), "nulls": ("feature", "nulls", "missing_pct"),
+        "missing_text": ("feature", None, "missing_pct"),
+    }
+    frames = [
+        report[part].select(
+            F.lit(part).alias("part"), F.col(item).alias("item"),
+            (F.col(n) if n else F.lit(None)).cast("bigint").alias("n"), F.col(value).alias("value"),
+        )
+        for part, (item, n, value) in parts.items()
+    ]
+    return rounded(frames[0].union(frames[1]).union(frames[2]), "value")
+
+
+@query(
+    "N4 F14",
+    given("matrix")
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r6(f'corr({c}, target)')} AS correlation FROM matrix" for c in S.FEATURES)
+    + ") WHERE correlation > 0.015",
+)
+def profile_report_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = profile_report(S.activity_matrix(spark, sf_dir), "target", [1], KEYS)
+    return rounded(report["correlation"], "correlation")
 
 
 @query("N5 J9 J10 F11")

@@ -85,7 +85,7 @@ def missing_text_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.missing_text(texts), "missing_pct")
 
 
-def _profile_sql(columns, table: str) -> str:
+def profile_sql(columns, table: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count({c}) AS n, {r6(f'avg({c})')} AS mean, {r6(f'stddev_samp({c})')} AS std, "
         f"CAST(min({c}) AS DOUBLE) AS min, {r6(f'quantile_cont({c}, 0.25)')} AS q25, "
@@ -99,12 +99,12 @@ def _profile_sql(columns, table: str) -> str:
 PROFILE_ROUNDED = ("mean", "std", "q25", "q50", "q75", "max_min", "missing_pct")
 
 
-@query("F7", given("snap") + _profile_sql(PROFILED, "snap"))
+@query("F7", given("snap") + profile_sql(PROFILED, "snap"))
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.numeric_profile(S.snapshots(spark, sf_dir), PROFILED, "exact"), *PROFILE_ROUNDED)
 
 
-@query("F7", _profile_sql(LINE_COLUMNS, "lineitem"))
+@query("F7", profile_sql(LINE_COLUMNS, "lineitem"))
 def numeric_profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.numeric_profile(S.table(spark, sf_dir, "lineitem"), LINE_COLUMNS, "exact"), *PROFILE_ROUNDED)
 

@@ -80,6 +80,12 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation over the rows that have both; NULL where either is constant."""
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def number_of(value: Column) -> Column:
     """Double of a text that is a plain decimal number, else NULL."""
     return F.when(value.rlike(NUMBER_TEXT), F.trim(value).try_cast("double"))

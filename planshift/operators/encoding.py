@@ -36,7 +36,11 @@ def category_counts(df: DataFrame, variables: Sequence[str], label: str, classes
 
 def category_shares(df: DataFrame, variables: Sequence[str], label: str, classes: Sequence) -> DataFrame:
     """Per (variable, value, class): counts and the value's share of events and of non-events."""
-    counts = category_counts(df, variables, label, classes)
+    return shares_of_counts(category_counts(df, variables, label, classes), classes)
+
+
+def shares_of_counts(counts: DataFrame, classes: Sequence) -> DataFrame:
+    """The shares of ``category_shares`` from the counts of ``category_counts``."""
     totals = counts.groupBy("variable").agg(
         F.sum("n").alias("all_n"),
         *[F.sum(f"n_{i}").alias(f"all_{i}") for i in range(len(classes))],
@@ -65,7 +69,11 @@ def weight_of_evidence(df: DataFrame, variables: Sequence[str], label: str, clas
     Give a binary label as the single class ``[1]``: over ``[0, 1]`` the two tables mirror
     each other and the average carries no evidence.
     """
-    shares = category_shares(df, variables, label, classes)
+    return evidence_of_shares(category_shares(df, variables, label, classes))
+
+
+def evidence_of_shares(shares: DataFrame) -> DataFrame:
+    """WOE and IV part of each value from the shares of ``category_shares``."""
     means = shares.groupBy("variable", "value").agg(
         F.avg("event_share").alias("event_pct"), F.avg("non_event_share").alias("non_event_pct")
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planshift.functions.expressions import percent
+from planshift.functions.expressions import correlation, percent
 from planshift.operators.columns import cells, known_doubles, split_by_type
-from planshift.operators.ranking import exact_quantiles
+from planshift.operators.ranking import SKETCH_PARTS, bracket_edges, edge_sketch, exact_quantiles
+from planshift.sources.tables import pinned
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -48,15 +49,22 @@ def missing_text(df: DataFrame, above: float | None = None) -> DataFrame:
     return table if above is None else table.filter(F.col("missing_pct") > above)
 
 
+def edges_of(table: DataFrame, sketch: str) -> dict[str, list[float]]:
+    """Brackets of the quartiles by column, from a table with one row (``feature``, ``n``, sketch) per column."""
+    rows = table.select("feature", "n", F.col(sketch).alias("sketch")).collect()
+    return {r["feature"]: bracket_edges(r["n"], r["sketch"], len(QUARTILES)) for r in rows}
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: str = "approx") -> DataFrame:
     """Count, mean, std, min, quartiles, max, range and missing percent per column.
 
     Quartiles come from one-pass sketches (accuracy 1/10000 of the rank); ``quantiles="exact"``
-    interpolates between order statistics, at the price of a counting pass over all values.
+    interpolates between order statistics, at the price of a second pass over all values.
     """
     columns = list(columns)
     value, sketch = F.col("value"), quantiles == "approx"
-    measures = [
+    names = [f"q{round(p * 100):02d}" for p in QUARTILES]
+    table = cells(df, known_doubles(columns)).groupBy("feature").agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
@@ -64,18 +72,71 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: str = "app
         F.max(value).alias("max"),
         (F.max(value) - F.min(value)).alias("max_min"),
         percent(F.count_if(value.isNull()), F.count(F.lit(1))).alias("missing_pct"),
-    ]
-    if sketch:
-        measures.append(F.percentile_approx(value, list(QUARTILES)).alias("_q"))
-    table = cells(df, known_doubles(columns)).groupBy("feature").agg(*measures)
+        (F.percentile_approx(value, list(QUARTILES)) if sketch else edge_sketch(value, QUARTILES)).alias("_q"),
+    )
     if sketch:
-        table = table.withColumns({f"q{round(p * 100):02d}": F.col("_q")[i] for i, p in enumerate(QUARTILES)})
-    if not sketch:
-        # both sides hold one row per column
-        table = table.join(exact_quantiles(df, columns, QUARTILES), "feature", "left")
-    return table.select(
-        "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max", "max_min", "missing_pct"
+        table = table.withColumns({name: F.col("_q")[i] for i, name in enumerate(names)})
+    else:
+        table = pinned(table)  # one row per column, as are the edges and the quantiles
+        edges = edges_of(table, "_q")
+        table = table.join(exact_quantiles(df, columns, QUARTILES, edges), "feature", "left")
+    return table.select("feature", "n", "mean", "std", "min", *names, "max", "max_min", "missing_pct")
+
+
+def profile_state(df: DataFrame, numbers: Sequence[str], texts: Sequence[str], label: str, classes: Sequence) -> DataFrame:
+    """All that a report needs of every column, by one aggregation over one pass.
+
+    One row (``feature``, ``text``) per column, and per value of the text columns and of the label.  The state
+    of a row holds the counts of rows, of NULLs and of each class, moments, extremes, the co-moment with the label
+    and a sketch of the quantiles; all of it merges, so map tasks send one row per column or value.
+    """
+    numbers, texts = list(numbers), list(texts)
+    known, nothing = known_doubles(numbers), F.lit(None)
+
+    def cell(c: str) -> Column:
+        number = known[c] if c in known else nothing.cast("double")
+        raw = F.col(c).cast("double") if c in known else nothing.cast("double")
+        text = F.col(c).cast("string") if c in texts or c == label else nothing.cast("string")
+        return F.struct(number.alias("number"), raw.alias("raw"), text.alias("text"), F.col(c).isNull().alias("missing"))
+
+    goal = df.withColumns({"_goal": F.col(label).try_cast("double"), "_class": F.col(label)})
+    long = cells(goal, {c: cell(c) for c in df.columns}, ["_goal", "_class"])
+    number = F.col("value.number")
+    return long.groupBy("feature", F.col("value.text").alias("text")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("value.missing")).alias("nulls"),
+        F.count(number).alias("n"),
+        F.avg(number).alias("mean"),
+        F.stddev_samp(number).alias("std"),
+        F.min(number).alias("min"),
+        F.max(number).alias("max"),
+        correlation(F.col("value.raw"), F.col("_goal")).alias("correlation"),
+        F.percentile_approx(number, list(QUARTILES), SKETCH_PARTS).alias("quartiles"),
+        edge_sketch(number, QUARTILES).alias("edges"),
+        *[F.count_if(F.col("_class") == c).alias(f"n_{i}") for i, c in enumerate(classes)],
+    )
+
+
+def nulls_of(state: DataFrame) -> DataFrame:
+    """(feature, nulls, missing_pct) from the state."""
+    sums = state.groupBy("feature").agg(F.sum("nulls").alias("nulls"), F.sum("rows").alias("rows"))
+    return sums.select("feature", "nulls", percent(F.col("nulls"), F.col("rows")).alias("missing_pct"))
+
+
+def numbers_of(state: DataFrame, numbers: Sequence[str], exact: DataFrame | None = None) -> DataFrame:
+    """The table of ``numeric_profile`` from the state; quartiles from ``exact`` where given."""
+    names = [f"q{round(p * 100):02d}" for p in QUARTILES]
+    table = state.filter(F.col("feature").isin(list(numbers))).withColumns(
+        {
+            "max_min": F.col("max") - F.col("min"),
+            "missing_pct": percent(F.col("rows") - F.col("n"), F.col("rows")),
+        }
     )
+    if exact is None:
+        table = table.withColumns({name: F.col("quartiles")[i] for i, name in enumerate(names)})
+    else:
+        table = table.join(exact, "feature", "left")  # both sides hold one row per column
+    return table.select("feature", "n", "mean", "std", "min", *names, "max", "max_min", "missing_pct")
 
 
 def mostly_missing(profile: DataFrame, above: float = 50.0) -> DataFrame:
@@ -108,7 +169,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str, floor
     """Pearson correlation of each column with the target, optionally only those above ``floor``."""
     doubles = {c: F.col(c).cast("double") for c in columns}
     long = cells(df.withColumn("_goal", F.col(target).cast("double")), doubles, ["_goal"])
-    table = long.groupBy("feature").agg(F.corr("value", "_goal").alias("correlation"))
+    table = long.groupBy("feature").agg(correlation(F.col("value"), F.col("_goal")).alias("correlation"))
     return table if floor is None else table.filter(F.col("correlation") > floor)
 
 
