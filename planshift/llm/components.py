@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from planshift.llm.shared import stored
 
 
+def forest_components(edges: DataFrame) -> DataFrame:
+    """``(node, label)`` as ``components``, for many overlapping forests ``edges(u, v)`` with a head ``u`` < ``v``.
+
+    Every node points to the least of its heads, and its other heads are linked to that one. Nodes that are nobody's
+    head then have the pointer as their only edge, so the rounds of ``components`` see heads alone, whose number does not
+    grow with how often a node was met.
+    """
+    heads = stored(edges.groupBy("v").agg(F.sort_array(F.collect_set("u")).alias("heads")), "heads")
+    points = heads.select(F.col("v").alias("node"), F.col("heads")[0].alias("head"))
+    several = heads.filter(F.size("heads") > 1).select("heads").distinct()
+    links = several.select(F.col("heads")[0].alias("u"), F.explode(F.slice("heads", 2, 1 << 30)).alias("v"))
+    above = stored(points.select("head").distinct(), "head-nodes")
+    inner = points.join(above.withColumnRenamed("head", "node"), "node", "left_semi")
+    tops = components(links.union(inner.select(F.col("head").alias("u"), F.col("node").alias("v"))).distinct())
+    tops = tops.select(F.col("node").alias("head"), "label")
+    own = above.join(tops, "head", "left").select(F.col("head").alias("node"), F.coalesce("label", "head").alias("label"))
+    outer = points.join(above.withColumnRenamed("head", "node"), "node", "left_anti")
+    return outer.join(own.withColumnRenamed("node", "head"), "head").select("node", "label").union(own)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for all nodes of ``edges(u, v)``: the label is the smallest node of the component.
 

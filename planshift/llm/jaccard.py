@@ -4,10 +4,11 @@
    values each. Equal texts become one node with a count.
 2. Texts that share a band key are compared inside their bucket on one byte per MinHash value, 16 values more at a
    time. After each step the pair is dropped if the posterior probability that its similarity reaches the threshold is
-   below the tolerance. A bucket sends a spanning forest of its surviving pairs, not the pairs.
+   below the tolerance. A block of a bucket sends a spanning forest of its surviving pairs, two blocks only what
+   links their forests.
 3. Texts linked by surviving pairs form loose groups. Only their texts are shingled again; inside a group every pair
-   is pruned in the same way and the survivors are verified on the whole shingle sets. Again only counts per text
-   and a spanning forest leave the task.
+   is pruned in the same way and the survivors are verified on the whole shingle sets, first inside blocks and then
+   between them. Again only counts per text, the forest of a block and links between forests leave the tasks.
 4. Components of the verified links are the classes.
 
 Buckets and groups of any size are cut into blocks of rows by hash, and each pair of blocks is a task's unit of work,
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planshift.llm.components import components
+from planshift.llm.components import components, forest_components
 from planshift.llm.shared import Words, row_slices, small_side, stored
 
 SHINGLE = 5
@@ -147,6 +148,24 @@ def spanning(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.nda
     return root
 
 
+def bridges(heads: np.ndarray, first: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of heads that join the forests of two blocks; ``first`` marks the rows of one of them.
+
+    A row is compared with the rows of the other block whose forest is not joined to its own yet.
+    """
+    top = heads.copy()
+    found = []
+    others = np.flatnonzero(~first)
+    for i in np.flatnonzero(first).tolist():
+        left = others[top[others] != top[i]]
+        if not len(left):
+            continue
+        for head in np.unique(top[near(i, left)]).tolist():
+            found.append((top[i], head))
+            top[top == head] = top[i]
+    return found
+
+
 def blocks(rows: DataFrame, count: str, node: str, spread: int, size: str = "0") -> DataFrame:
     """Adds ``__b`` (own block) and ``__x``, ``__y`` (pair of blocks): one row for every pair that holds the own block.
 
@@ -230,13 +249,23 @@ def _bucket_edges(rows: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
                 matches += (marks[pairs, n - STEP:n] == marks[pairs + 1, n - STEP:n]).sum(axis=1)
                 pairs, matches = pairs[matches >= least], matches[matches >= least]
             heads, tails = [node[pairs]], [node[pairs + 1]]
+            side, x, y = (runs.column(c).to_numpy() for c in ("__b", "__x", "__y"))
             for a, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own = marks[a:a + size]
-                root = spanning(size, lambda i, left, m=own: surviving(m[i], m[left], steps))
-                linked = np.flatnonzero(root != np.arange(size))
-                heads.append(node[a + root[linked]])
-                tails.append(node[a + linked])
-            yield pa.record_batch({"u": np.concatenate(heads), "v": np.concatenate(tails)})
+                own, first = marks[a:a + size], side[a:a + size] == x[a]
+                near = lambda i, left, m=own: left[surviving(m[i], m[left], steps)]
+                root = np.arange(size)
+                for part in (first, ~first):
+                    at = np.flatnonzero(part)
+                    root[at] = at[spanning(len(at), lambda i, left, n=near, p=at: np.searchsorted(p[left], n(p[i], p[left])))]
+                if x[a] == y[a]:
+                    linked = np.flatnonzero(root != np.arange(size))
+                    pair = np.stack([root[linked], linked])
+                else:
+                    pair = np.sort(np.asarray(bridges(root, first, near), dtype=np.int64).reshape(-1, 2), axis=1).T
+                heads.append(node[a + pair[0]])
+                tails.append(node[a + pair[1]])
+            ends = np.sort(np.stack([np.concatenate(heads), np.concatenate(tails)]), axis=0)
+            yield pa.record_batch({"u": ends[0], "v": ends[1]})
 
     keys = ["__band", "__value", "__x", "__y"]
     return (
@@ -265,8 +294,12 @@ def overlaps(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
     return shared
 
 
-def _verified(rows: DataFrame, threshold: float, steps: list[tuple[int, int]]) -> DataFrame:
-    """Per row and pair of blocks: linked texts, linked documents, and a row of the same verified component."""
+def _verified(rows: DataFrame, threshold: float, steps: list[tuple[int, int]], across: bool) -> DataFrame:
+    """Per row and pair of blocks the linked texts and documents, and edges (``__row``, ``__root``).
+
+    Inside a block every row comes with the head of its verified component there. ``across`` two blocks rows carry that
+    ``__head``; the edges are those that join components of the two, as rows without counts.
+    """
     # similarity >= threshold as whole numbers: shared * (100 + t) >= t * (sizes), t in hundredths of a percent
     scale = 10_000
     t = round(threshold * scale)
@@ -278,7 +311,7 @@ def _verified(rows: DataFrame, threshold: float, steps: list[tuple[int, int]]) -
         )
         for group in tables:
             node = group.column("__row").to_numpy()
-            if len(node) < 2:
+            if len(node) < 2 and across:
                 continue
             x, y = group.column("__x")[0].as_py(), group.column("__y")[0].as_py()
             block, copies = group.column("__b").to_numpy(), group.column("__copies").to_numpy()
@@ -287,29 +320,38 @@ def _verified(rows: DataFrame, threshold: float, steps: list[tuple[int, int]]) -
             sizes = np.asarray([len(s) for s in sets])
             shared = overlaps(sets)
             texts, docs = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-            root = np.arange(len(node))
-            links: list[np.ndarray] = []
+            head = group.column("__head").to_numpy() if across else node
+            top = dict(zip(head.tolist(), head.tolist(), strict=True))
+
+            def topmost(h: int) -> int:
+                while top[h] != h:
+                    top[h] = h = top[top[h]]
+                return h
+
             for i in range(len(node)):
                 # each pair once: within a block the later rows, across blocks the rows of the other one
                 others = np.arange(i + 1, len(node)) if x == y else (np.flatnonzero(block == y) if block[i] == x else [])
                 if not len(others):
-                    links.append(np.zeros(0, dtype=np.int64))
                     continue
                 found = others[surviving(marks[i], marks[others], steps)]
                 if len(found):
                     both = shared(i, found)
                     found = found[both * (scale + t) >= t * (sizes[i] + sizes[found])]
-                links.append(found)
                 texts[i] += len(found)
                 docs[i] += copies[found].sum()
                 texts[found] += 1
                 docs[found] += copies[i]
-            for i, found in enumerate(links):
-                if len(found):
-                    heads = np.unique(root[np.append(found, i)])
-                    if len(heads) > 1:
-                        root[np.isin(root, heads)] = heads[0]
-            yield pa.record_batch({"__row": node, "__texts": texts, "__docs": docs, "__root": node[root]})
+                for h in np.unique(head[found]).tolist():
+                    low, high = sorted((topmost(h), topmost(int(head[i]))))
+                    top[high] = low
+            if across:
+                ends = [(h, topmost(h)) for h in top if topmost(h) != h]
+                node = np.append(node, [h for h, _ in ends]).astype(np.int64)
+                root = np.append(node[:len(texts)], [r for _, r in ends]).astype(np.int64)
+                texts, docs = (np.append(c, np.zeros(len(ends), np.int64)) for c in (texts, docs))
+            else:
+                root = np.asarray([topmost(h) for h in node.tolist()], dtype=np.int64)
+            yield pa.record_batch({"__row": node, "__texts": texts, "__docs": docs, "__root": root})
 
     keys = ["__label", "__x", "__y"]
     return (
@@ -370,8 +412,7 @@ def _row_classes(
     bands = nodes.select("__row", F.posexplode("__bands").alias("__band", "__value"))
     sizes = bands.groupBy("__band", "__value").agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > 1)
     meeting = bands.join(sizes, ["__band", "__value"]).join(nodes.select("__row", "__marks"), "__row")
-    edges = stored(_bucket_edges(blocks(meeting, "__size", "__row", 4), steps), "candidate-links")
-    loose = components(edges)
+    loose = forest_components(_bucket_edges(blocks(meeting, "__size", "__row", 4), steps))
     loose = stored(
         loose.select(F.col("node").alias("__row"), F.col("label").alias("__label")).join(nodes.select("__row", "__n"), "__row"),
         "loose-groups",
@@ -385,11 +426,16 @@ def _row_classes(
     inside = (
         members.join(nodes.select("__row", "__copies", "__marks"), "__row").join(sets, "__row")
     )
-    checked = stored(_verified(blocks(inside, "__size", "__row", 16, "__bytes"), threshold, steps), "links")
-    links = checked.groupBy("__row").agg(F.sum("__docs").alias("__docs"))
-    tight = components(checked.filter("__root <> __row").select(F.col("__root").alias("u"), F.col("__row").alias("v")))
+    pairs = blocks(stored(inside, "group-rows"), "__size", "__row", 16, "__bytes")
+    within = stored(_verified(pairs.filter("__x = __y"), threshold, steps, False), "links-inside")
+    heads = within.select("__row", F.col("__root").alias("__head"))
+    between = pairs.filter("__x < __y").join(heads, "__row")
+    between = stored(_verified(between, threshold, steps, True), "links-between")
+    links = within.unionByName(between).groupBy("__row").agg(F.sum("__docs").alias("__docs"))
+    tops = components(between.filter("__root <> __row").select(F.col("__root").alias("u"), F.col("__row").alias("v")))
+    tight = heads.join(tops.select(F.col("node").alias("__head"), F.col("label").alias("__top")), "__head", "left")
     named = (
-        same.join(tight.select(F.col("node").alias("__row"), "label"), "__row", "left")
+        same.join(tight.select("__row", F.coalesce("__top", "__head").alias("label")), "__row", "left")
         .join(links, "__row", "left")
         .withColumn("__class", F.coalesce("label", "__row"))
     )
