@@ -3,13 +3,15 @@
 The leaves of the tree are the combinations of the level columns (say domain, language, source). Each leaf can give
 its tokens times the allowed epochs; a node can give what its children give. From the root down, a node's budget goes
 to its children by weight; what a child cannot use goes to its siblings by weight, so that a shortage leaves a node
-only when all children of it are full. A leaf's budget is met by whole seeded epochs and the longest prefix of one more
-that stays within the rest.
-
-Budgets are window functions over one row per node. The prefix is found by its last row: the bucket of the seeded order
-in which the budget runs out, by sums over first digits, then over second digits, then over the rows of that bucket.
-Documents then compare their own place with their leaf's last row, so texts are never shuffled and a leaf with a third
-of all rows is no hot key.
+only when all children of it are full. Budgets are whole tokens: what rounding down leaves goes to the largest remainders, so
+the children of a node add up to its own. A leaf's budget is met by whole seeded epochs and the longest prefix of one
+more that stays within the rest.
+
+Budgets are window functions over one row per node. Rows are ordered by a hash of key and text, copies of a row by their
+number. The prefix is found by its last row: sums over the first digits of the order give the bucket in which the budget
+runs out, sums over the next digits the bucket within that one, and so on to single rows. Documents then compare their own
+place with their leaf's last row, so texts are never shuffled, and neither a leaf nor a key nor copies of one row with a
+third of all rows are a hot group.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def word_tokens(text: str) -> Column:
 
 
 def shared_out(children: DataFrame, parent: Sequence[str], node: Sequence[str]) -> DataFrame:
-    """Adds ``__budget``: ``__given`` of the parent poured over the children by ``__w``, none beyond its ``__cap``.
+    """Adds ``__budget``: ``__given`` of the parent poured over the children by ``__w``, none beyond its ``__cap``; all whole numbers.
 
     Children are filled in the order of capacity per weight: one is full if the rest of the budget, spread by weight
     over it and those after it, reaches its capacity. The level at the first that is not full is the highest of those
@@ -42,18 +44,22 @@ def shared_out(children: DataFrame, parent: Sequence[str], node: Sequence[str])
     ahead = F.greatest(F.sum("__w").over(whole) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)), F.col("__w"))
     level = left / ahead
     tight = F.col("__level") < F.col("__cap") / F.col("__w")
-    return (
-        children.withColumn("__level", level)
-        .withColumn("__water", F.max(F.when(tight, F.col("__level"))).over(whole))
-        .withColumn(
-            "__budget", F.least(F.col("__cap"), F.coalesce(F.col("__water") * F.col("__w"), F.col("__cap")))
-        )
-        .drop("__level", "__water")
+    poured = children.withColumn("__level", level).withColumn("__water", F.max(F.when(tight, F.col("__level"))).over(whole))
+    exact = F.least(F.col("__cap"), F.coalesce(F.col("__water") * F.col("__w"), F.col("__cap")))
+    floors = poured.withColumn("__exact", exact).withColumn("__budget", F.floor("__exact").cast("long"))
+    open_ones = F.col("__budget") < F.col("__cap")
+    left_over = F.least(F.max("__given").over(whole), F.sum("__cap").over(whole)) - F.sum("__budget").over(whole)
+    largest = Window.partitionBy(*parent).orderBy(F.when(open_ones, 0).otherwise(1), F.desc(F.col("__exact") - F.col("__budget")), *node)
+    more = F.when(open_ones & (F.row_number().over(largest) <= left_over), 1).otherwise(0)
+    return floors.withColumn("__more", more).withColumn("__budget", F.col("__budget") + F.col("__more")).drop(
+        "__level", "__water", "__exact", "__more"
     )
 
 
-def budgets(leaves: DataFrame, levels: Sequence[str], weights: DataFrame | None, total: float) -> DataFrame:
-    """Budget of every leaf, ``total`` in all, which the leaves can hold. ``leaves`` has the level columns and ``__cap``; ``weights`` the level columns and ``weight``.
+def budgets(leaves: DataFrame, levels: Sequence[str], weights: DataFrame | None, total: int) -> DataFrame:
+    """Budget of every leaf in whole tokens, ``total`` in all or what the leaves can hold.
+
+    ``leaves`` has the level columns and ``__cap`` in whole tokens; ``weights`` the level columns and ``weight``.
 
     A row of ``weights`` names a node by its level values, null below its level. A node without weight has the square
     root of its capacity, which evens large and small sources out.
@@ -70,33 +76,48 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: DataFrame | None,
             nodes = nodes.join(named.select(*path, F.col("weight").cast("double").alias("__own")), path, "left")
             weight = F.coalesce("__own", weight)
         nodes = nodes.withColumn("__w", F.greatest(weight, F.lit(1e-9)))
-        nodes = nodes.join(down, parent) if parent else nodes.withColumn("__given", F.lit(float(total)))
+        nodes = nodes.join(down, parent) if parent else nodes.withColumn("__given", F.lit(total).cast("long"))
         down = shared_out(nodes, parent, path).select(*path, F.col("__budget").alias("__given"))
     return down.withColumnRenamed("__given", "__budget")
 
 
+# The order of the rows of a leaf: a hash of key and text, then two digits of the row's number and the number itself.
+DIGITS = ("__d1", "__d2", "__h", "__e1", "__e2")
+ORDER = ("__h", "__e1", "__e2", "__at")
+
+
+def order_of(key: str, text: str, at: str, seed: int) -> dict[str, Column]:
+    """The columns of ``DIGITS`` for the rows of a table."""
+    content = F.crc32(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")).cast("string")
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), content))
+    spread = F.xxhash64(at)
+    d1, d2 = digits_of(hash_fraction(h), FIRST_DIGITS)
+    e1, e2 = F.pmod(spread, F.lit(256)), F.pmod(F.shiftright(spread, 8), F.lit(256))
+    return {"__d1": d1, "__d2": d2, "__h": h, "__e1": e1.cast("int"), "__e2": e2.cast("int")}
+
+
 def cut_rows(rows: DataFrame, leaf: Sequence[str], rest: DataFrame) -> DataFrame:
-    """Per leaf the last row (``__h``, ``__key``) of the longest prefix whose tokens stay within ``__rest``.
+    """Per leaf the row (``ORDER``) that ends the longest prefix whose tokens stay within ``__rest``.
 
     Each step keeps, per leaf, the one digit in which the running sum passes the rest; leaves that end before any such
     digit are not returned: all their rows fit.
     """
-    left, steps = rest.select(*leaf, F.col("__rest").cast("double").alias("__left")), []
-    for digit in ("__d1", "__d2"):
+    left, steps = rest.select(*leaf, F.col("__rest").alias("__left")), []
+    for digit in DIGITS:
         keys = [*leaf, *steps]
         sums = rows.join(left, keys).groupBy(*keys, digit).agg(F.sum("__tokens").alias("__s"), F.first("__left").alias("__left"))
         run = Window.partitionBy(*keys).orderBy(digit)
         sums = sums.withColumn("__upto", F.sum("__s").over(run)).filter(F.col("__upto") > F.col("__left"))
         first = sums.groupBy(*keys).agg(F.min_by(F.struct(digit, (F.col("__left") - F.col("__upto") + F.col("__s")).alias("l")), digit).alias("__x"))
         steps.append(digit)
-        left = first.select(*keys, F.col(f"__x.{digit}").alias(digit), F.col("__x.l").alias("__left"))
-    run = Window.partitionBy(*leaf).orderBy("__h", "__key").rowsBetween(Window.unboundedPreceding, 0)
+        left = stored(first.select(*keys, F.col(f"__x.{digit}").alias(digit), F.col("__x.l").alias("__left")), "mix-digits")
+    run = Window.partitionBy(*leaf).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.join(left, [*leaf, *steps]).withColumn("__upto", F.sum("__tokens").over(run))
     # the first row that does not fit any more ends the prefix
     return (
         inside.filter(F.col("__upto") > F.col("__left"))
         .groupBy(*leaf)
-        .agg(F.min(F.struct("__h", "__key")).alias("__stop"))
+        .agg(F.min(F.struct(*ORDER)).alias("__stop"))
     )
 
 
@@ -114,24 +135,19 @@ def mixed(
     """The rows of ``docs`` chosen for a mixture of ``share`` times the tokens of ``docs``, with ``epoch`` (from 0).
 
     A row comes back once for every epoch it is in: all rows of a leaf in its whole epochs, a seeded prefix in the last.
-    An ``epoch`` column of ``docs`` is replaced; all others stay. Null level values are values like any other, null and
-    empty texts count one token, rows that repeat a key keep together in the seeded order. If all leaves together cannot
-    meet the budget, everything is taken ``epochs`` times. An empty table gives no rows.
+    An ``epoch`` column of ``docs`` is replaced; all others stay, but names that begin with two underscores are taken.
+    Null level values are values like any other, null and empty texts count one token. Rows that repeat a key are cut
+    one by one, and so are copies of a row. If all leaves together cannot meet the budget, everything is taken ``epochs``
+    times. An empty table gives no rows. ``docs`` is stored once, with row numbers.
     """
-    docs = docs.drop("epoch")
+    docs = stored(docs.drop("epoch").withColumn("__at", F.monotonically_increasing_id()), "mix-documents")
     count = word_tokens(text) if tokens is None else tokens
     leaf = [f"__l{i}" for i in range(len(levels))]
-    order_key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    digits = digits_of(hash_fraction(F.col("__h")), FIRST_DIGITS)
     leaf_of = {c: key_text(name) for c, name in zip(leaf, levels, strict=True)}
-    narrow = docs.select(
-        *[c.alias(name) for name, c in leaf_of.items()], order_key.alias("__h"),
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), count.alias("__tokens"),
-    )
-    narrow = stored(narrow.withColumns({"__d1": digits[0], "__d2": digits[1]}), "mix-rows")
+    narrow = docs.select("__at", *[c.alias(name) for name, c in (leaf_of | order_of(key, text, "__at", seed)).items()], count.alias("__tokens"))
+    narrow = stored(narrow, "mix-rows")
     leaves = stored(
-        narrow.groupBy(*leaf).agg(F.sum("__tokens").cast("double").alias("__has"), F.count(F.lit(1)).alias("__n")),
-        "mix-leaves",
+        narrow.groupBy(*leaf).agg(F.sum("__tokens").alias("__has"), F.count(F.lit(1)).alias("__n")), "mix-leaves"
     )
     total, n_leaves = leaves.agg(F.sum("__has"), F.count(F.lit(1))).first()
     if weights is not None:
@@ -139,19 +155,22 @@ def mixed(
             *[F.when(F.col(n).isNotNull(), key_text(n)).alias(c) for c, n in zip(leaf, levels, strict=True)], "weight"
         )
     capable = leaves.withColumn("__cap", F.col("__has") * epochs)
-    plan = budgets(capable, leaf, weights, min(share, epochs) * (total or 0.0)).join(leaves.select(*leaf, "__has"), leaf)
-    # what rounding of the shares may add is no part of a document
-    plan = plan.withColumn("__full", F.floor(F.col("__budget") / F.col("__has") + 1e-9).cast("int"))
+    # a share is a decimal fraction: what its double adds or takes in the tenth digit is no token
+    wanted = int(min(share, epochs) * (total or 0) * (1 + 1e-12) + 1e-9)
+    plan = budgets(capable, leaf, weights, wanted).join(leaves.select(*leaf, "__has"), leaf)
+    plan = plan.withColumn("__full", F.expr("cast(__budget div __has as int)"))
     plan = stored(plan.withColumn("__rest", F.col("__budget") - F.col("__full") * F.col("__has")), "mix-plan")
     partial = plan.filter(F.col("__rest") >= 1)
     stops = partial.select(*leaf).join(cut_rows(narrow, leaf, partial), leaf, "left").withColumn("__more", F.lit(1))
     plan = stored(plan.join(stops, leaf, "left").select(*leaf, "__full", "__more", "__stop"), "mix-cuts")
-    picked = docs.withColumns(leaf_of | {"__h": order_key, "__key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
-    picked = picked.join(small_side(plan, n_leaves, 1024), leaf)
-    fits = F.col("__stop").isNull() | (F.struct("__h", "__key") < F.col("__stop"))
+    # only leaves that are cut are compared row by row
+    order = order_of(key, text, "__at", seed)
+    picked = docs.withColumns(leaf_of).join(small_side(plan, n_leaves, 1024), leaf)
+    place = F.struct(*[(order[c] if c in order else F.col(c)).alias(c) for c in ORDER])
+    fits = F.when(F.col("__stop").isNull(), F.lit(True)).otherwise(place < F.col("__stop"))
     last = F.when(F.col("__more").isNotNull() & fits, 1).otherwise(0)
     times = F.col("__full") + last
     return (
         picked.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
-        .drop(*leaf, "__h", "__key", "__full", "__more", "__stop")
+        .drop(*leaf, "__at", "__full", "__more", "__stop")
     )

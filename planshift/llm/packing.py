@@ -151,7 +151,8 @@ def packed(
     """
     ids = encoded(docs, vocabulary_file, key, text, source, end_id)
     total, count = ids.agg(F.sum("__n"), F.count(F.lit(1))).first()
-    order_key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__key").cast("string"), F.lit("null"))))
+    # with the row's number, so that rows that repeat a key are spread
+    order_key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("__key").cast("string"), F.lit("null")), F.col("__row").cast("string")))
     d1, d2 = digits_of(hash_fraction(F.col("__h")), second_digits(count))
     queues = ids.select("__row", "__source", "__n", order_key.alias("__h")).withColumns({"__d1": d1, "__d2": d2})
     placed = running_total(queues, ["__source"], ["__h", "__row"], "__n", "__before", "__queue")

@@ -24,8 +24,8 @@ from planshift.session import work_path
 
 SHARDS = 16
 BOILERPLATE_RATIO = 0.1
-LEAST_PAGES = 5
-MIX_LEVELS = ("domain", "lang", "source")
+LEAST_PAGES = 2
+MIX_LEVELS = ("__domain", "lang", "source")
 MIX_SHARE = 0.8
 MIX_EPOCHS = 2
 RULE_ROUNDS = 12
@@ -60,14 +60,19 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """``documents`` has no domain: sources are put in four by the last digits of their names."""
-    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return docs.withColumn("domain", F.concat(F.lit("domain"), number % 4))
+def mix_weights(spark: SparkSession) -> DataFrame:
+    """Target weights of the stand-in domains, of languages within a domain, and of two sources; all others by size."""
+    domains = [(f"domain{d}", None, None, 4.0 - d) for d in range(4)]
+    langs = [(f"domain{d}", lang, None, w) for d in range(4) for lang, w in (("en", 5.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))]
+    sources = [("domain0", "en", "src4", 500.0), ("domain1", "en", "src1", 250.0)]
+    return spark.createDataFrame([*domains, *langs, *sources], "__domain string, lang string, source string, weight double")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    return mixed(with_domain(docs), MIX_LEVELS, MIX_SHARE, MIX_EPOCHS).drop("domain")
+    """The mixture of the queries. ``documents`` has no domain: sources are put in four by the last digits of their names."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    placed = docs.withColumn("__domain", F.concat(F.lit("domain"), number % 4))
+    return mixed(placed, MIX_LEVELS, MIX_SHARE, MIX_EPOCHS, mix_weights(docs.sparkSession)).drop("__domain")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +136,8 @@ checked AS (
 """
 
 OP1_SQL = f"""{_CRC32},
-hashed AS (SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM checked),
+copies AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, crc, size) - 1 AS copy FROM checked),
+hashed AS (SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || crc || '|' || copy) AS h FROM copies),
 ranked AS (
   SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc, size) - 1) + 1)
     / (2.0::DOUBLE * count(*) OVER (PARTITION BY source)) AS f

@@ -66,37 +66,51 @@ def hash_fraction(hexadecimal: Column) -> Column:
 
 
 def running_total(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, before: str, total: str
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, before: str, total: str,
+    digits: Sequence[str] = ("__d1", "__d2"),
 ) -> DataFrame:
     """Adds the sum of ``value`` over the earlier rows of the group, and over the whole group.
 
-    ``df`` has the bucket columns ``__d1`` and ``__d2``, which must not decrease along ``order``. Only sums per bucket
+    ``df`` has the bucket columns ``digits``, which taken together must not decrease along ``order``. Only sums per bucket
     cross bucket limits: a group of any size is spread over its buckets, and ``df`` is shuffled once.
     """
-    first, both = [*groups, "__d1"], [*groups, "__d1", "__d2"]
-    sums = df.groupBy(*both).agg(F.sum(value).alias("__s"))
-    upper = sums.groupBy(*first).agg(F.sum("__s").alias("__s"))
+    digits = list(digits)
+    both = [*groups, *digits]
+    sums = {len(digits): df.groupBy(*both).agg(F.sum(value).alias("__s"))}
+    for k in range(len(digits) - 1, 0, -1):
+        sums[k] = sums[k + 1].groupBy(*groups, *digits[:k]).agg(F.sum("__s").alias("__s"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    upper = upper.select(
-        *first,
-        F.coalesce(F.sum("__s").over(earlier(whole.orderBy("__d1"))), F.lit(0)).alias("__b1"),
-        F.sum("__s").over(whole).alias("__t"),
-    )
-    lower = sums.select(
-        *both, F.coalesce(F.sum("__s").over(earlier(Window.partitionBy(*first).orderBy("__d2"))), F.lit(0)).alias("__b2")
-    )
-    bases = lower.join(upper, first).select(
-        *both, (F.col("__b1") + F.col("__b2")).alias("__b"), F.col("__t").alias(total)
-    )
+    bases = None
+    for k in range(1, len(digits) + 1):
+        parent = [*groups, *digits[:k - 1]]
+        whole = Window.partitionBy(*parent)
+        ahead = F.coalesce(F.sum("__s").over(earlier(whole.orderBy(digits[k - 1]))), F.lit(0)).alias(f"__b{k}")
+        level = sums[k].select(*parent, digits[k - 1], ahead, *([F.sum("__s").over(whole).alias(total)] if k == 1 else []))
+        bases = level if bases is None else level.join(bases, parent)
+    bases = bases.select(*both, sum(F.col(f"__b{k + 1}") for k in range(len(digits))).alias("__b"), total)
     inside = earlier(Window.partitionBy(*both).orderBy(*order))
     return (
         df.join(bases, both)
         .withColumn(before, F.col("__b") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("__d1", "__d2", "__b")
+        .drop("__b", *[d for d in digits if d not in order])
     )
 
 
+def copy_numbers(rows: DataFrame, same: Sequence[str], piece: str) -> DataFrame:
+    """Adds ``__copy``: 0, 1, 2, ... among the rows that are equal in ``same``, which holds no nulls.
+
+    ``rows`` is stored, and ``piece`` tells the parts that it was stored in: copies are numbered inside a part and go on
+    over the counts of earlier parts, so any number of them is spread.
+    """
+    both = [*same, piece]
+    counts = rows.groupBy(*both).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*same).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("__b", F.sum("__n").over(earlier)).filter(F.col("__b").isNotNull()).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*both).orderBy(piece)) - 1
+    placed = rows.withColumn("__in", inside).join(bases, both, "left")
+    return placed.withColumn("__copy", F.col("__in") + F.coalesce("__b", F.lit(0))).drop("__in", "__b")
+
+
 def tidy() -> None:
     """Hands freed memory of a worker back, so that the workers of one executor do not all hold their peaks."""
     pa.default_memory_pool().release_unused()

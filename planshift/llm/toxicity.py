@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planshift.llm.labelled import bounded_sample
 from planshift.llm.shared import Words, row_slices, stored
 
 # Most labelled rows of each class that the fit sees; the driver holds their features alone.
@@ -116,16 +117,6 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> DataFrame:
-    """Texts and labels of at most ``per_class`` rows of each label, none of them held out."""
-    known = labels.filter(~held_out(key) & F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
-    order = F.md5(F.col("__key").cast("string"))
-    chosen = [known.filter(F.col("__label") == c).orderBy(order, "__key").limit(per_class) for c in (0, 1)]
-    # at most twice the sample bound of two numbers a row
-    chosen = F.broadcast(chosen[0].union(chosen[1]))
-    return docs.join(chosen, docs[key] == chosen["__key"]).select(F.col(text).cast("string").alias("__text"), "__label")
-
-
 def sample_features(sample: DataFrame) -> DataFrame:
     """``label``, distinct features (``held``) and counted swaps (``swaps``) of each sampled text, stored."""
 
@@ -219,10 +210,11 @@ def fit_toxicity(
 ) -> ToxicModel:
     """The classifier, from labelled rows that are not held out.
 
-    Labels other than 0 and 1 and labels without a document are left out.
+    Labels other than 0 and 1 and labels without a document are left out. The bound of ``per_class`` holds for rows, also
+    where keys are repeated.
     With labels of one class only the model is a bias for that class; without labels nothing is called toxic.
     """
-    rows = sample_features(labelled_sample(docs, labels, key, text, label, per_class))
+    rows = sample_features(bounded_sample(docs, labels, key, text, label, held_out(key), per_class))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
     n, positive = int(size["n"]), int(size["pos"])
     if positive == 0 or positive == n:

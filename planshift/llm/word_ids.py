@@ -3,12 +3,16 @@
 The pre-tokenizers of both vocabularies never join characters across a single space before a word, so the ids of a
 text are the ids of its pieces, one after another. The pieces of an Arrow batch are dictionary-encoded, unknown
 ones go to the tokenizer in one call, and the ids of all texts are gathered by numpy. Texts whose white space is not of
-that simple kind are encoded whole.
+that simple kind, and texts that hold the string of an added token, are encoded whole.
+
+The word vocabulary is without case and cuts words at punctuation. Its pieces are looked up in ASCII lower case, without
+the punctuation at both ends, which is a piece of its own.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from planshift.llm.shared import listed
 MOST_PIECES = 400_000
 WIDE_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CONTROL = r"\x00-\x09\x0b-\x1f"
+# ASCII punctuation at the ends of a piece is a token run of its own; an apostrophe may be part of one with letters.
+EDGE = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 # A space or line feed must stand alone between words; one empty line is simple too.
 BYTE_ODD = rf"[{CONTROL}{WIDE_SPACE}]|  | \n|\n |\n\n\n|^[ \n]|[ \n]$"
 WORD_ODD = r"[\x00-\x08\x0e-\x1f]"
@@ -31,7 +37,6 @@ WORD_ODD = r"[\x00-\x08\x0e-\x1f]"
 def _without_cache(file: str) -> Tokenizer:
     """The tokenizer of a file; its own cache of pieces is off, as it costs more than it saves on pieces that are all new."""
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
     with open(file, encoding="utf-8") as lines:
         model = json.load(lines)["model"]
     known = {k: model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")}
@@ -46,6 +51,8 @@ class PieceIds:
     def __init__(self, file: str, kind: str):
         self.tokenizer = _without_cache(file)
         self.kind = kind
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = "|".join(x for x in (BYTE_ODD if kind == "byte" else WORD_ODD, added) if x)
         self.marker = np.asarray(self._encode("\n" if kind == "byte" else "\x01"), dtype=np.uint32)
         self._clear()
 
@@ -98,41 +105,62 @@ class PieceIds:
             lengths = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
             self._add(part, np.delete(ids, cuts), lengths)
 
-    def places(self, distinct: list[str]) -> np.ndarray:
+    def _cut(self, piece: str) -> tuple[str, ...]:
+        """A piece of the word vocabulary apart from the punctuation at its ends, where that borders on letters or digits."""
+        core = piece.strip(EDGE)
+        if not core or len(core) == len(piece):
+            return (piece,)
+        at = len(piece) - len(piece.lstrip(EDGE))
+        head, tail = piece[:at], piece[at + len(core):]
+        if head and not core[0].isalnum() or tail and not core[-1].lower()[-1].isalnum():  # a letter may lower to a mark
+            return (piece,)
+        return tuple(x for x in (head, core, tail) if x)
+
+    def ids_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces, one piece after another, with the start and length of each."""
         if len(self.place) + len(distinct) > MOST_PIECES:
             self._clear()
-        get = self.place.get
-        found = [get(p, -1) for p in distinct]
-        if -1 in found:
-            self._learn([p for p, k in zip(distinct, found, strict=True) if k < 0])
-            found = [self.place[p] for p in distinct]
-        return np.asarray(found, dtype=np.int64)
+        known = self.place
+        if self.kind == "byte":
+            parts, counts = distinct, np.ones(len(distinct), dtype=np.int64)
+        else:
+            cuts = [(p,) if p in known else self._cut(p) for p in distinct]
+            parts = [part for cut in cuts for part in cut]
+            counts = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+        new = [p for p in dict.fromkeys(parts) if p not in known]
+        if new:
+            self._learn(new)
+        at = np.fromiter((known[p] for p in parts), dtype=np.int64, count=len(parts))
+        lengths = self.length[at]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])]
+        bounds = upto[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, bounds[:-1], np.diff(bounds)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none) in one array, and the bounds of each text in it."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, BYTE_ODD if self.kind == "byte" else WORD_ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
         if self.kind == "byte":
             marked = pc.binary_join_element_wise(pa.scalar("\x01", pa.large_string()), plain, pa.scalar("", pa.large_string()))
             lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
         else:
-            lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+            lists = pc.split_pattern(pc.ascii_lower(pc.replace_substring(plain, "\n", " ")), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.values[offsets[0]:offsets[-1]].dictionary_encode()
         offsets = offsets - offsets[0]
         distinct = listed(coded.dictionary, " ")
-        if self.kind == "byte":
-            place = self.places(distinct)
+        if self.kind == "byte" or "" not in distinct:
+            flat, start, length = self.ids_of(distinct)
         else:
-            place = self.places([p for p in distinct if p])
-            if "" in distinct:
-                place = np.insert(place, distinct.index(""), -1)
-        at = place[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = np.where(at < 0, 0, self.length[at])
+            blank = distinct.index("")
+            flat, start, length = self.ids_of(distinct[:blank] + distinct[blank + 1:])
+            start, length = np.insert(start, blank, 0), np.insert(length, blank, 0)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = length[code]
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        ids = np.repeat(np.where(at < 0, 0, self.start[at]) - bounds[:-1], lengths)
-        ids = self.flat[ids + np.arange(bounds[-1])]
+        ids = flat[np.repeat(start[code] - bounds[:-1], lengths) + np.arange(bounds[-1])]
         bounds = bounds[offsets]
         if odd.any():
             rows = np.flatnonzero(odd)

@@ -1,8 +1,10 @@
 """Sharding, quality rules, line dedup, mixing: awkward rows, empty tables, brute force."""
 
+import hashlib
 import sys
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import pytest
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from planshift.llm.lines import drop_boilerplate  # noqa: E402
 from planshift.llm.mixing import budgets, mixed  # noqa: E402
+from planshift.llm.queries import mixture  # noqa: E402
 from planshift.llm.quality import RULES, fit_votes, judged, text_counts  # noqa: E402
-from planshift.llm.shared import running_total  # noqa: E402
+from planshift.llm.shared import copy_numbers, running_total  # noqa: E402
 from planshift.llm.sharding import interleaved_shards  # noqa: E402
 
 
@@ -110,15 +113,86 @@ def test_boilerplate_beyond_the_broadcast_bound(spark, monkeypatch):
 
 
 def test_shortage_goes_to_siblings_first(spark):
-    leaves = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 100.0), ("b", "z", 100.0)], "p string, q string, __cap double")
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 100), ("b", "z", 100)], "p string, q string, __cap long")
     weights = spark.createDataFrame([("a", None, 1.0), ("b", None, 1.0), ("a", "x", 1.0), ("a", "y", 1.0)], "p string, q string, weight double")
-    got = {r["q"]: r["__budget"] for r in budgets(leaves, ["p", "q"], weights, 100.0).collect()}
-    assert got == pytest.approx({"x": 10, "y": 40, "z": 50})
-    got = {r["q"]: r["__budget"] for r in budgets(leaves, ["p", "q"], weights, 180.0).collect()}
-    assert got == pytest.approx({"x": 10, "y": 80, "z": 90})
+    got = {r["q"]: r["__budget"] for r in budgets(leaves, ["p", "q"], weights, 100).collect()}
+    assert got == {"x": 10, "y": 40, "z": 50}
+    got = {r["q"]: r["__budget"] for r in budgets(leaves, ["p", "q"], weights, 180).collect()}
+    assert got == {"x": 10, "y": 80, "z": 90}
     weights = weights.replace(1.0, 9.0).filter("p = 'a'").union(spark.createDataFrame([("b", None, 1.0)], "p string, q string, weight double"))
-    got = {r["q"]: r["__budget"] for r in budgets(leaves, ["p", "q"], weights, 150.0).collect()}
-    assert got == pytest.approx({"x": 10, "y": 100, "z": 40})  # a is full: the rest leaves it
+    got = {r["q"]: r["__budget"] for r in budgets(leaves, ["p", "q"], weights, 150).collect()}
+    assert got == {"x": 10, "y": 100, "z": 40}  # a is full: the rest leaves it
+
+
+def poured(given, children):
+    """Budgets of ``{name: (cap, weight)}`` in whole tokens: fractions poured by weight, largest remainders."""
+    exact, open_ones, left = {}, dict(children), Fraction(given)
+    while open_ones:
+        level = left / sum(Fraction(w) for _, w in open_ones.values())
+        full = {n for n, (cap, w) in open_ones.items() if cap <= level * Fraction(w)}
+        if not full:
+            exact |= {n: level * Fraction(w) for n, (_, w) in open_ones.items()}
+            break
+        for n in full:
+            exact[n] = Fraction(open_ones.pop(n)[0])
+            left -= exact[n]
+    whole = {n: int(x) for n, x in exact.items()}
+    more = min(given, sum(cap for cap, _ in children.values())) - sum(whole.values())
+    for n in sorted((n for n in whole if whole[n] < children[n][0]), key=lambda n: (whole[n] - exact[n], n))[:more]:
+        whole[n] += 1
+    return whole
+
+
+def brute_mixture(rows, weights, share, epochs):
+    """``rows`` are (key, text, group, part); ``weights`` has one for every group and every (group, part)."""
+    leaves = defaultdict(list)
+    for r in rows:
+        leaves[r[2], r[3]].append(r)
+    size = lambda r: max(len((r[1] or "").split()), 1)
+    has = {leaf: sum(map(size, found)) for leaf, found in leaves.items()}
+    groups = {g for g, _ in leaves}
+    given = poured(int(Fraction(str(share)) * sum(has.values())), {
+        g: (epochs * sum(n for leaf, n in has.items() if leaf[0] == g), weights[g,]) for g in groups})
+    out = Counter()
+    for g in groups:
+        own = poured(given[g], {leaf: (epochs * has[leaf], weights[leaf]) for leaf in leaves if leaf[0] == g})
+        for leaf, budget in own.items():
+            times, rest = divmod(budget, has[leaf])
+            order = sorted(leaves[leaf], key=lambda r: hashlib.md5(
+                f"29|{'null' if r[0] is None else r[0]}|{zlib.crc32((r[1] or '').encode())}".encode()).hexdigest())
+            for r in order:
+                rest -= size(r)
+                for epoch in range(times + (rest >= 0)):
+                    out[r[0], r[1], epoch] += 1
+                if rest < 0:
+                    rest = -10**9
+    return out
+
+
+MIX_SCHEMA = "doc_id long, text string, domain string, part string, epoch string"
+
+
+@pytest.mark.parametrize(("share", "epochs"), [(0.8, 2), (0.3, 1), (1.7, 2)])
+def test_mixture_equals_brute_force(spark, share, epochs):
+    data = [(i, corpus.prose(i, 1 + i % 37), "a" if i % 4 else "b", f"p{i % 3}") for i in range(120)]
+    data += [(None, f"null key {i}", "a", "p0") for i in range(30)] + [(7, f"same key {i} word", "b", "p1") for i in range(30)]
+    data += [(8, "copies of a row", "a", "p1")] * 25 + [(None, None, "b", "p2")] * 5 + [(900, "alone", "b", "p9")]
+    weights = {("a",): 3, ("b",): 1} | {(g, f"p{k}"): w for g in "ab" for k, w in ((0, 1), (1, 2), (2, 4), (9, 1))}
+    table = spark.createDataFrame([(w[0], w[1] if len(w) > 1 else None, float(x)) for w, x in weights.items()], "domain string, part string, weight double")
+    frame = spark.createDataFrame([(*r, "x") for r in data], MIX_SCHEMA).repartition(4)
+    got = mixed(frame, ["domain", "part"], share, epochs, table)
+    assert set(got.columns) == {"doc_id", "text", "domain", "part", "epoch"}
+    assert Counter((r["doc_id"], r["text"], r["epoch"]) for r in got.collect()) == brute_mixture(data, weights, share, epochs)
+
+
+def test_mixture_cuts_rows_that_repeat_a_key(spark):
+    """A hundred rows without a key, two keys of fifty rows, copies of one row, and budgets that fit exactly."""
+    for rows in ([(None, f"w{i}") for i in range(100)], [(i % 2, f"w{i}") for i in range(100)], [(1, "w")] * 100):
+        frame = spark.createDataFrame([(*r, "a", "p", "x") for r in rows], MIX_SCHEMA)
+        assert mixed(frame, ["domain"], 0.8, 2).count() == 80
+    frame = spark.createDataFrame([(i, "w", f"d{i % 3 if i < 32 else 3}", "p", "x") for i in range(40)], MIX_SCHEMA)
+    assert mixed(frame, ["domain"], 0.8, 1).count() == 32
+    assert mixed(frame, ["domain", "part"], 0.7, 1).count() == 28
 
 
 def test_mixture_takes_prefixes_of_whole_epochs(spark):
@@ -131,3 +205,33 @@ def test_mixture_takes_prefixes_of_whole_epochs(spark):
     everything = mixed(docs, ["source"], share=9, epochs=2)
     assert Counter(r["doc_id"] for r in everything.collect()) == Counter({k: 2 * n for k, n in Counter(d[0] for d in corpus.rows()).items()})
     assert mixed(corpus.empty(spark), ["source"]).count() == 0
+    named = docs.withColumn("domain", F.lit("own"))  # the stand-in level of the queries leaves a column of that name alone
+    assert mixture(named).select(*named.columns).filter("domain = 'own'").count() > 0
+
+
+def test_copies_are_numbered_over_parts(spark):
+    df = spark.range(500).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("part"), F.lit("x").alias("v"))
+    got = defaultdict(list)
+    for r in copy_numbers(df, ["k"], "part").collect():
+        got[r["k"]].append(r["__copy"])
+    assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 500
+
+
+@pytest.mark.parametrize("kind", ["one key", "copies", "sources of one row"])
+def test_shard_buckets_stay_small(spark, monkeypatch, kind):
+    """The rows that one window of a running total sorts, when a key, a row or one-row sources make up the table."""
+    n, largest = 3000, []
+
+    def watched(df, groups, order, value, before, total, digits=("__d1", "__d2")):
+        largest.append(df.groupBy(*groups, *digits).count().agg(F.max("count")).first()[0])
+        return running_total(df, groups, order, value, before, total, digits)
+
+    monkeypatch.setattr("planshift.llm.sharding.running_total", watched)
+    rows = {
+        "one key": [(None, f"text {i}", "s") for i in range(n)], "copies": [(5, "same", "s")] * n,
+        "sources of one row": [(i, f"text {i}", f"s{i}") for i in range(n)],
+    }[kind]
+    got = interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 4).collect()
+    assert Counter(r["shard"] for r in got) == dict.fromkeys(range(4), n // 4)
+    assert len({(r["shard"], r["slot"]) for r in got}) == n
+    assert max(largest) < 60

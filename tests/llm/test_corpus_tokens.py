@@ -21,13 +21,12 @@ from planshift.session import work_path  # noqa: E402
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 ODD = [
     "", None, " a", "a ", "a  b", "a\n\nb", "a\n\n\nb", "x\n", "\n", " \n", "a\tb", "it's  'll don't", "a \n b", "ab\x01c", " x",
-    "Á b é é", "hello <|endoftext|> wor|d", "12 345 6", "\x01", "a\x1c!\x1c! b", "a b", "x  y", "Σας ΣΑΣ", "tail\n\n",
+    "Á b é é", "hello <|endoftext|> wor|d", "12 345 6", "\x01", "a\x1c!\x1c! b", "a b", "x  y", "Σας ΣΑΣ", "tail\n\n", "İ. (İ\") e̸. x!\"s ...Word?! 's a’ 3rd, 1,5 e-mail;", "a <|startoftext|> B<|endoftext|>c",
 ]
 
 
 def whole(file, texts, end):
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, *end], "<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
