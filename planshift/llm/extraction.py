@@ -30,17 +30,15 @@ NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 SPACE = re.compile(r"\s+")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var del label tspan textpath "
-    # formulas
-    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
-    "msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics".split()
+# Elements that begin and end a block of text; all others, known or not, stand in a line.
+BLOCK = frozenset(
+    "html head body div p ul ol dl li dt dd menu dir table caption thead tbody tfoot tr td th section article nav aside "
+    "header footer main search form fieldset legend h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption hr address "
+    "details summary dialog center noframes xmp text foreignobject".split()
 )
-# Elements without readable text: what stands in them is skipped. A head needs no entry: what may stand in it is void,
-# raw or a template, and anything else belongs to the body, as if the head had ended before it.
-SILENT = frozenset("script style noscript template iframe desc metadata".split())
+# Elements whose text is skipped, without a cut in the line that they stand in. A head needs no entry: what may stand in it
+# is hidden or has no text, and anything else belongs to the body, as if the head had ended before it.
+HIDDEN = frozenset("template desc metadata button select datalist optgroup option".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 # A formula once more in another language, which is not shown.
 UNSHOWN = frozenset(("annotation", "annotation-xml"))
@@ -49,10 +47,11 @@ CLOSES_P = frozenset("p div ul ol dl li table section article nav aside header f
 # Log-odds of content by element above a block; the strongest sign of either kind counts once.
 ELEMENT_ODDS = {
     "article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -8.0, "form": -9.0, "header": -6.0, "menu": -9.0,
-    "button": -9.0, "select": -9.0, "option": -9.0, "textarea": -9.0, "input": -9.0, "dialog": -8.0, "fieldset": -9.0,
-    "blockquote": 0.5, "pre": 0.5, "figcaption": 0.3, "p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "h4": 0.4, "title": -9.0,
+    "dialog": -8.0, "fieldset": -9.0,
+    "blockquote": 0.5, "pre": 0.5, "figcaption": 0.3, "p": 1.0, "h1": 1.0, "h2": 0.7, "h3": 0.5, "h4": 0.4,
 }
-# Log-odds by words of class, id and role names.
+# Log-odds by words of class, id and role names. They count in full if the other words of the name say nothing (listed
+# here or in PLAIN_WORDS); a name of other words too may mean anything, and length, links and neighbours decide.
 NAME_ODDS = {
     **dict.fromkeys("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner".split(), -9.0),
     **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar".split(), -9.0),
@@ -64,6 +63,20 @@ NAME_ODDS = {
     **dict.fromkeys("article post entry story content body text main maincontent".split(), 1.5),
 }
 
+PLAIN_WORDS = frozenset(
+    "box wrapper wrap container inner outer area block section zone region list item items row col column unit slot left right "
+    "top bottom first last head bar site page global primary secondary web desktop mobile mini sticky fixed inline module "
+    "component view panel group holder links link button buttons icon icons title id js the my is has".split()
+)
+UNSURE = 0.3
+
+
+def name_odds(name: str) -> list[float]:
+    """Log-odds of the listed words of one class, id or role."""
+    words = [w.lower() for w in NAME_WORDS.findall(name)]
+    plain = all(w in NAME_ODDS or w in PLAIN_WORDS for w in words)
+    return [NAME_ODDS[w] * (1.0 if plain or NAME_ODDS[w] > 0 else UNSURE) for w in words if w in NAME_ODDS]
+
 
 @dataclass
 class Block:
@@ -87,8 +100,8 @@ class Tree:
         odds = [ELEMENT_ODDS.get(tag, 0.0)]
         if attributes and "=" in attributes:
             for m in NAMES.finditer(attributes):
-                words = NAME_WORDS.findall(m[1] or m[2] or m[3] or "")
-                odds += [NAME_ODDS[w] for w in (w.lower() for w in words) if w in NAME_ODDS]
+                for name in (m[1] or m[2] or m[3] or "").split():
+                    odds += name_odds(name)
         inside = self.good[parent] >= 3.0
         if inside:  # a heading area within an article belongs to it
             odds = [0.0 if o == -6.0 else o for o in odds]
@@ -145,58 +158,67 @@ def read_blocks(page: str) -> tuple[list[Block], Tree]:
             end = None if m[1] or m[3].endswith("/") else end_tag(tag).search(page, pos)
             pos = end.end() if end else pos
             continue
-        if tag in INLINE:
+        if tag in RAW and tag != "xmp":
+            end = None if m[1] else end_tag(tag).search(page, pos)
+            pos = pos if m[1] else end.end() if end else len(page)
+            continue
+        if tag not in BLOCK and tag not in HIDDEN:
             if tag == "a":
                 anchor = 0 if m[1] else 1
+            elif tag == "br":
+                say(" ")
             continue
-        if tag == "br":
-            say(" ")
-            continue
-        flush()
+        if tag in BLOCK and not silent:
+            flush()
         if m[1]:
             node = at
             while node and tree.tag[node] != tag:
                 node = tree.parent[node]
             if node:
+                if silent and tree.depth[silent] >= tree.depth[node]:
+                    at, silent = tree.parent[silent], 0
+                    if tag in BLOCK:  # the end of an element around the hidden one
+                        flush()
                 at = tree.parent[node]
-                if silent and tree.depth[silent] > tree.depth[at]:
-                    silent = 0
-                anchor = 0
+                if tag in BLOCK:
+                    anchor = 0
             continue
-        if tag in VOID:
+        if tag == "hr":
             continue
         if tag in CLOSES_P and tree.tag[at] == "p" or tag == tree.tag[at] and tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
             at = tree.parent[at]
+            if silent and tree.depth[silent] > tree.depth[at]:
+                silent = 0
         if tag == "body":
             node = at
             while node and tree.tag[node] != "head":
                 node = tree.parent[node]
             if node:
                 at, silent = tree.parent[node], 0
-        if m[3].endswith("/") and tag not in RAW:
+        if m[3].endswith("/") and tag != "xmp":
             continue
-        if tag in RAW:
+        if tag == "xmp":  # shown letter by letter
             end = end_tag(tag).search(page, pos)
-            if tag == "xmp":  # shown letter by letter
-                at = tree.add(tag, m[3], at)
-                say(html.escape(page[pos:end.start() if end else len(page)]))
-                flush()
-                at = tree.parent[at]
+            at = tree.add(tag, m[3], at)
+            say(html.escape(page[pos:end.start() if end else len(page)]))
+            flush()
+            at = tree.parent[at]
             pos = end.end() if end else len(page)
             continue
         at = tree.add(tag, "" if tag == "head" else m[3], at)
-        anchor = 0
-        if tag in SILENT and not silent:
+        if tag in BLOCK:
+            anchor = 0
+        elif not silent:
             silent = at
     say(page[pos:])
     flush()
     return blocks, tree
 
 
-def content_odds(block: Block, tree: Tree) -> float:
+def content_odds(block: Block, tree: Tree, prior: float) -> float:
     """The classifier: log-odds that a block is content."""
     length = len(block.text)
-    odds = -0.5 + tree.good[block.parent] + tree.bad[block.parent]
+    odds = prior + tree.good[block.parent] + tree.bad[block.parent]
     odds += min(math.log1p(length / 40), 2.5)
     odds -= 4.0 * min(block.links / length, 1.0)
     return odds
@@ -269,7 +291,9 @@ def main_text(page: str | None) -> str:
             pair = (last[container], i)
             edges[pair] = edges.get(pair, 0.0) + 0.8
         last[container] = i
-    labels = minimum_cut([content_odds(b, tree) for b in blocks], edges)
+    # where an element says that it holds the article, blocks are less likely to be content by themselves
+    prior = -0.5 if max(tree.good) >= 3.0 else 0.2
+    labels = minimum_cut([content_odds(b, tree, prior) for b in blocks], edges)
     return "\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 
 

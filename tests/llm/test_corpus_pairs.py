@@ -158,6 +158,23 @@ def test_extraction_keeps_a_page_whose_head_is_not_closed():
     assert main_text("<head><title>T</title>Text that starts the page, which has no other tags than those of its head.") == "Text that starts the page, which has no other tags than those of its head."
 
 
+def test_only_block_elements_cut():
+    line = "super<wbr>cali <img src=a alt=b>fragi <input name=q><svg><path d='M0'/></svg>list<picture><source></picture>ic <nobr>and</nobr> <x-own>more</x-own>"
+    page = f"<article><p>{line} <script>var a = '<p>';</script>text <button>Press</button><select><option>1<option>2</select>here</p><p>Next.</p></article>"
+    assert main_text(page) == "supercali fragi listic and more text here\nNext."
+    assert main_text("<article><p>One<hr>Two</p><div>Three<template><p>no</p></template>four</div></article>") == "One\nTwo\nThreefour"
+
+
+def test_names_weigh_less_than_text():
+    text = "A paragraph of the article that is long enough to be told from a label."
+    for inner in ("<section id='social-history'><p>{}</p></section>", "<p class='alert-free'>{}</p>", "<div class='research widget-free'>{}</div>"):
+        assert text in main_text(f"<article><h1>Head</h1><p>{text[:40]}</p>{inner.format(text)}</article>")
+    for inner in ("<div class='social-links'>{}</div>", "<div id='ad-slot-3'>{}</div>", "<div class='site-footer'>{}</div>", "<div class='comment-body'>{}</div>"):
+        assert text not in main_text(f"<article><h1>Head</h1><p>{text[:40]}</p></article>{inner.format(text)}")
+    assert main_text("<div>Hello world, all.</div>") == "Hello world, all."
+    assert main_text("<div><a href=x>Home</a> <a href=y>Next</a></div>") == ""
+
+
 def test_extraction_keeps_formulas_drawn_and_fallback_text():
     page = "<body><article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold.</p>{}<p>After it.</p></article>"
     for given, want in (
