@@ -7,11 +7,11 @@ only when all children of it are full. Budgets are whole tokens: what rounding d
 the children of a node add up to its own. A leaf's budget is met by whole seeded epochs and the longest prefix of one
 more that stays within the rest.
 
-Budgets are window functions over one row per node. Rows are ordered by a hash of key and text, copies of a row by their
-number. The prefix is found by its last row: sums over the first digits of the order give the bucket in which the budget
-runs out, sums over the next digits the bucket within that one, and so on to single rows. Documents then compare their own
-place with their leaf's last row, so texts are never shuffled, and neither a leaf nor a key nor copies of one row with a
-third of all rows are a hot group.
+Budgets are window functions over one row per node. Rows are ordered by a hash of key and text. The prefix is found by the
+hash at which it ends: sums over first digits give the bucket in which the budget runs out, sums over second digits the
+bucket within that one, sums over its hashes the hash. Documents then compare their own hash with it, so no text is shuffled
+but those of the rows of that one hash, which are copies; as many of them as fit are taken, numbered part by part. Neither
+a leaf nor a key nor copies of one row with a third of all rows are a hot group.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planshift.llm.quality import words_of
-from planshift.llm.shared import FIRST_DIGITS, digits_of, hash_fraction, key_text, small_side, stored
+from planshift.llm.shared import FIRST_DIGITS, copy_numbers, digits_of, hash_fraction, key_text, small_side, stored
 
 
 def word_tokens(text: str) -> Column:
@@ -81,44 +81,39 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: DataFrame | None,
     return down.withColumnRenamed("__given", "__budget")
 
 
-# The order of the rows of a leaf: a hash of key and text, then two digits of the row's number and the number itself.
-DIGITS = ("__d1", "__d2", "__h", "__e1", "__e2")
-ORDER = ("__h", "__e1", "__e2", "__at")
+# The order of the rows of a leaf: a hash of key and text, with its first digits as buckets.
+DIGITS = ("__d1", "__d2", "__h")
 
 
-def order_of(key: str, text: str, at: str, seed: int) -> dict[str, Column]:
+def order_of(key: str, text: str, seed: int) -> dict[str, Column]:
     """The columns of ``DIGITS`` for the rows of a table."""
     content = F.crc32(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")).cast("string")
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), content))
-    spread = F.xxhash64(at)
     d1, d2 = digits_of(hash_fraction(h), FIRST_DIGITS)
-    e1, e2 = F.pmod(spread, F.lit(256)), F.pmod(F.shiftright(spread, 8), F.lit(256))
-    return {"__d1": d1, "__d2": d2, "__h": h, "__e1": e1.cast("int"), "__e2": e2.cast("int")}
+    return {"__d1": d1, "__d2": d2, "__h": h}
 
 
 def cut_rows(rows: DataFrame, leaf: Sequence[str], rest: DataFrame) -> DataFrame:
-    """Per leaf the row (``ORDER``) that ends the longest prefix whose tokens stay within ``__rest``.
+    """Per leaf the hash ``__stop`` at which the longest prefix whose tokens stay within ``__rest`` ends, and ``__fit``,
+    how many rows of that hash are in it.
 
     Each step keeps, per leaf, the one digit in which the running sum passes the rest; leaves that end before any such
-    digit are not returned: all their rows fit.
+    digit are not returned: all their rows fit. Rows of one hash are copies, with the same tokens.
     """
     left, steps = rest.select(*leaf, F.col("__rest").alias("__left")), []
     for digit in DIGITS:
         keys = [*leaf, *steps]
-        sums = rows.join(left, keys).groupBy(*keys, digit).agg(F.sum("__tokens").alias("__s"), F.first("__left").alias("__left"))
+        sums = rows.join(left, keys).groupBy(*keys, digit).agg(
+            F.sum("__tokens").alias("__s"), F.max("__tokens").alias("__one"), F.first("__left").alias("__left")
+        )
         run = Window.partitionBy(*keys).orderBy(digit)
         sums = sums.withColumn("__upto", F.sum("__s").over(run)).filter(F.col("__upto") > F.col("__left"))
-        first = sums.groupBy(*keys).agg(F.min_by(F.struct(digit, (F.col("__left") - F.col("__upto") + F.col("__s")).alias("l")), digit).alias("__x"))
+        inside = (F.col("__left") - F.col("__upto") + F.col("__s")).alias("l")
+        first = sums.groupBy(*keys).agg(F.min_by(F.struct(digit, "__one", inside), digit).alias("__x"))
         steps.append(digit)
-        left = stored(first.select(*keys, F.col(f"__x.{digit}").alias(digit), F.col("__x.l").alias("__left")), "mix-digits")
-    run = Window.partitionBy(*leaf).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.join(left, [*leaf, *steps]).withColumn("__upto", F.sum("__tokens").over(run))
-    # the first row that does not fit any more ends the prefix
-    return (
-        inside.filter(F.col("__upto") > F.col("__left"))
-        .groupBy(*leaf)
-        .agg(F.min(F.struct(*ORDER)).alias("__stop"))
-    )
+        left = first.select(*keys, f"__x.{digit}", "__x.__one", F.col("__x.l").alias("__left"))
+        left = stored(left if digit == DIGITS[-1] else left.drop("__one"), "mix-digits")
+    return left.select(*leaf, F.col("__h").alias("__stop"), F.expr("__left div __one").alias("__fit"))
 
 
 def mixed(
@@ -138,13 +133,13 @@ def mixed(
     An ``epoch`` column of ``docs`` is replaced; all others stay, but names that begin with two underscores are taken.
     Null level values are values like any other, null and empty texts count one token. Rows that repeat a key are cut
     one by one, and so are copies of a row. If all leaves together cannot meet the budget, everything is taken ``epochs``
-    times. An empty table gives no rows. ``docs`` is stored once, with row numbers.
+    times. An empty table gives no rows.
     """
-    docs = stored(docs.drop("epoch").withColumn("__at", F.monotonically_increasing_id()), "mix-documents")
+    docs = docs.drop("epoch")
     count = word_tokens(text) if tokens is None else tokens
     leaf = [f"__l{i}" for i in range(len(levels))]
     leaf_of = {c: key_text(name) for c, name in zip(leaf, levels, strict=True)}
-    narrow = docs.select("__at", *[c.alias(name) for name, c in (leaf_of | order_of(key, text, "__at", seed)).items()], count.alias("__tokens"))
+    narrow = docs.select(*[c.alias(name) for name, c in (leaf_of | order_of(key, text, seed)).items()], count.alias("__tokens"))
     narrow = stored(narrow, "mix-rows")
     leaves = stored(
         narrow.groupBy(*leaf).agg(F.sum("__tokens").alias("__has"), F.count(F.lit(1)).alias("__n")), "mix-leaves"
@@ -162,15 +157,14 @@ def mixed(
     plan = stored(plan.withColumn("__rest", F.col("__budget") - F.col("__full") * F.col("__has")), "mix-plan")
     partial = plan.filter(F.col("__rest") >= 1)
     stops = partial.select(*leaf).join(cut_rows(narrow, leaf, partial), leaf, "left").withColumn("__more", F.lit(1))
-    plan = stored(plan.join(stops, leaf, "left").select(*leaf, "__full", "__more", "__stop"), "mix-cuts")
-    # only leaves that are cut are compared row by row
-    order = order_of(key, text, "__at", seed)
-    picked = docs.withColumns(leaf_of).join(small_side(plan, n_leaves, 1024), leaf)
-    place = F.struct(*[(order[c] if c in order else F.col(c)).alias(c) for c in ORDER])
-    fits = F.when(F.col("__stop").isNull(), F.lit(True)).otherwise(place < F.col("__stop"))
-    last = F.when(F.col("__more").isNotNull() & fits, 1).otherwise(0)
-    times = F.col("__full") + last
-    return (
-        picked.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
-        .drop(*leaf, "__at", "__full", "__more", "__stop")
-    )
+    plan = stored(plan.join(stops, leaf, "left").select(*leaf, "__full", "__more", "__stop", "__fit"), "mix-cuts")
+    picked = docs.withColumns(leaf_of | {"__h": order_of(key, text, seed)["__h"]}).join(small_side(plan, n_leaves, 1024), leaf)
+    before = F.col("__stop").isNull() | (F.col("__h") < F.col("__stop"))
+    sure = picked.withColumn("__times", F.col("__full") + F.when(F.col("__more").isNotNull() & before, 1).otherwise(0))
+    # of the rows at which a leaf is cut, copies of one row, as many as fit
+    last = stored(picked.filter("__h = __stop").withColumn("__piece", F.spark_partition_id()), "mix-last")
+    last = copy_numbers(last, leaf, "__piece").withColumn("__times", F.col("__full") + F.when(F.col("__copy") < F.col("__fit"), 1).otherwise(0))
+    both = sure.filter(F.col("__stop").isNull() | (F.col("__h") != F.col("__stop"))).select(*docs.columns, "__times")
+    both = both.unionByName(last.select(*docs.columns, "__times"))
+    steps = F.when(F.col("__times") > 0, F.sequence(F.lit(0), F.col("__times").cast("int") - 1))
+    return both.withColumn("epoch", F.explode(steps)).drop("__times")

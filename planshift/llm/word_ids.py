@@ -121,16 +121,20 @@ class PieceIds:
         if len(self.place) + len(distinct) > MOST_PIECES:
             self._clear()
         known = self.place
-        if self.kind == "byte":
-            parts, counts = distinct, np.ones(len(distinct), dtype=np.int64)
-        else:
-            cuts = [(p,) if p in known else self._cut(p) for p in distinct]
-            parts = [part for cut in cuts for part in cut]
-            counts = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            self._learn(new)
-        at = np.fromiter((known[p] for p in parts), dtype=np.int64, count=len(parts))
+        at = np.fromiter((known.get(p, -1) for p in distinct), dtype=np.int64, count=len(distinct))
+        counts = np.ones(len(distinct), dtype=np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names = [distinct[i] for i in missing.tolist()]
+            if self.kind == "word":
+                cuts = [self._cut(p) for p in names]
+                counts[missing] = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+                names = [part for cut in cuts for part in cut]
+            new = [p for p in dict.fromkeys(names) if p not in known]
+            if new:
+                self._learn(new)
+            at = np.repeat(at, counts)
+            at[at < 0] = np.fromiter((known[p] for p in names), dtype=np.int64, count=len(names))
         lengths = self.length[at]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])]
