@@ -63,6 +63,29 @@ def fortnight_visits_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recent(spark, sf_dir, low=1, high=14, form="bucketed")
 
 
+BUSY = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END"
+
+
+@query(
+    "E3",
+    f"WITH seen AS (SELECT event_id, {BUSY} AS account_id, CAST(ts AS DATE) AS visit_day FROM events "
+    "WHERE event_type IN ('view', 'click')), "
+    f"bought AS (SELECT DISTINCT {BUSY} AS account_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase') "
+    "SELECT b.account_id, b.day, v.visit_day, event_id FROM bought b JOIN seen v "
+    "ON b.account_id = v.account_id AND date_diff('day', v.visit_day, b.day) BETWEEN 1 AND 14",
+)
+def busy_account_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single visits of the last fortnight, where a third of all events belong to one account."""
+    busy = F.expr(BUSY)
+    events = S.table(spark, sf_dir, "events").select(
+        "event_id", busy.alias("account_id"), F.to_date("ts").alias("visit_day"), F.col("event_type").alias("kind")
+    )
+    seen = events.filter(F.col("kind").isin(*S.VISIT_KINDS)).drop("kind")
+    bought = events.filter("kind = 'purchase'").select("account_id", F.col("visit_day").alias("day")).distinct()
+    hot = J.hot_cells(seen, "account_id", "visit_day", 1, 14)
+    return J.join_recent(bought, seen, "account_id", "day", "visit_day", 1, 14, "bucketed", hot=hot)
+
+
 @query(
     "E3",
     RECENT + " QUALIFY row_number() OVER (PARTITION BY b.account_id, b.day ORDER BY v.visit_day DESC) = 1",

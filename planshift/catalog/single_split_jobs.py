@@ -27,11 +27,13 @@ from planshift.catalog.single_splits import (
 )
 from planshift.catalog.sql_parts import given
 from planshift.models.evaluation import compare_families
-from planshift.models.families import fit, fit_per_class, score, score_per_class
+from planshift.models.families import fit, fit_per_class, score, score_per_class, tree_ensemble
+from planshift.models.selection import mask_names, select_by_genetic_search
 from planshift.operators.sampling import balanced_weight
 from planshift.plans.explanation import explain
 from planshift.plans.selection import select_features
 from planshift.plans.training import score_and_evaluate, train
+from planshift.session import work_path
 from planshift.sources import standins as S
 
 LEAF = f"CASE WHEN {SIDE} THEN left_p ELSE right_p END"
@@ -179,22 +181,95 @@ def one_split_families_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare_families(models, parts, "target", KEYS), *METRICS)
 
 
+MASKED = ("web_view", "web_click", "total_view_l3d", "mix_code")
+# the first population already holds every mask of four features with this seed
+SEARCH = {"folds": 3, "seed": 2, "max_features": len(MASKED)}
+EVERY_MASK = range(1, 1 << len(MASKED))
+SPREAD = "n_l * (y_l / n_l) * (1 - y_l / n_l) + (n - n_l) * ((y - y_l) / (n - n_l)) * (1 - (y - y_l) / (n - n_l))"
+MASK_PARTS = {
+    "folded": f"SELECT *, CAST(floor({HASH.replace('|3', '|2')} * 3) AS INTEGER) AS fold, {balanced('matrix')} AS w FROM matrix",
+    "g_long": " UNION ALL ".join(
+        f"SELECT account_id, day, '{f}' AS feature, {i} AS place, {f} AS x, target, w, fold FROM folded"
+        for i, f in enumerate(MASKED)
+    ),
+    "held": "SELECT unnest([0, 1, 2]) AS held",
+    "g_values": "SELECT held, feature, place, x, sum(w) AS n, sum(w * target) AS y FROM g_long JOIN held ON fold <> held "
+                "GROUP BY 1, 2, 3, 4",
+    "g_sides": "SELECT held, feature, place, (x + lead(x) OVER f) / 2.0 AS cut, sum(n) OVER f AS n_l, sum(y) OVER f AS y_l, "
+               "sum(n) OVER (PARTITION BY held, feature) AS n, sum(y) OVER (PARTITION BY held, feature) AS y "
+               "FROM g_values WINDOW f AS (PARTITION BY held, feature ORDER BY x)",
+    "g_masks": " UNION ALL ".join(
+        f"SELECT {m} AS mask, '{','.join(f for i, f in enumerate(MASKED) if m >> i & 1)}' AS features, {m.bit_count()} AS size, "
+        f"'{''.join(str(i) for i in range(len(MASKED)) if m >> i & 1)}' AS places"
+        for m in EVERY_MASK
+    ),
+    "g_best": "SELECT mask, held, feature, cut, y_l / n_l AS left_p, (y - y_l) / (n - n_l) AS right_p FROM g_sides "
+              "JOIN g_masks ON contains(places, CAST(place AS VARCHAR)) WHERE cut IS NOT NULL "
+              f"QUALIFY row_number() OVER (PARTITION BY mask, held ORDER BY {SPREAD}, place, cut) = 1",
+    "g_folds": "SELECT mask, held, avg(CASE WHEN (CASE WHEN x <= cut THEN left_p ELSE right_p END > 0.5) = (target = 1) "
+               "THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM g_long l JOIN g_best b "
+               "ON l.feature = b.feature AND l.fold = b.held GROUP BY 1, 2",
+    "g_scores": "SELECT mask, features, size, places, avg(accuracy) AS accuracy FROM g_folds JOIN g_masks USING (mask) "
+                "GROUP BY 1, 2, 3, 4",
+    "g_chosen": "SELECT features FROM g_scores ORDER BY round(accuracy, 12) DESC, size, places LIMIT 1",
+}
+
+
+@query(
+    "J11 J12",
+    given("matrix", more=MASK_PARTS)
+    + f"SELECT features, {r6('accuracy')} AS accuracy, features = (SELECT features FROM g_chosen) AS chosen FROM g_scores",
+)
+def one_split_genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mask the search has scored, by the names it stands for, and the one it chose.
+
+    Population, generations, rates, folds and patience are the full ones; the forest is one split.
+    """
+    rows = balanced_weight(matrix(spark, sf_dir), "target", (0, 1))
+    forest = tree_ensemble("balanced_forest", "target", "weight", **ONE_SPLIT)
+    chosen, found = select_by_genetic_search(
+        rows, MASKED, "target", KEYS, forest, weight="weight", parallelism=8, memo=work_path(spark, "masks"), **SEARCH
+    )
+    table = [
+        (",".join(mask_names(mask, MASKED)), score, mask_names(mask, MASKED) == chosen)
+        for mask, score in found.scores.items()
+    ]
+    return rounded(spark.createDataFrame(table, "features string, accuracy double, chosen boolean"), "accuracy")
+
+
+TOP = 2
+EVIDENCE_OF = {
+    "i_cells": " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {f} AS x, count(*) FILTER (WHERE target = 1) AS e, "
+        f"count(*) FILTER (WHERE target = 0) AS ne FROM matrix GROUP BY 2"
+        for f in SPLIT_FEATURES
+    ),
+    "i_shares": "SELECT feature, e / sum(e) OVER (PARTITION BY feature) AS e, ne / sum(ne) OVER (PARTITION BY feature) AS ne "
+                "FROM i_cells",
+    "i_best": "SELECT feature FROM i_shares GROUP BY 1 ORDER BY sum((e - ne) * ln((e + 0.001) / (ne + 0.001))) DESC, 1 "
+              f"LIMIT {TOP}",
+}
+
+
 @query(
-    "N5 J9 J10",
+    "N5 J9 J10 J11 J12 F11",
     given("matrix", more={
-        **split_parts("1.0::DOUBLE"), **PRUNE,
+        **split_parts("1.0::DOUBLE"), **PRUNE, **MASK_PARTS, **EVIDENCE_OF,
         "left_two": "SELECT feature, row_number() OVER (ORDER BY feature) AS place FROM three "
                     "WHERE feature <> (SELECT feature FROM worst)",
     })
-    + "SELECT 'importance' AS method, feature FROM leaves "
+    + "SELECT 'importance' AS method, feature FROM leaves UNION ALL SELECT 'information', feature FROM i_best "
+    "UNION ALL SELECT 'genetic', unnest(string_split(features, ',')) FROM g_chosen "
     f"UNION ALL SELECT 'collinearity', feature FROM worst WHERE vif < {PRUNE_LIMIT} "
     f"UNION ALL SELECT 'collinearity', l.feature FROM left_two l CROSS JOIN worst w WHERE NOT (place = 1 AND w.rest >= {PRUNE_LIMIT})",
 )
 def features_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the selection job keeps by two of its methods."""
-    lines = S.table(spark, sf_dir, "lineitem")
+    """What the selection job keeps by each of its methods."""
+    lines, rows = S.table(spark, sf_dir, "lineitem"), matrix(spark, sf_dir)
     chosen = {
-        "importance": select_features(matrix(spark, sf_dir), SPLIT_FEATURES, "target", "importance", size=3, **ONE_SPLIT),
+        "importance": select_features(rows, SPLIT_FEATURES, "target", "importance", size=3, **ONE_SPLIT),
+        "information": select_features(rows, SPLIT_FEATURES, "target", "information", top=TOP),
+        "genetic": select_features(rows, MASKED, "target", "genetic", KEYS, forest=ONE_SPLIT, parallelism=8, **SEARCH),
         "collinearity": select_features(lines, LINES, "", "collinearity", limit=PRUNE_LIMIT),
     }
     found = [(method, name) for method, names in chosen.items() for name in names]

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Binarizer, VectorSlicer
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from planshift.functions.fixed_values import GENETIC
 from planshift.models.families import assemble
 from planshift.operators.sampling import mark_folds
-from planshift.session import shared_folder
+from planshift.session import folder_exists, shared_folder
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,7 @@ class Search:
     fitness: float
     generations: int
     evaluated: int
+    scores: dict[Mask, float] = field(default_factory=dict)  # of every mask scored
 
 
 def mask_names(mask: Mask, features: Sequence[str]) -> list[str]:
@@ -83,19 +84,26 @@ def genetic_search(
     flip_each: float = GENETIC["flip_each"],
     tournament: int = GENETIC["tournament"],
     patience: int = GENETIC["patience"],
+    scored: Mapping[Mask, float] | None = None,
 ) -> Search:
     """Best mask of at most ``max_features`` features found by selection, crossover and mutation.
 
-    ``fitness`` scores a list of new masks at once; each distinct mask is scored one time.
-    Empty and too large masks lose against any scored one.
+    ``fitness`` scores a list of new masks at once; each distinct mask is scored one time, and
+    those in ``scored`` not at all.  Empty and too large masks lose against any scored one.
+    Of the best masks the one with the fewest, then the earliest features is returned.  The
+    draws hang on the seed and the scores alone, so a search that starts again with the
+    scores of a broken one takes the same way.
     """
     rng = random.Random(seed)
-    known: dict[Mask, float] = {}
+    known: dict[Mask, float] = dict(scored or {})
+    met: set[Mask] = set()
 
     def grade(masks: list[Mask]) -> list[float]:
-        new = [m for m in dict.fromkeys(masks) if m not in known and 0 < sum(m) <= max_features]
+        fit = [m for m in dict.fromkeys(masks) if 0 < sum(m) <= max_features]
+        met.update(fit)
+        new = [m for m in fit if m not in known]
         known.update(zip(new, fitness(new) if new else []))
-        return [known.get(m, float("-inf")) for m in masks]
+        return [known[m] if m in met else float("-inf") for m in masks]
 
     def newcomer() -> Mask:
         chosen = set(rng.sample(range(width), rng.randint(1, min(max_features, width))))
@@ -103,7 +111,7 @@ def genetic_search(
 
     herd = [newcomer() for _ in range(population)]
     grades = grade(herd)
-    best, best_grade = max(zip(herd, grades), key=lambda pair: pair[1])
+    best_grade = max(grades)
     flat = done = 0
     for done in range(1, generations + 1):
         rivals = [rng.sample(range(population), min(tournament, population)) for _ in range(population)]
@@ -120,13 +128,31 @@ def genetic_search(
                         mask[i] = not mask[i]
         herd = [tuple(m) for m in chosen]
         grades = grade(herd)
-        leader, leader_grade = max(zip(herd, grades), key=lambda pair: pair[1])
-        flat = 0 if leader_grade > best_grade else flat + 1
-        if leader_grade > best_grade:
-            best, best_grade = leader, leader_grade
+        flat = 0 if max(grades) > best_grade else flat + 1
+        best_grade = max(best_grade, *grades)
         if flat >= patience:
             break
-    return Search(best, best_grade, done, len(known))
+    scores = {m: known[m] for m in met}
+    tied = [m for m, grade in scores.items() if grade == best_grade]
+    best = min(tied, key=lambda m: (sum(m), [i for i, on in enumerate(m) if on]))
+    return Search(best, best_grade, done, len(met), scores)
+
+
+MEMO = "mask string, score double"
+
+
+def recorded_scores(spark: SparkSession, path: str) -> dict[Mask, float]:
+    """The scores that ``record_scores`` has written under ``path`` so far."""
+    # the folder appears with the first generation written
+    if not folder_exists(spark, path):
+        return {}
+    rows = spark.read.schema(MEMO).parquet(path).collect()  # at most population * generations masks
+    return {tuple(c == "1" for c in r["mask"]): r["score"] for r in rows}
+
+
+def record_scores(spark: SparkSession, path: str, scores: Mapping[Mask, float]) -> None:
+    rows = [("".join("01"[on] for on in mask), score) for mask, score in scores.items()]
+    spark.createDataFrame(rows, MEMO).coalesce(1).write.mode("append").parquet(path)
 
 
 def select_by_genetic_search(
@@ -139,14 +165,19 @@ def select_by_genetic_search(
     parallelism: int = 4,
     seed: int = 0,
     weight: str | None = None,
+    memo: str | None = None,
     **settings,
 ) -> tuple[list[str], Search]:
     """Genetic search whose fitness is the mean k-fold accuracy of ``estimator`` on the masked features.
 
-    All new masks of a generation go into one cross-validation over one cached frame; folds
-    follow the hash of the row keys.  ``weight`` is the column that ``estimator`` weighs rows by.
+    All new masks of a generation go into one cross-validation over one cached frame, with
+    ``parallelism`` fits at a time; folds follow the hash of the row keys.  ``weight`` is the
+    column that ``estimator`` weighs rows by.  With a ``memo`` path in shared storage the scores
+    of each generation are written there, and a search on the same rows and settings that was
+    broken off goes on after its last whole generation.
     """
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
     folded = mark_folds(df, keys, folds, seed)
     vectors = assemble(folded, features, "all_features").select("all_features", label, "fold", *([weight] if weight else []))
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
@@ -165,10 +196,14 @@ def select_by_genetic_search(
             foldCol="fold",
             parallelism=parallelism,
         )
-        return [float(m) for m in validator.fit(vectors).avgMetrics]
+        found = [float(m) for m in validator.fit(vectors).avgMetrics]
+        if memo:
+            record_scores(spark, memo, dict(zip(masks, found)))
+        return found
 
     try:
-        result = genetic_search(len(features), fitness, seed, **settings)
+        scored = recorded_scores(spark, memo) if memo else None
+        result = genetic_search(len(features), fitness, seed, scored=scored, **settings)
     finally:
         vectors.unpersist()
     return mask_names(result.mask, features), result

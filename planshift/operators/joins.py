@@ -91,6 +91,24 @@ def within_days(later: Column, earlier: Column, low: int, high: int) -> Column:
     return F.datediff(later, earlier).between(low, high)
 
 
+def _cell(key: str, stretch: Column) -> Column:
+    # two cells under one number are spread alike, no more
+    return F.xxhash64(key, stretch)
+
+
+def _stretch(day: Column, low: int, high: int) -> Column:
+    return F.floor(F.unix_date(day) / (high - low + 1))
+
+
+def hot_cells(visits: DataFrame, key: str, visit_day: str, low: int = 0, high: int = 2, share: float = 0.01) -> dict:
+    """The (account, stretch) cells of the bucketed ``join_recent`` that hold at least ``share`` of the visits.
+
+    One pass over two columns with a small sketch per task, as in ``hot_values``.
+    """
+    cells = visits.select(_cell(key, _stretch(F.col(visit_day), low, high)).alias("_cell"))
+    return hot_values(cells, "_cell", share=share)["_cell"]
+
+
 def join_recent(
     sales: DataFrame,
     visits: DataFrame,
@@ -101,13 +119,16 @@ def join_recent(
     high: int = 2,
     form: str = "exploded",
     latest_only: bool = False,
+    hot: Mapping | None = None,
 ) -> DataFrame:
     """Visits made ``low`` to ``high`` days before each sale of the same account.
 
     ``exploded`` turns the interval into ``high - low + 1`` exact days and joins on
     (account, day), so one busy account is spread over its days.  ``bucketed`` is for wide
     intervals: time is cut into stretches as long as the interval, a sale looks into the two
-    it can reach and filters the days there.  Both give the same rows.
+    it can reach and filters the days there.  The cells of ``hot`` (from ``hot_cells`` with the
+    same interval) are spread over several tasks: each visit goes to one of them, the sales of
+    the cell to all.  All forms give the same rows.
     ``latest_only`` keeps the last visit of each sale instead of all of them; equal sales stay apart.
     """
     names = sales.columns
@@ -118,18 +139,13 @@ def join_recent(
         wanted = sales.withColumn(visit_day, F.explode(F.sequence(first, last_day)))
         joined = wanted.join(visits, [key, visit_day])
     elif form == "bucketed":
-        width = high - low + 1
-
-        def stretch(day: Column) -> Column:
-            return F.floor(F.unix_date(day) / width)
-
-        reach = F.array_distinct(F.array(stretch(first), stretch(last_day)))
-        placed = visits.withColumn("_stretch", stretch(F.col(visit_day)))
-        joined = (
-            sales.withColumn("_stretch", F.explode(reach))
-            .join(placed, [key, "_stretch"])
-            .filter(within_days(F.col(sale_day), F.col(visit_day), low, high))
-        )
+        ends = [_stretch(first, low, high), _stretch(last_day, low, high)]
+        reached = sales.withColumn("_stretch", F.explode(F.array_distinct(F.array(*ends))))
+        placed = visits.withColumn("_stretch", _stretch(F.col(visit_day), low, high))
+        cell = _cell(key, F.col("_stretch"))
+        placed, reached = placed.withColumn("_cell", cell), reached.withColumn("_cell", cell)
+        met = lookup_join(placed, reached, [key, "_stretch", "_cell"], "inner", "_cell", hot)
+        joined = met.filter(within_days(F.col(sale_day), F.col(visit_day), low, high))
     else:
         raise ValueError(f"unknown form {form!r}")
     extra = [c for c in visits.columns if c not in sales.columns and c != visit_day]

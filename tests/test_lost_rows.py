@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planshift.functions.expressions import coded
 from planshift.operators.collinearity import gram_matrix, inflation_factors
 from planshift.operators.gains import area_under_curve, gains_table
-from planshift.operators.joins import hot_values, join_recent, lookup_join
+from planshift.operators.joins import hot_cells, hot_values, join_recent, lookup_join
 from planshift.operators.ranking import global_rank, running_totals
 
 
@@ -71,3 +71,42 @@ def test_salts_grow_with_the_share(spark):
         plan = lookup_join(many, one, ["k"], "left", "k", {0: share})._jdf.queryExecution().toString()
         assert f"THEN {math.ceil(2 * share * 8) + 1}" in plan
     assert lookup_join(many, one, ["k"], "left", "k", {0: 0.5}).count() == 100
+
+
+def test_busy_cells_of_the_bucketed_join_are_spread(spark):
+    """One account holds a third of the visits, on one day."""
+    visits = spark.range(9000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("visit"),
+        F.date_add(F.lit("2024-01-01"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 28).cast("int")).alias("seen"),
+    )
+    sales = spark.range(1500).select(
+        F.when(F.col("id") < 10, 0).otherwise(F.col("id")).alias("k"),
+        F.date_add(F.lit("2024-01-01"), F.when(F.col("id") < 10, F.col("id") + 4).otherwise(F.col("id") % 40).cast("int")).alias("sold"),
+    )
+    hot = hot_cells(visits, "k", "seen", 1, 14)
+    assert len(hot) == 1 and 0.3 < next(iter(hot.values())) < 0.4
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for name, value in zip(names, ("false", "-1")):
+            spark.conf.set(name, value)
+        plain, spread = (join_recent(sales, visits, "k", "sold", "seen", 1, 14, "bucketed", hot=h) for h in (None, hot))
+        rows = [sorted(map(tuple, df.collect())) for df in (plain, spread)]
+        shares = [
+            df.filter("k = 0").groupBy(F.spark_partition_id().alias("at")).count().agg((F.max("count") / F.sum("count")).alias("m")).first()["m"]
+            for df in (plain, spread)
+        ]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert rows[0] == rows[1] and len(rows[0]) > 20000
+    assert shares[0] == 1 and shares[1] < 0.6
+
+
+def test_rows_without_key_or_day_match_nothing_in_any_form(spark):
+    visits = spark.createDataFrame([(1, None), (None, dt.date(2024, 1, 1)), (1, dt.date(2024, 1, 1))], "k int, seen date")
+    sales = spark.createDataFrame([(1, dt.date(2024, 1, 2)), (None, dt.date(2024, 1, 2)), (1, None)], "k int, sold date")
+    hot = hot_cells(visits, "k", "seen", 0, 2, share=0.0)
+    for settings in ({"form": "exploded"}, {"form": "bucketed"}, {"form": "bucketed", "hot": hot}):
+        got = join_recent(sales, visits, "k", "sold", "seen", 0, 2, **settings).collect()
+        assert [r["seen"] for r in got] == [dt.date(2024, 1, 1)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planshift.catalog import ENTRIES
 from planshift.models import explain as X
-from planshift.models import families
+from planshift.models import families, selection
 from planshift.models.evaluation import compare_families, score_samples
 from planshift.models.families import FAMILIES, fit, fit_per_class, score, score_per_class, stages, tree_ensemble
 from planshift.models.selection import backward_elimination, genetic_search, mask_names, select_by_genetic_search
@@ -157,6 +157,34 @@ def test_genetic_search_stops_when_flat():
     assert found.generations == 3
 
 
+def test_genetic_search_goes_on_from_known_scores():
+    def fitness(masks):
+        asked.extend(masks)
+        return [sum(m) - 2.0 * m[3] for m in masks]
+
+    asked = []
+    whole = genetic_search(8, fitness, seed=5)
+    first = dict(list(whole.scores.items())[:60])
+    asked = []
+    again = genetic_search(8, fitness, seed=5, scored=first)
+    assert (again.mask, again.scores, again.generations) == (whole.mask, whole.scores, whole.generations)
+    assert not set(asked) & set(first) and set(asked) | set(first) == set(whole.scores)
+
+
+def test_genetic_search_takes_the_smallest_of_equal_masks():
+    found = genetic_search(5, lambda masks: [float(m[1] or m[4]) for m in masks], seed=1)
+    assert mask_names(found.mask, "abcde") == ["b"]
+
+
+def test_genetic_selection_takes_up_its_memo(df, tmp_path, monkeypatch):
+    forest = tree_ensemble("balanced_forest", "y", numTrees=1)
+    settings = {"folds": 2, "population": 5, "generations": 1, "max_features": 2, "memo": str(tmp_path / "memo")}
+    names, found = select_by_genetic_search(df, FEATURES, "y", ["id"], forest, **settings)
+    monkeypatch.setattr(selection, "CrossValidator", None)  # nothing is left to fit
+    again, second = select_by_genetic_search(df, FEATURES, "y", ["id"], forest, **settings)
+    assert again == names and second.scores == found.scores
+
+
 def test_genetic_selection_on_spark(df):
     forest = tree_ensemble("balanced_forest", "y", numTrees=3)
     names, found = select_by_genetic_search(df, FEATURES, "y", ["id"], forest, folds=2, population=4, generations=1, max_features=2)
