@@ -7,6 +7,7 @@ round counts are kept small, as the README lists; they are parameters.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from planshift.models.evaluation import (
     sample_confusion,
     sample_report,
     score_samples,
+    stack_samples,
 )
 from planshift.models.families import fit, fit_per_class, score, score_per_class, tree_ensemble
+from planshift.models.network import Network, fit_network, network_scores, network_share
 from planshift.models.selection import backward_elimination, select_by_genetic_search
 from planshift.operators.collinearity import prune_collinear
 from planshift.operators.gains import class_scores, gains_table
@@ -70,7 +73,7 @@ def boosted_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J4 J8")
 def deep_boosted_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(matrix(spark, sf_dir), "boosted_trees_deep", maxIter=10)
+    return _scores(matrix(spark, sf_dir), "boosted_trees_deep")
 
 
 @query("J5 J8")
@@ -83,6 +86,57 @@ def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(matrix(spark, sf_dir), "neural", maxIter=20)
 
 
+@query("J6 J8")
+def penalised_network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers of 100 rectified units, penalty 0.1, at most 1,000 steps."""
+    parts = samples(matrix(spark, sf_dir))
+    model = fit_network(parts["train"], S.FEATURES, "target")
+    return network_scores(model, stack_samples(parts), ["sample", *KEYS, "target"])
+
+
+NETWORK_INPUTS = ("web_view", "web_click", "total_view_l7d", "total_click_l7d", "mix_code")
+UNITS = (len(NETWORK_INPUTS), 6, 4, 1)
+
+
+def formula_network() -> Network:
+    """Weights by rule, so that SQL can state them too: ((7i + 3j + 2l) mod 9 - 4) / 8, offsets (j mod 3 - 1) / 4."""
+    layers = []
+    for place, (before, units) in enumerate(zip(UNITS, UNITS[1:])):
+        i, j = np.indices((before, units))
+        layers.append((((7 * i + 3 * j + 2 * place) % 9 - 4) / 8, (np.arange(units) % 3 - 1) / 4))
+    return Network(NETWORK_INPUTS, np.full(UNITS[0], 1.0), np.full(UNITS[0], 2.0), layers)
+
+
+def _layer(place: int) -> str:
+    total = f"sum(v * ((7 * i + 3 * j + 2 * {place}) % 9 - 4) / 8.0) + (j % 3 - 1) / 4.0"
+    value = total if place == len(UNITS) - 2 else f"greatest({total}, 0)"
+    return (
+        f"SELECT account_id, day, target, j AS i, {value} AS v FROM layer_{place} "
+        f"CROSS JOIN (SELECT unnest(range({UNITS[place + 1]})) AS j) GROUP BY account_id, day, target, j"
+    )
+
+
+@query(
+    "J6 J8",
+    given("matrix", more={
+        "layer_0": " UNION ALL ".join(
+            f"SELECT account_id, day, target, {i} AS i, ({c} - 1) / 2.0::DOUBLE AS v FROM matrix" for i, c in enumerate(NETWORK_INPUTS)
+        ),
+        **{f"layer_{k + 1}": _layer(k) for k in range(len(UNITS) - 1)},
+    })
+    + f"SELECT account_id, day, target, CASE WHEN v > 0 THEN 1 ELSE 0 END AS pred, {r6('1 / (1 + exp(-v))')} AS p, "
+    f"TRUE AS same_as_expression FROM layer_{len(UNITS) - 1}",
+)
+def formula_network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ways through a network with given weights."""
+    rows = S.activity_matrix(spark, sf_dir)
+    network = formula_network()
+    share = network_share(network).alias("_share")
+    scored = network_scores(network, rows.select(*KEYS, "target", *NETWORK_INPUTS, share), [*KEYS, "target", "_share"])
+    same = (F.abs(F.col("p") - F.col("_share")) < 1e-12).alias("same_as_expression")
+    return rounded(scored.select(*KEYS, "target", "pred", "p", same), "p")
+
+
 @query(
     "J8 I4",
     given("matrix")
@@ -147,9 +201,9 @@ def features_by_collinearity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J11 J12")
 def features_by_genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = balanced_weight(samples(matrix(spark, sf_dir))["train"], "target", (0, 1))
-    forest = tree_ensemble("balanced_forest", "target", "weight", numTrees=5)
+    forest = tree_ensemble("balanced_forest", "target", "weight")
     names, found = select_by_genetic_search(
-        train, S.FEATURES, "target", KEYS, forest, folds=2, weight="weight", population=4, generations=1
+        train, S.FEATURES, "target", KEYS, forest, weight="weight", population=8, generations=1, parallelism=8
     )
     return spark.createDataFrame([(n, found.fitness) for n in names], "feature string, accuracy double")
 

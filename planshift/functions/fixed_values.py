@@ -62,6 +62,8 @@ BOOSTED_TREES_DEEP = {
 LOGISTIC_C = 1.0
 NEURAL_HIDDEN = (100, 100)
 NEURAL_MAX_ITER = 1000
+NEURAL_PENALTY = 0.1
+NEURAL_BATCH = 200
 GENETIC = {
     "max_features": 5, "population": 50, "generations": 40, "folds": 3, "crossover": 0.5,
     "mutation": 0.2, "swap_each": 0.5, "flip_each": 0.05, "tournament": 3, "patience": 10,

@@ -280,7 +280,7 @@ def test_evaluation_tables(df):
 
 @pytest.mark.parametrize("name", [
     "families_compared", "gain_importance", "split_count_importance", "tree_contributions", "tree_contributions_add_up",
-    "development_job", "explanation_job",
+    "development_job", "explanation_job", "deep_boosted_tree_scores",
 ])
 def test_boosted_queries_run_all_rounds(spark, small, monkeypatch, name):
     """The settings that reach the fit; the fit itself is left out."""
@@ -291,11 +291,11 @@ def test_boosted_queries_run_all_rounds(spark, small, monkeypatch, name):
     made = families.tree_ensemble
 
     def noted(family, *args, **params):
-        if family == "boosted_trees":
+        if family.startswith("boosted_trees"):
             raise Reached(made(family, *args, **params).getMaxIter())
         return made(family, *args, **{**params, "numTrees": 1})
 
     monkeypatch.setattr(families, "tree_ensemble", noted)
     with pytest.raises(Reached) as reached:
         ENTRIES[name].build(spark, small)
-    assert reached.value.args == (400,)
+    assert reached.value.args == (1000 if name == "deep_boosted_tree_scores" else 400,)

@@ -58,5 +58,5 @@ def test_every_query_without_sql_depends_on_a_fit_or_matrix_algebra():
         "features_by_elimination", "features_by_collinearity", "features_by_genetic_search",
         "model_report_by_sample", "families_compared", "gain_importance", "split_count_importance",
         "tree_contributions", "selection_job", "training_job", "evaluation_job", "explanation_job",
-        "development_job",
+        "development_job", "penalised_network_scores",
     }
