@@ -5,8 +5,9 @@ text are the ids of its pieces, one after another. The pieces of an Arrow batch
 ones go to the tokenizer in one call, and the ids of all texts are gathered by numpy. Texts whose white space is not of
 that simple kind, and texts that hold the string of an added token, are encoded whole.
 
-The word vocabulary is without case and cuts words at punctuation. Its pieces are looked up in ASCII lower case, without
-the punctuation at both ends, which is a piece of its own.
+Pieces are looked up without the ASCII punctuation at their ends, which both vocabularies cut off and which is a piece of
+its own; those of the word vocabulary, which is without case, in ASCII lower case. A new piece of ASCII letters, digits or
+punctuation alone needs no pre-tokenizer and goes to the tokenizer's model at once.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ WIDE_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{2
 CONTROL = r"\x00-\x09\x0b-\x1f"
 # ASCII punctuation at the ends of a piece is a token run of its own; an apostrophe may be part of one with letters.
 EDGE = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+SPACE_BYTE = "\u0120"  # the byte of a space in a byte-level vocabulary
 # A space or line feed must stand alone between words; one empty line is simple too.
 BYTE_ODD = rf"[{CONTROL}{WIDE_SPACE}]|  | \n|\n |\n\n\n|^[ \n]|[ \n]$"
 WORD_ODD = r"[\x00-\x08\x0e-\x1f]"
@@ -50,6 +52,7 @@ class PieceIds:
 
     def __init__(self, file: str, kind: str):
         self.tokenizer = _without_cache(file)
+        self.model = self.tokenizer.model
         self.kind = kind
         added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = "|".join(x for x in (BYTE_ODD if kind == "byte" else WORD_ODD, added) if x)
@@ -82,19 +85,41 @@ class PieceIds:
 
     def _spoken(self, piece: str) -> str:
         """What a piece stands for in its text."""
-        if self.kind == "word" or piece[0] == "\n":
-            return piece
         return piece[1:] if piece[0] == "\x01" else " " + piece
 
+    def _runs(self, piece: str) -> tuple[str, ...]:
+        """What the pre-tokenizer makes of a piece of ASCII letters, digits or punctuation alone; nothing for any other."""
+        lead, body = "", piece
+        if self.kind == "byte":
+            lead, body = ("", piece[1:]) if piece[:1] == "\x01" else (SPACE_BYTE, piece)
+        if not body or not body.isascii():
+            return ()
+        if body.isalpha() or not body.strip(EDGE):
+            return (lead + body,)
+        if body.isdigit():
+            return (lead + body,) if self.kind == "byte" else tuple(body)
+        return ()
+
     def _learn(self, names: list[str]) -> None:
-        """Encodes new pieces in one call, apart by a marker that no piece holds."""
-        lone = [n for n in names if n[:1] in ("\n", "\x01", "")] if self.kind == "byte" else []
-        if lone:
-            out = [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(
-                [self._spoken(n) if n else "" for n in lone], add_special_tokens=False)]
-            self._add(lone, np.concatenate(out), np.asarray([len(x) for x in out]))
-        held = set(lone)
-        rest = [n for n in names if n not in held] if lone else names
+        """Encodes new pieces; those of several runs in one call, apart by a marker that no piece holds."""
+        plain, lone, rest, flat, lengths = [], [], [], [], []
+        tokenize = self.model.tokenize
+        for name in names:
+            if runs := self._runs(name):
+                ids = [t.id for run in runs for t in tokenize(run)]
+                plain.append(name)
+                lengths.append(len(ids))
+                flat += ids
+            elif self.kind == "byte" and name in ("", "\x01", "\n"):
+                lone.append(name)
+            else:
+                rest.append(name)
+        for name in lone:
+            ids = self._encode(name.removeprefix("\x01"))
+            lengths.append(len(ids))
+            flat += ids
+        if lengths:
+            self._add(plain + lone, np.asarray(flat, dtype=np.uint32), np.asarray(lengths))
         for at in range(0, len(rest), 20_000):
             part = rest[at:at + 20_000]
             if self.kind == "byte":
@@ -106,7 +131,9 @@ class PieceIds:
             self._add(part, np.delete(ids, cuts), lengths)
 
     def _cut(self, piece: str) -> tuple[str, ...]:
-        """A piece of the word vocabulary apart from the punctuation at its ends, where that borders on letters or digits."""
+        """A piece apart from the punctuation at its ends, where that borders on letters or digits."""
+        if self.kind == "byte":
+            return self._cut_bytes(piece)
         core = piece.strip(EDGE)
         if not core or len(core) == len(piece):
             return (piece,)
@@ -116,6 +143,29 @@ class PieceIds:
             return (piece,)
         return tuple(x for x in (head, core, tail) if x)
 
+    def _cut_bytes(self, piece: str) -> tuple[str, ...]:
+        """The same in the byte vocabulary, where only the first part keeps the space before it.
+
+        A piece without that space keeps the punctuation before it, as an apostrophe there may be part of a token.
+        """
+        if piece[:1] in ("\n", "\x01"):
+            front, body = ("\n",) if piece[0] == "\n" else (), piece[1:]
+            if not body:
+                return (piece,)
+            core = body.rstrip(EDGE)
+            if not core or len(core) == len(body) or not core[-1].isascii() or not core[-1].isalnum():
+                return (*front, "\x01" + body)
+            return (*front, "\x01" + core, "\x01" + body[len(core):])
+        core = piece.strip(EDGE)
+        if not core or len(core) == len(piece):
+            return (piece,)
+        at = len(piece) - len(piece.lstrip(EDGE))
+        tail = piece[at + len(core):]
+        if not core[0].isascii() or not core[0].isalnum() or not core[-1].isascii() or not core[-1].isalnum():
+            return (piece,)
+        parts = (piece[:at], "\x01" + core) if at else (core,)
+        return (*parts, "\x01" + tail) if tail else parts
+
     def ids_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces, one piece after another, with the start and length of each."""
         if len(self.place) + len(distinct) > MOST_PIECES:
@@ -126,10 +176,9 @@ class PieceIds:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             names = [distinct[i] for i in missing.tolist()]
-            if self.kind == "word":
-                cuts = [self._cut(p) for p in names]
-                counts[missing] = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
-                names = [part for cut in cuts for part in cut]
+            cuts = [self._cut(p) for p in names]
+            counts[missing] = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+            names = [part for cut in cuts for part in cut]
             new = [p for p in dict.fromkeys(names) if p not in known]
             if new:
                 self._learn(new)

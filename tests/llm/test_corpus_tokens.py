@@ -1,5 +1,6 @@
 """Token files and packing: exact round trips against the tokenizer itself."""
 
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -41,6 +42,16 @@ def test_pieces_give_the_ids_of_the_tokenizer(file, kind, monkeypatch):
             assert ids[bounds[i]:bounds[i + 1]].tolist() == want.tolist(), repr(texts[i])
 
 
+@pytest.mark.parametrize(("file", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_pieces_of_any_letters_digits_and_punctuation(file, kind):
+    draw = random.Random(11)
+    parts = [*"stdmlrvex'\"’.,-!(/09ÁéßΣ٣Ⅷ日\u0301İ_\n ", "'s", "'ll", "'re", " '", "\n'", " \"", "...", "word", "Word", " 2019", "\x7f"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 25))) for _ in range(4000)]
+    ids, bounds = PieceIds(file, kind).encode(pa.array(texts))
+    for i, want in enumerate(whole(file, texts, [])):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == want.tolist(), repr(texts[i])
+
+
 def test_token_files_round_trip(spark):
     folder = work_path(spark, "token-test")
     files = write_token_files(corpus.frame(spark), folder, BYTE, sequence_length=16)
