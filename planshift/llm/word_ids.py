@@ -6,8 +6,8 @@ ones go to the tokenizer in one call, and the ids of all texts are gathered by n
 that simple kind, and texts that hold the string of an added token, are encoded whole.
 
 Pieces are looked up without the ASCII punctuation at their ends, which both vocabularies cut off and which is a piece of
-its own; those of the word vocabulary, which is without case, in ASCII lower case. A new piece of ASCII letters, digits or
-punctuation alone needs no pre-tokenizer and goes to the tokenizer's model at once.
+its own; those of the word vocabulary, which is without case, in ASCII lower case. A new piece of Latin letters, ASCII digits
+or ASCII punctuation alone needs no pre-tokenizer and goes to the tokenizer's model at once.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ CONTROL = r"\x00-\x09\x0b-\x1f"
 # ASCII punctuation at the ends of a piece is a token run of its own; an apostrophe may be part of one with letters.
 EDGE = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 SPACE_BYTE = "\u0120"  # the byte of a space in a byte-level vocabulary
+LATIN_END = "\u0250"  # letters before it are in one composed form, and every version of Unicode knows them
+# Byte-level vocabularies write bytes as characters: those that show in Latin-1 as they are, all others from U+0100 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _SHOWN], range(0x100, 0x200)))
 # A space or line feed must stand alone between words; one empty line is simple too.
 BYTE_ODD = rf"[{CONTROL}{WIDE_SPACE}]|  | \n|\n |\n\n\n|^[ \n]|[ \n]$"
 WORD_ODD = r"[\x00-\x08\x0e-\x1f]"
@@ -88,12 +92,20 @@ class PieceIds:
         return piece[1:] if piece[0] == "\x01" else " " + piece
 
     def _runs(self, piece: str) -> tuple[str, ...]:
-        """What the pre-tokenizer makes of a piece of ASCII letters, digits or punctuation alone; nothing for any other."""
+        """What the pre-tokenizer makes of a piece of Latin letters, ASCII digits or punctuation alone; nothing for any other."""
         lead, body = "", piece
         if self.kind == "byte":
             lead, body = ("", piece[1:]) if piece[:1] == "\x01" else (SPACE_BYTE, piece)
-        if not body or not body.isascii():
+        if not body:
             return ()
+        if not body.isascii():
+            if not body.isalpha() or max(body) >= LATIN_END:
+                return ()
+            if self.kind == "word":
+                body = body.lower()
+                if not body.isalpha():  # a letter that lowers to itself and a mark
+                    return ()
+            return (lead + body.encode().decode("latin-1").translate(BYTE_LETTERS),)
         if body.isalpha() or not body.strip(EDGE):
             return (lead + body,)
         if body.isdigit():
@@ -153,7 +165,7 @@ class PieceIds:
             if not body:
                 return (piece,)
             core = body.rstrip(EDGE)
-            if not core or len(core) == len(body) or not core[-1].isascii() or not core[-1].isalnum():
+            if not core or len(core) == len(body) or core[-1] >= LATIN_END or not core[-1].isalnum():
                 return (*front, "\x01" + body)
             return (*front, "\x01" + core, "\x01" + body[len(core):])
         core = piece.strip(EDGE)
@@ -161,7 +173,7 @@ class PieceIds:
             return (piece,)
         at = len(piece) - len(piece.lstrip(EDGE))
         tail = piece[at + len(core):]
-        if not core[0].isascii() or not core[0].isalnum() or not core[-1].isascii() or not core[-1].isalnum():
+        if core[0] >= LATIN_END or not core[0].isalnum() or core[-1] >= LATIN_END or not core[-1].isalnum():
             return (piece,)
         parts = (piece[:at], "\x01" + core) if at else (core,)
         return (*parts, "\x01" + tail) if tail else parts
@@ -176,7 +188,7 @@ class PieceIds:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             names = [distinct[i] for i in missing.tolist()]
-            cuts = [self._cut(p) for p in names]
+            cuts = [(p,) if p.isalnum() else self._cut(p) for p in names]
             counts[missing] = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
             names = [part for cut in cuts for part in cut]
             new = [p for p in dict.fromkeys(names) if p not in known]

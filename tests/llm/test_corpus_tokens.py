@@ -45,7 +45,7 @@ def test_pieces_give_the_ids_of_the_tokenizer(file, kind, monkeypatch):
 @pytest.mark.parametrize(("file", "kind"), [(BYTE, "byte"), (WORD, "word")])
 def test_pieces_of_any_letters_digits_and_punctuation(file, kind):
     draw = random.Random(11)
-    parts = [*"stdmlrvex'\"’.,-!(/09ÁéßΣ٣Ⅷ日\u0301İ_\n ", "'s", "'ll", "'re", " '", "\n'", " \"", "...", "word", "Word", " 2019", "\x7f"]
+    parts = [*"stdmlrvex'\"’.,-!(/09ÁéßΣ٣Ⅷ日\u0301İÑñøŸǅȺªº²¼ß×_\n ", "'s", "'ll", "'re", " '", "\n'", " \"", "...", "word", "Word", " 2019", "\x7f"]
     texts = ["".join(draw.choices(parts, k=draw.randint(1, 25))) for _ in range(4000)]
     ids, bounds = PieceIds(file, kind).encode(pa.array(texts))
     for i, want in enumerate(whole(file, texts, [])):
