@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from planshift.session import work_path
 
-# Paths over at most this many different features get all their outcomes tabulated.
+# Trees of at most this many different splits get all their outcomes tabulated.
 TABULATED = 8
 
 
@@ -111,6 +111,27 @@ def _path_shares(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tree_table(paths: Sequence[tuple], splits: Sequence[tuple]) -> tuple[list[int], np.ndarray]:
+    """Features of a tree, and the contribution of each of them at every outcome of its splits.
+
+    Bit i of an outcome tells that the row lies above ``splits[i]``, a (feature, threshold).
+    """
+    bits = (np.arange(1 << len(splits))[:, None] >> np.arange(len(splits))) & 1
+    at = {split: i for i, split in enumerate(splits)}
+    features = sorted({f for f, _ in splits})
+    table = np.zeros((len(features), len(bits)))
+    for value, used, low, high, share in paths:
+        inside = np.ones((len(bits), len(used)))
+        for k, f in enumerate(used):
+            if low[k] > -np.inf:
+                inside[:, k] *= bits[:, at[(f, low[k])]]
+            if high[k] < np.inf:
+                inside[:, k] *= 1 - bits[:, at[(f, high[k])]]
+        if len(used):
+            table[[features.index(f) for f in used]] += value * _path_shares(inside, share).T
+    return features, table
+
+
 def tree_contributions(
     df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
@@ -118,37 +139,46 @@ def tree_contributions(
 
     Path-dependent Shapley values of the tree ensemble.  The node table is bounded by the
     model (trees times nodes per tree), not by the data; rows are handled in Arrow batches
-    where they are, without a shuffle.
+    where they are, without a shuffle.  A tree of few splits is one look-up per row and feature;
+    larger ones are gone through path by path.
     """
-    paths = _leaf_paths(nodes.collect())
-    base = float(sum(value * share.prod() for value, _, _, _, share in paths))
-    tables = []
-    for _, used, _, _, share in paths:
-        d = len(used)
-        codes = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1 if d <= TABULATED else None
-        tables.append(_path_shares(codes.astype(float), share) if d and codes is not None else None)
-    keys, features = list(keys), list(features)
+    by_tree: dict[int, list] = {}
+    for node in nodes.collect():
+        by_tree.setdefault(node["tree"], []).append(node)
+    base, cuts, tables, paths = 0.0, {}, [], []
+    for tree in by_tree.values():
+        found = _leaf_paths(tree)
+        base += float(sum(value * share.prod() for value, _, _, _, share in found))
+        splits = sorted({(n["feature_index"], n["threshold"]) for n in tree if n["left"] is not None})
+        if len(splits) <= TABULATED:
+            places = [cuts.setdefault(split, len(cuts)) for split in splits]
+            tables.append((places, *_tree_table(found, splits)))
+        else:
+            paths += [p for p in found if len(p[1])]
+    keys, features, cuts = list(keys), list(features), list(cuts)
 
     def contributions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
             if np.isnan(x).any():
                 raise ValueError("a feature is missing; rows with missing features can be neither scored nor explained")
-            phi = np.zeros_like(x)
-            for (value, used, low, high, share), table in zip(paths, tables):
-                if not len(used):
-                    continue
+            columns = np.ascontiguousarray(x.T)
+            phi = np.zeros_like(columns)
+            above = [(columns[f] > cut).astype(np.int64) for f, cut in cuts]
+            for places, used, table in tables:
+                code = np.zeros(len(x), np.int64)
+                for bit, place in enumerate(places):
+                    code += above[place] << bit
+                for f, row in zip(used, table):
+                    phi[f] += row[code]
+            for value, used, low, high, share in paths:
                 inside = (x[:, used] > low) & (x[:, used] <= high)
-                if table is not None:
-                    part = table[inside @ (1 << np.arange(len(used)))]
-                else:
-                    part = _path_shares(inside.astype(float), share)
-                phi[:, used] += value * part
+                phi[used] += value * _path_shares(inside.astype(float), share).T
             out = batch[keys].copy()
-            for i, name in enumerate(features):
-                out[f"c_{name}"] = phi[:, i]
+            for name, part in zip(features, phi):
+                out[f"c_{name}"] = part
             out["base_value"] = base
-            out["margin"] = base + phi.sum(axis=1)
+            out["margin"] = base + phi.sum(axis=0)
             yield out
 
     fields = [df.schema[k] for k in keys]

@@ -245,6 +245,32 @@ def test_contributions_equal_brute_force(df, family, params, tabulated, monkeypa
         assert share == pytest.approx(scores[row["id"]], abs=1e-9)
 
 
+def test_tree_of_few_splits_is_one_look_up():
+    """The table of a whole tree at the row's outcome equals the sum over its paths."""
+
+    def node(place, left=None, right=None, feature=None, cut=None, cover=1.0, value=0.0):
+        return {
+            "tree": 0, "node": place, "left": left, "right": right, "feature_index": feature, "threshold": cut,
+            "categories": -1, "cover": cover, "value": value,
+        }
+
+    # feature 0 twice on one path, feature 2 on the other side only
+    tree = [
+        node(0, 1, 4, 0, 1.0, 10.0), node(1, 2, 3, 0, 0.0, 6.0), node(2, cover=2.0, value=0.5), node(3, cover=4.0, value=-0.25),
+        node(4, 5, 6, 2, 2.0, 4.0), node(5, cover=3.0, value=2.0), node(6, cover=1.0, value=-1.0),
+    ]
+    paths, splits = X._leaf_paths(tree), [(0, 0.0), (0, 1.0), (2, 2.0)]
+    features, table = X._tree_table(paths, splits)
+    assert features == [0, 2] and table.shape == (2, 8)
+    for row in ([-1.0, 9.0, 2.0], [0.0, 9.0, 3.0], [0.5, 9.0, 1.0], [1.0, 9.0, 5.0], [1.5, 9.0, 2.0], [2.0, 9.0, 2.5]):
+        outcome = sum((row[f] > cut) << i for i, (f, cut) in enumerate(splits))
+        whole = np.zeros(3)
+        for value, used, low, high, share in paths:
+            x = np.array(row)[used]
+            whole[used] += value * X._path_shares(((x > low) & (x <= high)).astype(float)[None], share)[0]
+        assert np.allclose([whole[0], whole[2]], table[:, outcome]) and whole[1] == 0
+
+
 def test_importances_and_split_counts(df):
     model = fit(df, FEATURES, "y", "boosted_trees", maxIter=4)
     spark = df.sparkSession
