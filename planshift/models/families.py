@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -33,13 +32,14 @@ from planshift.functions.fixed_values import (
     NEURAL_HIDDEN,
     NEURAL_MAX_ITER,
 )
+from planshift.models.boosting import BoostedTrees
 from planshift.session import shared_folder
 
 DEFAULTS = {
     "importance_forest": (RandomForestRegressor, IMPORTANCE_FOREST),
     "balanced_forest": (RandomForestRegressor, BALANCED_FOREST),
-    "boosted_trees": (GBTClassifier, BOOSTED_TREES),
-    "boosted_trees_deep": (GBTClassifier, BOOSTED_TREES_DEEP),
+    "boosted_trees": (BoostedTrees, BOOSTED_TREES),
+    "boosted_trees_deep": (BoostedTrees, BOOSTED_TREES_DEEP),
 }
 FAMILIES = (*DEFAULTS, "logistic", "neural")
 

@@ -89,7 +89,7 @@ def loss_and_gradient(layers: Layers, x: np.ndarray, y: np.ndarray, weight: np.n
     return np.concatenate([[weight.sum(), (loss * weight).sum()], _flat(parts[::-1])])
 
 
-def _summed(parts: DataFrame, count: int) -> np.ndarray:
+def summed(parts: DataFrame, count: int) -> np.ndarray:
     """Sum of the ``part`` vectors; beyond ``MOST_PARTS`` of them tasks add them up in groups first."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +175,7 @@ def fit_network(
         found = rows.agg(F.count(F.lit(1)).alias("n"), *moments).first()
         if not found["n"]:
             raise ValueError("no rows to fit on")
+        tasks = rows.select(F.spark_partition_id().alias("task")).distinct().count()
         means = np.array([found[f"avg_{i}"] or 0.0 for i in range(len(features))])
         scales = np.array([found[f"stddev_pop_{i}"] or 1.0 for i in range(len(features))])
         sizes = [len(features), *hidden, 1]
@@ -185,7 +186,6 @@ def fit_network(
         # 1 at weights, 0 at offsets
         penalised = _flat([(np.ones((a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])])
         strength = penalty / min(NEURAL_BATCH, found["n"])
-        tasks = rows.rdd.getNumPartitions()
 
         def evaluate(flat: np.ndarray) -> tuple[float, np.ndarray]:
             def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def fit_network(
                         total += loss_and_gradient(layers, x, y, values[:, -1] if weight else np.ones(len(y)))
                 yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-            total = _summed(rows.mapInArrow(partial, "part binary"), tasks)
+            total = summed(rows.mapInArrow(partial, "part binary"), tasks)
             loss = total[1] / total[0] + strength / 2 * (penalised * flat) @ flat
             return loss, total[2:] / total[0] + strength * penalised * flat
 
